@@ -1,6 +1,6 @@
 """Named queries over the test tables."""
 
-from . import row_queries, sample_queries  # noqa: F401
+from . import io_queries, row_queries, sample_queries, score_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
