@@ -165,7 +165,7 @@ seats AS (
 @query("quota_allocation", _LABELLED + "SELECT label, rows, seats FROM seats")
 def quota_allocation(spark, sf_dir):
     counts = metrics.label_distribution(_labelled(spark, sf_dir))
-    return sampling.allocate_quota(counts, 101)
+    return sampling.allocate_quota(counts, 101).drop("total")
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probs import softmax3
 from ..functions.text import WHITESPACE_CLASS, stable_id
+from ..runtime import spread_small
 
 SEED = 42
 
@@ -32,23 +33,32 @@ def documents_as_reviews(documents: DataFrame) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str, with_id: bool = True) -> DataFrame:
-    rows = documents_as_reviews(table(spark, sf_dir, "documents"))
+    rows = documents_as_reviews(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
     return rows.withColumn("id", stable_id()) if with_id else rows
 
 
+def _judged(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
+    chosen = table(spark, sf_dir, "labels").filter(condition)
+    return chosen.select(F.col("doc_id").alias("seq"))
+
+
+def _reviews_where(spark: SparkSession, sf_dir: str, judged: DataFrame, how: str) -> DataFrame:
+    # The ids are computed after the join, for the remaining rows only.
+    rows = reviews(spark, sf_dir, with_id=False).join(judged, "seq", how)
+    return rows.withColumn("id", stable_id())
+
+
 def toxic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("seq"))
-    return reviews(spark, sf_dir).join(toxic, "seq", "left_semi").select("id").distinct()
+    toxic = _judged(spark, sf_dir, "toxic = 1")
+    return _reviews_where(spark, sf_dir, toxic, "left_semi").select("id").distinct()
 
 
 def train_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
-    return reviews(spark, sf_dir).join(judged, "seq", "left_anti")
+    return _reviews_where(spark, sf_dir, _judged(spark, sf_dir), "left_anti")
 
 
 def eval_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
-    return reviews(spark, sf_dir).join(judged, "seq", "left_semi")
+    return _reviews_where(spark, sf_dir, _judged(spark, sf_dir), "left_semi")
 
 
 def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

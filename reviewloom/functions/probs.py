@@ -20,11 +20,21 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column | str) -> Column:
     """Probabilities from an array of logits, shifted by the row maximum."""
-    z = _col(logits)
-    powers = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(powers, lambda e: e / _sum(powers))
+
+    def shares(powers: Column) -> Column:
+        return _let(_sum(powers), lambda total: F.transform(powers, lambda e: e / total))
+
+    def shifted(z: Column) -> Column:
+        return F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+
+    return _let(_let(_col(logits), shifted), shares)
 
 
 def softmax3(z0: Column, z1: Column, z2: Column) -> tuple[Column, Column, Column]:
@@ -128,7 +138,10 @@ def cross_entropy(
 
 def cross_entropy_from_logits(logits: Column | str, label: Column | str) -> Column:
     """The same loss from logits by log-sum-exp, exact where a probability underflows."""
-    z = _col(logits)
-    top = F.array_max(z)
-    log_total = F.ln(_sum(F.transform(z, lambda x: F.exp(x - top)))) + top
-    return log_total - F.get(z, _col(label).cast("int"))
+    target = _col(label).cast("int")
+
+    def loss(z: Column) -> Column:
+        total = _sum(F.transform(z, lambda x: F.exp(x - F.array_max(z))))
+        return F.ln(total) + F.array_max(z) - F.get(z, target)
+
+    return _let(_col(logits), loss)

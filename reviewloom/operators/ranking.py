@@ -41,7 +41,9 @@ def hash_bucket(hashed: Column | str) -> Column:
 
 def value_bucket(value: Column, resolution: int = 4096) -> Column:
     """Integer that never decreases as ``value`` grows; fine near zero, coarse far out."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * resolution)).cast("long")
+    size = F.least(F.abs(value), F.lit(1e300))  # infinities stay within a long
+    bucket = F.signum(value) * F.floor(F.log1p(size) * resolution)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(bucket.cast("long"))
 
 
 def range_bucket(df: DataFrame, column: str, buckets: int = RANGE_BUCKETS) -> Column:

@@ -15,7 +15,7 @@ from ..functions.text import or_empty
 from ..runtime import cut_lineage, small_table
 from .conform import label_column, with_id
 from .dedup import fetch_rows, first_arrivals, require_columns
-from .filters import category_filter, drop_blocked, min_words, sample_rows
+from .filters import cap_per_group, category_filter, drop_blocked, min_words, sample_rows
 from .ranking import hash_bucket, sample_hash, top_ranked
 
 
@@ -155,6 +155,7 @@ def allocate_quota(counts: DataFrame, n: int, by: str = "label", rows: str = "ro
         (F.col("base") + F.when((place <= extra) & (F.col("total") > n), 1).otherwise(0))
         .cast("long")
         .alias("seats"),
+        "total",
     )
 
 
@@ -177,12 +178,13 @@ def sample_stratified(
         return sample_rows(df, n, seed, key)
     require_columns(df, seq, *key)
     narrow = df.select(*dict.fromkeys([*key, seq, by]))
-    counts = cut_lineage(narrow.groupBy(by).agg(F.count(F.lit(1)).alias("rows")))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    counts = narrow.groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
+    seats = small_table(allocate_quota(counts, n, by).select(by, "seats", "total"))
+    total, seated = seats.agg(F.max("total"), F.sum("seats")).first()
+    if total is None:  # no row has a stratum
+        return sample_rows(df, n, seed, key)
     if total <= n:
         return df
-    seats = small_table(allocate_quota(counts, n, by).select(by, "seats"))
-    seated = seats.agg(F.coalesce(F.sum("seats"), F.lit(0))).first()[0]
 
     hashed = narrow.join(seats, by).withColumn("__hash", sample_hash(seed, *key))
     order = [F.col("__hash"), *[F.col(name) for name in key]]
@@ -200,8 +202,6 @@ def first_n_per_category(
     df: DataFrame, n: int, by: str = "product_category", seq: str = "seq", plan: str = "auto"
 ) -> DataFrame:
     """The first ``n`` arrivals of each category, with their rank."""
-    from .filters import cap_per_group
-
     return cap_per_group(df, n, by, seq, plan, rank="rank")
 
 

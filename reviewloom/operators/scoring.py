@@ -23,7 +23,6 @@ from ..functions.probs import (
     argmax,
     confidence,
     instance_weight,
-    softmax,
 )
 from ..functions.text import WHITESPACE, or_empty
 from .conform import ensure_label
@@ -33,11 +32,20 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def expression_scorer(logits: Callable[[Column], Sequence[Column]]) -> Scorer:
-    """Scorer from column expressions: ``logits`` maps the text column to one logit per class."""
+    """Scorer from column expressions: ``logits`` maps the text column to one logit per class.
+
+    The steps are separate projections over scalar columns, so each logit is computed once
+    and the arithmetic stays in generated code.
+    """
 
     def score_rows(df: DataFrame) -> DataFrame:
-        z = F.array(*[value.cast("double") for value in logits(or_empty("text"))])
-        return df.withColumn("probs", softmax(z))
+        values = [value.cast("double") for value in logits(or_empty("text"))]
+        z = [f"__z{i}" for i in range(len(values))]
+        rows = df.withColumns(dict(zip(z, values)))
+        top = F.greatest(*z) if len(z) > 1 else F.col(z[0])
+        rows = rows.withColumns({name: F.exp(F.col(name) - top) for name in z})
+        total = sum((F.col(name) for name in z), F.lit(0.0))
+        return rows.withColumn("probs", F.array(*[F.col(name) / total for name in z])).drop(*z)
 
     return score_rows
 
@@ -132,31 +140,24 @@ def text_features(num_features: int = 1 << 18, max_tokens: int = 0, min_docs: in
     return stages
 
 
-def train_classifier(
-    df: DataFrame,
-    sample_weight: str | None = None,
-    class_weights: Sequence[float] | None = None,
-    num_features: int = 1 << 18,
-    max_tokens: int = 0,
-    reg_param: float = 0.01,
-    max_iter: int = 50,
-) -> PipelineModel:
-    """Multinomial logistic regression on TF-IDF, weighted by class and by row.
-
-    The row weight is the class weight times ``sample_weight``. Without given class weights
-    they are derived from the class counts.
-    """
+def _training_rows(
+    df: DataFrame, sample_weight: str | None, class_weights: Sequence[float] | None
+) -> DataFrame:
+    """Text, label and row weight (class weight times sample weight) of the labelled rows."""
     rows = ensure_label(df).filter(F.col("label").isin(*CLASSES))
     weights = list(class_weights) if class_weights else class_weight_list(rows)
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("label"))
     if sample_weight:
         weight = weight * F.col(sample_weight).cast("double")
-    prepared = rows.select(
+    return rows.select(
         or_empty("text").alias("text"),
         F.col("label").cast("double").alias("label"),
         weight.alias("weight"),
     )
-    classifier = LogisticRegression(
+
+
+def _classifier(reg_param: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
@@ -164,7 +165,25 @@ def train_classifier(
         regParam=reg_param,
         maxIter=max_iter,
     )
-    return Pipeline(stages=[*text_features(num_features, max_tokens), classifier]).fit(prepared)
+
+
+def train_classifier(
+    df: DataFrame,
+    sample_weight: str | None = None,
+    class_weights: Sequence[float] | None = None,
+    num_features: int = 1 << 18,
+    max_tokens: int = 0,
+    reg_param: float = 0.01,
+    max_iter: int = 50,
+) -> PipelineModel:
+    """Multinomial logistic regression on TF-IDF, weighted by class and by row.
+
+    The row weight is the class weight times ``sample_weight``. Without given class weights
+    they are derived from the class counts.
+    """
+    prepared = _training_rows(df, sample_weight, class_weights)
+    stages = [*text_features(num_features, max_tokens), _classifier(reg_param, max_iter)]
+    return Pipeline(stages=stages).fit(prepared)
 
 
 def evaluate_scorer(
@@ -176,15 +195,36 @@ def evaluate_scorer(
 
 
 def best_of(
-    train: DataFrame, dev: DataFrame, grid: Sequence[dict], **fixed
+    train: DataFrame,
+    dev: DataFrame,
+    grid: Sequence[dict],
+    sample_weight: str | None = None,
+    class_weights: Sequence[float] | None = None,
+    num_features: int = 1 << 18,
+    max_tokens: int = 0,
 ) -> tuple[PipelineModel, dict, float]:
-    """Fit one model per parameter set and keep the best macro-F1 on ``dev``."""
+    """Fit one model per set of ``reg_param`` and ``max_iter``; keep the best macro-F1 on ``dev``.
+
+    The features are fitted and computed once for the whole grid.
+    """
+    if not grid:
+        raise ValueError("the parameter grid is empty")
+    prepared = _training_rows(train, sample_weight, class_weights)
+    features = Pipeline(stages=text_features(num_features, max_tokens)).fit(prepared)
+    fit_rows = features.transform(prepared).select("features", "label", "weight").persist()
+    dev_rows = features.transform(
+        ensure_label(dev).select(or_empty("text").alias("text"), "label")
+    ).select("features", "label").persist()
     best = None
     for options in grid:
-        model = train_classifier(train, **{**fixed, **options})
-        f1 = evaluate_scorer(dev, model_scorer(model)).first().f1_macro
+        fitted = _classifier(**{"reg_param": 0.01, "max_iter": 50, **options}).fit(fit_rows)
+        scored = fitted.transform(dev_rows).select(
+            F.col("label").cast("int").alias("label"),
+            F.col("prediction").cast("int").alias("pred_label"),
+        )
+        f1 = evaluate(scored).first().f1_macro
         if best is None or f1 > best[2]:
-            best = (model, options, f1)
-    if best is None:
-        raise ValueError("the parameter grid is empty")
+            best = (PipelineModel([*features.stages, fitted]), options, f1)
+    fit_rows.unpersist()
+    dev_rows.unpersist()
     return best

@@ -106,8 +106,8 @@ def top_k_per_class(
     quota = F.coalesce(
         F.get(F.array(*[F.lit(max(int(q), 0)) for q in quotas]), F.col(by)), F.lit(0)
     )
-    wanted = df.filter(quota > 0)
-    return _best(wanted, score, [by], quota, max(quotas), seq, plan).drop("__rank")
+    # No filter on the class before ranking: it would be pushed below the scorer and run twice.
+    return _best(df, score, [by], quota, max(quotas), seq, plan).drop("__rank")
 
 
 def prepare_batch(

@@ -102,7 +102,9 @@ def prepare(
     """
     limits = max_rows or {}
     if per_class:
-        train = sampling.balanced_train(train, per_class, seed, blocked, words, seq=seq)
+        train = cut_lineage(
+            sampling.balanced_train(train, per_class, seed, blocked, words, seq=seq)
+        )
     elif blocked is not None:
         train = drop_blocked(with_id(train), blocked)
     counts = []

@@ -53,6 +53,19 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
+def spread_small(
+    df: DataFrame, key: str, low: int = 1 << 20, high: int = 1 << 28
+) -> DataFrame:
+    """Spread a small table that was read as a few file splits over all cores, by a unique key.
+
+    Text work on a single-split file would otherwise run on one core. Tables above ``high``
+    bytes come in many splits already and are returned unchanged, without a shuffle.
+    """
+    if not low <= estimated_bytes(df) <= high:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for ``df`` (an upper guess for joins)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -31,6 +31,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names directly under a folder; none if there is no such folder."""
+    if not path_exists(spark, folder):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in system.listStatus(hadoop_path)]
+
+
 def _require_paths(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         if not path:
@@ -229,6 +238,7 @@ __all__ = [name for name in dir() if name.startswith(("read_", "load_"))] + [
     "REVIEW_COLUMNS",
     "id_lines",
     "json_lines",
+    "list_names",
     "mixed_text",
     "path_exists",
     "reviews_from_rows",

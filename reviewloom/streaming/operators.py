@@ -16,7 +16,7 @@ from ..operators.dedup import dedup_keep_first
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
 from ..runtime import scratch_path
-from ..sources.readers import path_exists
+from ..sources.readers import list_names, path_exists
 from .sources import run_batches
 
 
@@ -99,13 +99,11 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(self._folder(number))
 
     def latest(self) -> DataFrame:
-        number = 0
-        while path_exists(self.spark, self._folder(number + 1)):
-            number += 1
-        table = self.read(number)
-        if table is None:
+        numbers = [int(name.split("=")[1]) for name in list_names(self.spark, self.path)
+                   if name.startswith("version=")]
+        if not numbers:
             raise ValueError("the stream has not produced a batch yet")
-        return table
+        return self.spark.read.parquet(self._folder(max(numbers)))
 
 
 def run_complete(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
