@@ -453,9 +453,8 @@ def score_with_model(spark, sf_dir):
 @query("best_of_grid")
 def best_of_grid(spark, sf_dir):
     train, evaluation = _sides(spark, sf_dir)
-    _, options, f1 = scoring.best_of(
-        train, evaluation, [{"reg_param": 0.1}, {"reg_param": 0.01}], num_features=1024, max_iter=3
-    )
+    grid = [{"reg_param": 0.1, "max_iter": 3}, {"reg_param": 0.01, "max_iter": 3}]
+    _, options, f1 = scoring.best_of(train, evaluation, grid, num_features=1024)
     best = evaluation.agg(F.count(F.lit(1)).alias("dev_rows"))
     return best.withColumns(
         {"reg_param": F.lit(options["reg_param"]), "f1_macro": F.round(F.lit(f1), 3)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -119,7 +120,7 @@ def read_manifest(
     listed = spark.read.schema("files ARRAY<STRING>").json(manifest, multiLine=True)
     base = (base_dir or manifest.rsplit("/", 1)[0]).rstrip("/")
     files = [row.file for row in listed.select(F.explode("files").alias("file")).collect()]
-    paths = [f if f.startswith("/") or "://" in f else f"{base}/{f}" for f in files]
+    paths = [f if re.match(r"/|[A-Za-z][A-Za-z0-9+.-]*:", f) else f"{base}/{f}" for f in files]
     found = [p for p in paths if path_exists(spark, p)]
     return found, [p for p in paths if p not in set(found)]
 

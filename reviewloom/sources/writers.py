@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, stable_id
@@ -105,7 +106,9 @@ def write_snapshot(
         .option("ignoreNullFields", "false")
         .json(f"{path}/shards")
     )
-    manifest = snapshot_manifest(spark, f"{path}/shards")
+    manifest = snapshot_manifest(spark, f"{path}/shards").withColumn(
+        "file", F.concat(F.lit("shards/"), "file")
+    )
     write_manifest(manifest, f"{path}/MANIFEST.json", shard_size)
     return manifest
 
@@ -113,12 +116,30 @@ def write_snapshot(
 def snapshot_manifest(spark: SparkSession, shards: str) -> DataFrame:
     """Files and actual row counts of a snapshot, one row per shard."""
     lines = spark.read.option("recursiveFileLookup", True).text(shards)
-    files = lines.select("*", F.col("_metadata.file_path").alias("file"))
-    category = F.url_decode(F.regexp_extract("file", r"category=([^/]*)/", 1))
-    counted = files.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    file = relative_path(spark, shards, F.col("_metadata.file_path"))
+    counted = lines.select(file.alias("file")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    folder = _unescape(F.regexp_extract("file", r"category=([^/]*)/", 1))
+    category = F.when(folder == "__HIVE_DEFAULT_PARTITION__", "").otherwise(folder)
     return counted.withColumn("product_category", category)
 
 
+def _unescape(text: Column) -> Column:
+    """Percent-decoding that leaves plus signs alone."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def relative_path(spark: SparkSession, folder: str, file_path: Column) -> Column:
+    """Path of a file below ``folder``, from the address Spark reports for it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    scheme = r"^[^:/]+:/*"
+    base = re.sub(scheme, "/", system.makeQualified(hadoop_path).toString()).rstrip("/")
+    below = F.regexp_replace(_unescape(file_path), scheme, "/")
+    return F.substr(below, F.lit(len(base) + 2))
+
+
 def write_manifest(manifest: DataFrame, path: str, shard_size: int) -> None:
     """The manifest as one JSON file; it lists one entry per shard."""
     rows = manifest.orderBy("file").collect()
@@ -157,7 +178,10 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], pattern: str = "
 def pool_rows(
     spark: SparkSession, snapshot: str, limit_per_file: int | None = None
 ) -> DataFrame:
-    """Unlabelled pool of a snapshot: ``id`` is file name and line number, the stars are dropped."""
+    """Unlabelled pool of a snapshot; the stars are dropped.
+
+    ``id`` is the file's path below the snapshot folder and the line number.
+    """
     from .readers import json_lines
 
     lines = numbered_lines(spark, snapshot, "*.json.gz")
@@ -165,7 +189,7 @@ def pool_rows(
         lines = lines.filter(F.col("line") < limit_per_file)
     fields = {name: "string" for name in ("text", "title", "asin", "product_category")}
     rows = json_lines(lines, fields, strict=True)
-    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    name = relative_path(spark, snapshot, F.col("file"))
     identity = F.concat_ws(":", name, F.col("line").cast("string"))
     return rows.select(identity.alias("id"), *[or_empty(name).alias(name) for name in fields])
 

@@ -1,0 +1,147 @@
+"""Jobs from end to end over files."""
+
+import json
+
+import pytest
+from helpers import REVIEW_DDL, make_reviews, py_id
+from pyspark.sql import functions as F
+
+from reviewloom.operators import scoring, validate
+from reviewloom.plans import jobs
+from reviewloom.sources import readers, writers
+
+
+def letters(text):
+    return [F.length(text) * 0.05, F.lit(1.0), F.length(F.replace(text, F.lit("o"), F.lit(""))) * 0.06]
+
+
+SCORER = scoring.expression_scorer(letters)
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rows = make_reviews(700, 33)
+    return rows, spark.createDataFrame(rows, REVIEW_DDL).repartition(4).cache()
+
+
+def test_shard_to_splits(spark, tmp_path):
+    shard = [
+        {"text": "Great product", "rating": 5, "title": "t", "asin": "ASIN001", "product_category": "Electronics"},
+        {"text": "Poor quality", "rating": 1, "title": "t", "asin": "ASIN002", "product_category": "Electronics"},
+    ]
+    (tmp_path / "shard.jsonl").write_text("\n".join(map(json.dumps, shard)))
+    (tmp_path / "MANIFEST.json").write_text(json.dumps({"files": ["shard.jsonl"]}))
+    out = str(tmp_path / "out")
+    report = jobs.build_splits(spark, str(tmp_path / "MANIFEST.json"), out, 1, 1).first()
+    assert (report.seen, report.dev_rows, report.eval_rows, report.short) == (2, 1, 1, False)
+    for part in ("dev", "eval"):
+        rows = readers.read_reviews_parquet(spark, f"{out}/{part}.parquet", with_label=False)
+        assert tuple(validate.check_split(rows).first()) == (1, 0, 0, 0)
+        assert readers.read_jsonl(spark, f"{out}/{part}.jsonl").count() == 1
+    ids = {r.id for r in readers.read_id_set(spark, [f"{out}/blocklist"]).collect()}
+    assert ids == {py_id(r["text"], r["asin"]) for r in shard}
+    found, missing = readers.read_manifest(spark, f"{out}/MANIFEST_eval.json")
+    assert len(found) == 1 and not missing
+
+
+def test_snapshot_split_prepare_train_select(spark, data, tmp_path):
+    rows, df = data
+    base = str(tmp_path)
+    manifest = jobs.snapshot(df, f"{base}/snap", 500, shard_size=100)
+    assert manifest.agg(F.sum("rows")).first()[0] == sum(
+        min(500, sum(r[5] == c for r in rows)) for c in ("Books", "Toys", "Pets"))
+
+    report = jobs.build_splits(spark, f"{base}/snap/MANIFEST.json", f"{base}/split", 10, 15, seed=3)
+    assert {r.product_category for r in report.collect()} == {"Books", "Toys", "Pets"}
+    blocked = readers.read_id_set(spark, [f"{base}/split/blocklist"])
+    rebuilt = jobs.build_blocklist(
+        spark, [f"{base}/split/dev.jsonl", f"{base}/gone.jsonl"], f"{base}/block",
+        manifest=f"{base}/split/MANIFEST_eval.json")
+    assert {r.id for r in rebuilt.collect()} == {r.id for r in blocked.collect()}
+
+    dev = readers.read_reviews_parquet(spark, f"{base}/split/dev.parquet").withColumn(
+        "seq", F.monotonically_increasing_id())
+    ev = readers.read_reviews_parquet(spark, f"{base}/split/eval.parquet").withColumn(
+        "seq", F.monotonically_increasing_id())
+    counts = jobs.prepare(df, dev, ev, f"{base}/prep", per_class=60, blocked=blocked,
+                          max_rows={"dev": 12}, seed=3)
+    got = {(r.split, r.label): r["rows"] for r in counts.collect()}
+    assert sum(n for (s, _), n in got.items() if s == "dev") == 12
+    assert all(n <= 60 for (s, _), n in got.items() if s == "train")
+
+    train = spark.read.parquet(f"{base}/prep/train.parquet")
+    frozen = spark.read.parquet(f"{base}/prep/eval.parquet")
+    model, metrics = jobs.train_and_evaluate(
+        train, spark.read.parquet(f"{base}/prep/dev.parquet"), frozen, f"{base}/run",
+        num_features=256, max_iter=5)
+    assert {r.split for r in metrics.collect()} == {"dev", "eval"}
+    assert spark.read.json(f"{base}/run/metrics").count() == 2
+    with pytest.raises(ValueError, match="leakage"):
+        jobs.train_and_evaluate(train, frozen, train, num_features=16, max_iter=1)
+
+    picked = jobs.select_for_labelling(
+        df, scoring.model_scorer(model), f"{base}/pick", f"{base}/seen", quotas=[5, 5, 5],
+        blocked=blocked)
+    ids = {r.id for r in picked.collect()}
+    assert ids and not ids & {r.id for r in blocked.collect()}
+    assert {r.id for r in readers.read_id_set(spark, [f"{base}/seen"]).collect()} == ids
+    todo = jobs.seen_and_blocked(spark, [f"{base}/seen"], blocked)
+    assert todo.count() == len(ids) + blocked.count()
+
+
+def test_pool_score_and_batch(spark, data, tmp_path):
+    _, df = data
+    base = str(tmp_path)
+    jobs.snapshot(df, f"{base}/snap", 40, shard_size=25)
+    pool = jobs.make_pool(spark, f"{base}/snap/shards", f"{base}/pool.csv")
+    assert pool.count() == 120 and pool.select("id").distinct().count() == 120
+    blocked = spark.createDataFrame([(py_id("hot text of all", "a0"),)], "id STRING")
+    stored = jobs.score_pool(pool, SCORER, f"{base}/scored", blocked, f"{base}/seen")
+    assert 0 < stored.count() < 120
+    assert stored.filter("abs(p_neg + p_neu + p_pos - 1) > 1e-9").count() == 0
+    jobs.batch_for_labelling(readers.read_scored(spark, f"{base}/scored"), f"{base}/todo", 10, "margin")
+    todo = readers.read_todo_csv(spark, f"{base}/todo")
+    assert todo.count() == 10 and todo.filter("label IS NOT NULL AND label <> ''").count() == 0
+
+
+def test_predict_csv(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('text\n"Great, really"\nbad\n""\n')
+    jobs.predict_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), SCORER)
+    out = spark.read.csv(str(tmp_path / "out"), header=True)
+    assert out.columns == ["label", "confidence", "p_neg", "p_neu", "p_pos"] and out.count() == 3
+
+
+def test_labels_come_back(spark, tmp_path):
+    gold_path = str(tmp_path / "gold")
+    rows = [("a", "x", "neg", "0.1,0.9", 0), ("a", "x", "pos", None, 1), ("b", "y", "7", "[1.0]", 2),
+            ("", "z", "neu", "", 3), ("c", "w", " Neutral ", "[0.5]", 4)]
+    labelled = spark.createDataFrame(
+        rows, "id STRING, text STRING, label STRING, probs STRING, seq INT")
+    gold, bad = jobs.ingest_labels(labelled, gold_path, seq="seq")
+    assert {(r.id, r.label, tuple(r.probs)) for r in gold.collect()} == {
+        ("a", 0, (0.1, 0.9)), ("c", 1, (0.5,))}
+    assert [r.id for r in bad.collect()] == ["b"]
+    gold, _ = jobs.ingest_labels(labelled, gold_path)
+    assert gold.count() == 2
+    assert jobs.human_gold(labelled).count() == 4
+    queue = jobs.labelling_queue(
+        spark.createDataFrame([("a", "t", "x y", 5.0), ("n", "t", "one two", None), ("m", "", "w", 1.0)],
+                              "id STRING, title STRING, text STRING, rating DOUBLE"), gold, words=2)
+    assert [(r.id, r.display_text, r.default_label) for r in queue.collect()] == [("n", "t  one two", None)]
+
+
+def test_weights_and_retraining(spark, data, tmp_path):
+    _, df = data
+    weighted = jobs.weight_rows(df, SCORER, str(tmp_path / "w"))
+    assert weighted.filter("sample_weight <= 0 OR sample_weight > 1").count() == 0
+    assert "sample_weight" in spark.read.csv(str(tmp_path / "w"), header=True).columns
+    human = spark.createDataFrame([(py_id("hot text of all", "a0"), "neutral")], "id STRING, label STRING")
+    _, report = jobs.retrain(df, human, df.limit(50), SCORER, num_features=64, max_iter=2)
+    assert report.first()["rows"] == 50
+
+
+def test_writers_round_trip(spark, data, tmp_path):
+    _, df = data
+    writers.write_parquet(df, str(tmp_path / "p"))
+    writers.write_parquet(df, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 700
