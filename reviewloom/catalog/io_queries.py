@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
+from ..operators import scoring
 from ..operators.conform import ensure_label
 from ..plans import jobs
 from ..runtime import scratch_path
@@ -15,7 +16,9 @@ from ..sources import readers, writers
 from . import views
 from .registry import query
 from .sample_queries import _BALANCED, _SPLIT
-from .views import SEED, ctes, reviews, sql_stars, table
+from .views import SEED, ctes, reviews, sql_letter_scores, sql_stars, table
+
+SCORER = scoring.expression_scorer(views.letter_logits)
 
 _PLAIN = """SELECT doc_id, coalesce(text, '') AS text, 0.0::DOUBLE AS rating, '' AS title,
        '' AS asin, '' AS product_category, 0 AS label FROM documents"""
@@ -229,3 +232,99 @@ def metrics_file(spark, sf_dir):
 def line_ids(spark, sf_dir):
     rows = readers.read_jsonl(spark, _lines(spark, sf_dir))
     return rows.select(stable_id().alias("id"))
+
+
+@query(
+    "predict_file",
+    ctes("reviews")[:-1] + ",\n" + sql_letter_scores("reviews")
+    + """
+SELECT CASE WHEN ranked[1] < 0.65 THEN 'abstain' WHEN pred_label = 0 THEN 'negative'
+       WHEN pred_label = 1 THEN 'neutral' ELSE 'positive' END AS label,
+       round(ranked[1], 6) AS confidence, round(p_neg, 6) AS p_neg, round(p_neu, 6) AS p_neu,
+       round(p_pos, 6) AS p_pos FROM letter_scored""",
+)
+def predict_file(spark, sf_dir):
+    out = scratch_path(spark, "predicted")
+    writers.write_csv(reviews(spark, sf_dir, False).select("text"), f"{out}/in.csv")
+    jobs.predict_csv(spark, f"{out}/in.csv", f"{out}/out.csv", SCORER, threshold=0.65)
+    numbers = ("confidence", "p_neg", "p_neu", "p_pos")
+    schema = "label STRING, " + ", ".join(f"{n} DOUBLE" for n in numbers)
+    back = spark.read.schema(schema).csv(f"{out}/out.csv", header=True)
+    return back.select("label", *[F.round(n, 6).alias(n) for n in numbers])
+
+
+@query(
+    "weight_file",
+    ctes("reviews")[:-1] + ",\n" + sql_letter_scores("reviews")
+    + f"""
+SELECT seq, round((0.3 + 0.7 * ranked[1])
+       * CASE WHEN pred_label = {sql_stars('rating')} THEN 1 ELSE 0.5 END
+       * CASE WHEN rating = 3 THEN 0.8 ELSE 1 END, 6) AS sample_weight FROM letter_scored""",
+)
+def weight_file(spark, sf_dir):
+    out = scratch_path(spark, "weights.csv")
+    jobs.weight_rows(reviews(spark, sf_dir, False), SCORER, out)
+    back = spark.read.csv(out, header=True, multiLine=True, escape='"')
+    return back.select(
+        F.col("seq").cast("bigint"),
+        F.round(F.col("sample_weight").cast("double"), 6).alias("sample_weight"),
+    )
+
+
+@query(
+    "score_job",
+    ctes("reviews", "toxic_ids")
+    + "SELECT DISTINCT id FROM reviews WHERE id NOT IN (SELECT id FROM toxic_ids)",
+)
+def score_job(spark, sf_dir):
+    out = scratch_path(spark, "scored")
+    rows = reviews(spark, sf_dir, False)
+    jobs.score_pool(rows, SCORER, f"{out}/rows", views.toxic_ids(spark, sf_dir), f"{out}/seen")
+    return readers.read_id_set(spark, [f"{out}/seen"])
+
+
+@query(
+    "todo_file",
+    ctes("reviews")[:-1] + ",\n" + sql_letter_scores("reviews")
+    + """
+SELECT id, text, title, asin, product_category FROM (
+  SELECT DISTINCT ON (id) * FROM letter_scored ORDER BY id, seq)
+ORDER BY 1 - ranked[1] DESC, id LIMIT 40""",
+)
+def todo_file(spark, sf_dir):
+    from ..operators.dedup import dedup_keep_first
+
+    out = scratch_path(spark, "todo")
+    writers.write_parquet(
+        scoring.score(dedup_keep_first(reviews(spark, sf_dir)), SCORER).drop("probs"),
+        f"{out}/scored",
+    )
+    scored = readers.read_scored(spark, f"{out}/scored")
+    jobs.batch_for_labelling(scored, f"{out}/todo.csv", 40, "least_confidence")
+    todo = readers.read_todo_csv(spark, f"{out}/todo.csv")
+    return todo.select("id", "text", "title", "asin", "product_category")
+
+
+@query(
+    "select_job",
+    ctes("firsts", "toxic_ids")[:-1]
+    + """,
+pool AS (SELECT * FROM firsts WHERE id NOT IN (SELECT id FROM toxic_ids)),
+"""
+    + sql_letter_scores("pool")
+    + """
+SELECT id FROM letter_scored
+QUALIFY row_number() OVER (PARTITION BY pred_label ORDER BY uncertainty DESC, seq)
+        <= [15, 25, 10][pred_label + 1]""",
+)
+def select_job(spark, sf_dir):
+    out = scratch_path(spark, "selected")
+    jobs.select_for_labelling(
+        reviews(spark, sf_dir, False),
+        SCORER,
+        out,
+        f"{out}/seen",
+        quotas=[15, 25, 10],
+        blocked=views.toxic_ids(spark, sf_dir),
+    )
+    return readers.read_id_set(spark, [f"{out}/seen"])

@@ -414,9 +414,34 @@ def labelling_queue_query(spark, sf_dir):
     return queue.select("seq", "id", "default_label")
 
 
+@query(
+    "agreement_filter",
+    ctes("measured") + "SELECT id, label FROM measured WHERE pred_label = label",
+)
+def agreement_filter(spark, sf_dir):
+    from ..operators.filters import agreeing_rows
+
+    return agreeing_rows(_candidates(spark, sf_dir)).select("id", "label")
+
+
 # Model fits are iterative, so these have no SQL twin.
 
 
+@query("featurize")
+def featurize(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = reviews(spark, sf_dir, False).select("seq", "text")
+    features = Pipeline(stages=scoring.text_features(num_features=512)).fit(rows).transform(rows)
+    weights = vector_to_array("features")
+    return features.select(
+        "seq",
+        F.size("tokens").alias("tokens"),
+        F.size(F.filter(weights, lambda x: x != 0)).alias("terms"),
+    )
+
+
 def _sides(spark, sf_dir):
     train = ensure_label(views.train_side(spark, sf_dir))
     clean = scoring_sides_without_overlap(train, views.eval_side(spark, sf_dir))

@@ -9,7 +9,8 @@ from ..operators import scoring, selection
 from ..operators.conform import fill_defaults
 from ..operators.filters import drop_blocked
 from ..streaming import operators as ops
-from ..streaming.sources import file_stream, run_append
+from ..runtime import scratch_path
+from ..streaming.sources import category_stream, file_stream, run_append
 from . import views
 from .registry import query
 from .views import SEED, ctes, sql_letter_scores, sql_stars, table
@@ -141,3 +142,18 @@ def stream_sample(spark, sf_dir):
 @query("stream_seen", ctes("reviews") + "SELECT id FROM reviews")
 def stream_seen(spark, sf_dir):
     return run_append(ops.seen_ids(_documents(spark, sf_dir)))
+
+
+@query(
+    "stream_categories",
+    "SELECT event_id AS seq, event_type AS product_category,"
+    " CAST(1 + event_id % 5 AS DOUBLE) AS rating FROM events",
+)
+def stream_categories(spark, sf_dir):
+    out = scratch_path(spark, "categories")
+    rows = views.events_as_reviews(table(spark, sf_dir, "events")).select(
+        "seq", "text", "rating", F.col("product_category").alias("category")
+    )
+    rows.write.partitionBy("category").json(out)
+    stream = category_stream(spark, out, "seq BIGINT, text STRING, rating DOUBLE", max_files=2)
+    return run_append(stream.select("seq", "product_category", "rating"))

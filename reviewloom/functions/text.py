@@ -15,8 +15,8 @@ WHITESPACE_CODE_POINTS = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WHITESPACE_CHARS = "".join(map(chr, WHITESPACE_CODE_POINTS))
-# The same set as a Java regex class; the predefined classes are checked fastest.
-WHITESPACE = r"[[\h\v\x1c\x1d\x1e\x1f]&&[^\x{180e}]]"
+# The same set as a Java regex class. Printable ASCII is ruled out first, which is fastest.
+WHITESPACE = r"[[^!-~]&&[^\x{180e}]&&[\h\v\x1c-\x1f]]"
 _WORD_CHAR = r"[[^\h\v\x1c\x1d\x1e\x1f]\x{180e}]"
 #: And as a class that RE2 reads, too.
 WHITESPACE_CLASS = (

@@ -16,7 +16,7 @@ from ..runtime import cut_lineage, small_table
 from .conform import label_column, with_id
 from .dedup import fetch_rows, first_arrivals, require_columns
 from .filters import cap_per_group, category_filter, drop_blocked, min_words, sample_rows
-from .ranking import hash_bucket, sample_hash, top_ranked
+from .ranking import choose_plan, hash_bucket, sample_hash, top_ranked
 
 
 def sample_per_key(
@@ -45,12 +45,19 @@ def _candidates(
     seq: str,
     blocked: DataFrame | None,
     dedup: bool,
+    limit: int,
+    plan: str,
 ) -> DataFrame:
-    """Narrow table of the rows that may be drawn: id, arrival number, carried columns."""
+    """Narrow table of the rows that may be drawn: id, arrival number, carried columns.
+
+    It is stored when ranking will read it more than once: computing ids is the costly pass
+    over the texts, and the narrow rows are a few percent of them.
+    """
     narrow = with_id(df).select("id", seq, *[value.alias(name) for name, value in carry.items()])
     if dedup:  # before the anti join, so that copies are combined on the map side
         narrow = first_arrivals(narrow, "id", seq, list(carry))
-    return drop_blocked(narrow, blocked) if blocked is not None else narrow
+    narrow = drop_blocked(narrow, blocked) if blocked is not None else narrow
+    return cut_lineage(narrow) if choose_plan(narrow, limit, plan) == "histogram" else narrow
 
 
 def balanced_train(
@@ -70,7 +77,8 @@ def balanced_train(
     """
     require_columns(df, "text", "asin", seq)
     rows = min_words(df, words)
-    narrow = _candidates(rows, {"label": label_column(rows)}, seq, blocked, dedup)
+    carry = {"label": label_column(rows)}
+    narrow = _candidates(rows, carry, seq, blocked, dedup, per_class, plan)
     key = ("id",) if dedup else ("id", seq)
     keep = sample_per_key(narrow, "label", per_class, seed, key, rank="__rank", plan=plan)
     # Classes are 0, 1 and 2 unless the table brings labels of its own.
@@ -101,11 +109,10 @@ def split_dev_eval(
     rows = category_filter(
         df.withColumn("product_category", or_empty("product_category")), categories
     )
-    narrow = _candidates(
-        rows, {"product_category": F.col("product_category")}, seq, blocked, dedup
-    )
-    key = ("id",) if dedup else ("id", seq)
     total = dev_k + eval_k
+    carry = {"product_category": F.col("product_category")}
+    narrow = _candidates(rows, carry, seq, blocked, dedup, total, plan)
+    key = ("id",) if dedup else ("id", seq)
     drawn = sample_per_key(narrow, "product_category", total, seed, key, plan=plan)
     split = F.when(F.col("rank") <= dev_k, F.lit("dev")).otherwise(F.lit("eval"))
     keep = drawn.select("id", seq, split.alias("split"))
@@ -177,7 +184,8 @@ def sample_stratified(
     if by not in df.columns:
         return sample_rows(df, n, seed, key)
     require_columns(df, seq, *key)
-    narrow = df.select(*dict.fromkeys([*key, seq, by]))
+    # Read several times below, so it is stored once: a few percent of the full rows.
+    narrow = cut_lineage(df.select(*dict.fromkeys([*key, seq, by])))
     counts = narrow.groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
     seats = small_table(allocate_quota(counts, n, by).select(by, "seats", "total"))
     total, seated = seats.agg(F.max("total"), F.sum("seats")).first()

@@ -154,6 +154,8 @@ def accepted_rows(
         narrow = first_arrivals(narrow, "id", seq, ["product_category"])
     if blocked is not None:
         narrow = drop_blocked(narrow, blocked)
+    if choose_plan(narrow, max(per_category, total), plan) == "histogram":
+        narrow = cut_lineage(narrow)  # ranked in several passes; the ids are computed once
     narrow = cap_per_group(narrow, per_category, "product_category", seq, plan)
     narrow = head_rows(narrow, total, seq, plan)
     return fetch_rows(pool, narrow.select("id", seq), seq, at_most=total or None)
