@@ -8,7 +8,7 @@ from .. import functions as fn
 from ..operators import conform as schema_ops
 from ..operators import validate
 from ..operators.filters import category_filter, min_words
-from ..sources.readers import mixed_text, unnest_requests
+from ..sources.readers import mixed_texts, unnest_requests
 from . import views
 from .registry import query
 from .views import WS, ctes, reviews, sql_norm, sql_stars, sql_words, table
@@ -300,16 +300,16 @@ def explode_texts(spark, sf_dir):
     "text_lines_mixed",
     f"""SELECT conv_id, turn,
        regexp_replace(regexp_replace(text, '^{WS}+', ''), '{WS}+$', '') AS text
-FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""",
+FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)
+WHERE NOT regexp_matches(text, '^{WS}*$')""",
 )
 def text_lines_mixed(spark, sf_dir):
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     line = F.when(F.col("role") == "user", flat).otherwise(
         F.to_json(F.struct(fn.strip_ws(flat).alias("text")))
     )
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", mixed_text(line).alias("text")
-    )
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
+    return mixed_texts(lines, "line")
 
 
 @query(

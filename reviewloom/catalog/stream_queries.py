@@ -64,7 +64,7 @@ def stream_dedup(spark, sf_dir):
 
 @query("stream_dedup_watermark", ctes("review_events") + "SELECT DISTINCT id FROM review_events")
 def stream_dedup_watermark(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("id", "ts")
+    rows = _events(spark, sf_dir).select("id", "seq", "ts")
     return run_append(ops.dedup_within(rows, "ts", "365 days")).select("id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probs import softmax3
 from ..functions.text import WHITESPACE_CLASS, stable_id
-from ..runtime import spread_small
+from ..runtime import compute_once, spread_small
 
 SEED = 42
 
@@ -34,7 +34,7 @@ def documents_as_reviews(documents: DataFrame) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str, with_id: bool = True) -> DataFrame:
     rows = documents_as_reviews(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
-    return rows.withColumn("id", stable_id()) if with_id else rows
+    return compute_once(rows, "id", stable_id()) if with_id else rows
 
 
 def _judged(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
@@ -45,7 +45,7 @@ def _judged(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFr
 def _reviews_where(spark: SparkSession, sf_dir: str, judged: DataFrame, how: str) -> DataFrame:
     # The ids are computed after the join, for the remaining rows only.
     rows = reviews(spark, sf_dir, with_id=False).join(judged, "seq", how)
-    return rows.withColumn("id", stable_id())
+    return compute_once(rows, "id", stable_id())
 
 
 def toxic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import label_from_rating, safe_float
 from ..functions.text import or_empty, stable_id
+from ..runtime import compute_once
 from ..schema import REVIEW_COLUMNS
 
 
@@ -64,7 +65,7 @@ def rating_to_int(df: DataFrame) -> DataFrame:
 
 def with_id(df: DataFrame, name: str = "id") -> DataFrame:
     """Add the content ID unless the table already stores it."""
-    return df if name in df.columns else df.withColumn(name, stable_id("text", "asin"))
+    return df if name in df.columns else compute_once(df, name, stable_id("text", "asin"))
 
 
 def todo_rows(df: DataFrame) -> DataFrame:

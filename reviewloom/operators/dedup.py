@@ -16,6 +16,19 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
+def lookup_table(df: DataFrame, key: str) -> DataFrame:
+    """``df`` for the small side of a join on ``key`` with rows that may be skewed.
+
+    A table that was aggregated by the key would be joined in that partitioning, without a
+    shuffle of its own, and adaptive execution could then not split a hot key of the other
+    side. A key that is computed anew gives it its own (narrow) shuffle; when it is small
+    enough to broadcast nothing changes.
+    """
+    text = dict(df.dtypes)[key] == "string"
+    anew = F.concat(F.col(key), F.lit("")) if text else F.col(key) + F.lit(0)
+    return df.withColumn(key, anew)
+
+
 def dedup_keep_first(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Whole rows, first arrival per key.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_words
-from .dedup import require_columns
+from .dedup import lookup_table, require_columns
 from .ranking import (
     choose_plan,
     hash_bucket,
@@ -37,14 +37,15 @@ def drop_blocked(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     by itself while it is small.
     """
     require_columns(df, key)
-    return df.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_anti")
+    blocked = ids.select(F.col(ids.columns[0]).alias(key))
+    return df.join(lookup_table(blocked, key), key, "left_anti")
 
 
 def drop_labelled(df: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:
     """Rows that still need a label: a usable id that the labelled table does not have."""
     require_columns(df, key)
     usable = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    return usable.join(gold.select(key), key, "left_anti")
+    return usable.join(lookup_table(gold.select(key), key), key, "left_anti")
 
 
 def union_id_sets(*sets: DataFrame) -> DataFrame:

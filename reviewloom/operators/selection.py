@@ -12,7 +12,13 @@ from ..functions.probs import argmax, strategy_score, uncertainty
 from ..functions.text import or_empty
 from ..runtime import cut_lineage, small_table
 from .conform import todo_rows, with_id
-from .dedup import dedup_keep_first, fetch_rows, first_arrivals, require_columns
+from .dedup import (
+    dedup_keep_first,
+    fetch_rows,
+    first_arrivals,
+    lookup_table,
+    require_columns,
+)
 from .filters import cap_per_group, drop_blocked, head_rows, min_words
 from .ranking import HASH_DIGITS, choose_plan, top_ranked, value_bucket, with_rank
 from .scoring import Scorer
@@ -233,7 +239,7 @@ def merge_human_labels(
 ) -> DataFrame:
     """The pool with human labels put over its own; ``label_source`` says which one a row has."""
     require_columns(pool, key, "label")
-    human = newest_labels(labels, key, batch)
+    human = lookup_table(newest_labels(labels, key, batch), key)
     merged = pool.join(human, key, "left")
     return merged.withColumns(
         {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast by hint only when its row count is known to stay below this.
@@ -53,6 +53,15 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for a costly expression that later filters and joins refer to.
+
+    The optimizer copies a plain column's expression into the filters it pushes below it. It
+    does not do so with the output of a generator, here one over a one-element array.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spread_small(
     df: DataFrame, key: str, low: int = 1 << 20, high: int = 1 << 28
 ) -> DataFrame:

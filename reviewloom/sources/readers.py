@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import parse_number
 from ..functions.text import or_empty, strip_ws
 from ..operators.conform import conform_schema
 from ..operators.filters import union_id_sets
+from ..runtime import compute_once
 from ..schema import POOL_SCHEMA, REVIEW_COLUMNS, TODO_SCHEMA
 
 #: Fields taken from a JSON line unless the caller names others.
@@ -84,9 +85,15 @@ def json_lines(
     columns of ``lines`` (file name, position) are passed through. With ``strict`` an
     unreadable line fails the job.
     """
-    read = F.parse_json if strict else F.try_parse_json
-    parsed = lines.withColumn("__json", read(strip_ws(value)))
-    objects = parsed.filter(F.schema_of_variant("__json").startswith("OBJECT"))
+    is_object = F.startswith(strip_ws(value), F.lit("{"))
+    if strict:
+        parsed = compute_once(lines, "__json", F.parse_json(strip_ws(value)))
+        objects = parsed.filter(is_object)
+    else:
+        parsed = compute_once(
+            lines.filter(is_object), "__json", F.try_parse_json(strip_ws(value))
+        )
+        objects = parsed.filter(F.col("__json").isNotNull())
     columns = []
     for name, kind in fields.items():
         if kind == "double":
@@ -205,18 +212,21 @@ def read_todo_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TODO_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
 
 
-def mixed_text(line: Column | str) -> Column:
-    """Text of a line: the ``text`` field of a JSON object, or the line itself if it is no JSON."""
-    content = strip_ws(line)
-    parsed = F.try_parse_json(content)
-    field = F.try_variant_get(parsed, "$.text", "string")
-    return F.when(parsed.isNull(), content).otherwise(field)
+def mixed_texts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Non-blank texts of lines that are JSON objects with a ``text`` field or plain text.
+
+    A line that is JSON but holds no text is dropped; the other columns are passed through.
+    """
+    parsed = compute_once(lines, "__json", F.try_parse_json(strip_ws(value)))
+    field = F.try_variant_get("__json", "$.text", "string")
+    text = F.when(F.col("__json").isNull(), strip_ws(value)).otherwise(field)
+    rest = [c for c in lines.columns if c != value]
+    return parsed.select(*rest, text.alias("text")).filter(F.col("text") != "")
 
 
 def read_text_lines_mixed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Texts from lines that are JSON objects or plain text; blank ones are dropped."""
-    texts = spark.read.text(paths).select(mixed_text("value").alias("text"))
-    return texts.filter(F.col("text") != "")
+    return mixed_texts(spark.read.text(paths))
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
@@ -227,12 +237,13 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
 
 def unnest_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """One row per text of request rows that hold ``text`` or a list ``texts``."""
-    parsed = F.try_parse_json(F.col(body))
-    single = F.try_variant_get(parsed, "$.text", "string")
-    several = F.try_variant_get(parsed, "$.texts", "array<string>")
-    texts = F.when(single.isNotNull(), F.array(single)).otherwise(several)
+    parsed = compute_once(requests, "__json", F.try_parse_json(F.col(body)))
+    single = F.try_variant_get("__json", "$.text", "string")
+    several = F.try_variant_get("__json", "$.texts", "array<string>")
     rest = [c for c in requests.columns if c != body]
-    return requests.select(*rest, F.posexplode(texts).alias("position", "text"))
+    read = parsed.select(*rest, single.alias("__one"), several.alias("__many"))
+    texts = F.when(F.col("__one").isNotNull(), F.array("__one")).otherwise(F.col("__many"))
+    return read.select(*rest, F.posexplode(texts).alias("position", "text"))
 
 
 __all__ = [name for name in dir() if name.startswith(("read_", "load_"))] + [
@@ -240,7 +251,7 @@ __all__ = [name for name in dir() if name.startswith(("read_", "load_"))] + [
     "id_lines",
     "json_lines",
     "list_names",
-    "mixed_text",
+    "mixed_texts",
     "path_exists",
     "reviews_from_rows",
     "unnest_requests",

@@ -25,13 +25,21 @@ def event_time(column: str) -> Column:
     return F.col(column).cast("timestamp")
 
 
-def dedup_within(stream: DataFrame, time: str, delay: str, key: str = "id") -> DataFrame:
+def dedup_within(
+    stream: DataFrame, time: str, delay: str, key: str = "id", spread: str = "seq", salts: int = 16
+) -> DataFrame:
     """Drop later copies of an id that arrive within ``delay``; state is bounded by it.
 
     Copies further apart than the delay pass again, and rows behind the watermark are dropped.
+    Spark sends all rows of a key to one task here, so copies are first dropped per key and
+    salt (from the column ``spread``): a hot id then brings at most ``salts`` rows together.
     """
-    timed = stream.withColumn(time, event_time(time))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    timed = stream.withColumn(time, event_time(time)).withWatermark(time, delay)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+        timed = timed.withColumn("__salt", salt).dropDuplicatesWithinWatermark([key, "__salt"])
+        timed = timed.drop("__salt")
+    return timed.dropDuplicatesWithinWatermark([key])
 
 
 def first_by_id(stream: DataFrame, seq: str = "seq", key: str = "id") -> DataFrame:
