@@ -233,9 +233,8 @@ LEFT JOIN (SELECT product_category, count(*) FILTER (split = 'dev') AS dev_rows,
   USING (product_category)""",
 )
 def split_diagnostics(spark, sf_dir):
-    narrow = reviews(spark, sf_dir).select("id", "seq", "product_category")
-    accepted = filters.drop_blocked(
-        dedup.first_arrivals(narrow, carry=["product_category"]), views.toxic_ids(spark, sf_dir)
+    accepted = sampling.split_candidates(
+        reviews(spark, sf_dir, False), blocked=views.toxic_ids(spark, sf_dir)
     )
     return sampling.split_diagnostics(accepted, _split(spark, sf_dir), 5, 15)
 

@@ -39,24 +39,12 @@ def sample_per_key(
     return picked.drop("__hash")
 
 
-def _candidates(
-    df: DataFrame,
-    carry: dict,
-    seq: str,
-    blocked: DataFrame | None,
-    dedup: bool,
-    limit: int,
-    plan: str,
-) -> DataFrame:
-    """Narrow table of the rows that may be drawn: id, arrival number, carried columns.
+def _stored_for(narrow: DataFrame, limit: int, plan: str) -> DataFrame:
+    """Store the narrow table when ranking will read it more than once.
 
-    It is stored when ranking will read it more than once: computing ids is the costly pass
-    over the texts, and the narrow rows are a few percent of them.
+    Computing ids is the costly pass over the texts, and the narrow rows are a few percent of
+    them.
     """
-    narrow = with_id(df).select("id", seq, *[value.alias(name) for name, value in carry.items()])
-    if dedup:  # before the anti join, so that copies are combined on the map side
-        narrow = first_arrivals(narrow, "id", seq, list(carry))
-    narrow = drop_blocked(narrow, blocked) if blocked is not None else narrow
     return cut_lineage(narrow) if choose_plan(narrow, limit, plan) == "histogram" else narrow
 
 
@@ -77,8 +65,12 @@ def balanced_train(
     """
     require_columns(df, "text", "asin", seq)
     rows = min_words(df, words)
-    carry = {"label": label_column(rows)}
-    narrow = _candidates(rows, carry, seq, blocked, dedup, per_class, plan)
+    narrow = with_id(rows).select("id", seq, label_column(rows).alias("label"))
+    if dedup:  # before the anti join, so that copies are combined on the map side
+        narrow = first_arrivals(narrow, "id", seq, ["label"])
+    if blocked is not None:
+        narrow = drop_blocked(narrow, blocked)
+    narrow = _stored_for(narrow, per_class, plan)
     key = ("id",) if dedup else ("id", seq)
     keep = sample_per_key(narrow, "label", per_class, seed, key, rank="__rank", plan=plan)
     # Classes are 0, 1 and 2 unless the table brings labels of its own.
@@ -90,6 +82,24 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def split_candidates(
+    df: DataFrame,
+    categories: Sequence[str] = (),
+    blocked: DataFrame | None = None,
+    dedup: bool = True,
+    seq: str = "seq",
+) -> DataFrame:
+    """Narrow table of the rows a split may draw: id, arrival number and category."""
+    require_columns(df, "text", "asin", "product_category", seq)
+    rows = category_filter(
+        df.withColumn("product_category", or_empty("product_category")), categories
+    )
+    narrow = with_id(rows).select("id", seq, "product_category")
+    if dedup:  # before the anti join, so that copies are combined on the map side
+        narrow = first_arrivals(narrow, "id", seq, ["product_category"])
+    return drop_blocked(narrow, blocked) if blocked is not None else narrow
+
+
 def split_dev_eval(
     df: DataFrame,
     dev_k: int,
@@ -100,24 +110,24 @@ def split_dev_eval(
     dedup: bool = True,
     seq: str = "seq",
     plan: str = "auto",
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Per category: ``dev_k`` sampled rows marked "dev", the next ``eval_k`` marked "eval".
 
     Both parts come from one draw over distinct ids, so they cannot share an id.
+    ``candidates`` may pass in stored ``split_candidates``.
     """
-    require_columns(df, "text", "asin", "product_category", seq)
-    rows = category_filter(
-        df.withColumn("product_category", or_empty("product_category")), categories
-    )
     total = dev_k + eval_k
-    carry = {"product_category": F.col("product_category")}
-    narrow = _candidates(rows, carry, seq, blocked, dedup, total, plan)
+    narrow = candidates
+    if narrow is None:
+        narrow = split_candidates(df, categories, blocked, dedup, seq)
+        narrow = _stored_for(narrow, total, plan)
     key = ("id",) if dedup else ("id", seq)
     drawn = sample_per_key(narrow, "product_category", total, seed, key, plan=plan)
     split = F.when(F.col("rank") <= dev_k, F.lit("dev")).otherwise(F.lit("eval"))
-    keep = drawn.select("id", seq, split.alias("split"))
+    keep = drawn.select("id", seq, "product_category", split.alias("split"))
     bound = len(set(categories)) * total if categories else None
-    return fetch_rows(rows, keep, seq, at_most=bound)
+    return fetch_rows(df, keep, seq, at_most=bound)
 
 
 def split_diagnostics(

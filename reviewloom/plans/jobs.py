@@ -14,7 +14,7 @@ from ..functions.text import display_text, has_words
 from ..operators import leakage, metrics, sampling, scoring, selection, validate
 from ..operators.conform import ensure_label, gold_rows, with_id
 from ..operators.dedup import dedup_keep_first
-from ..operators.filters import category_filter, drop_blocked, drop_labelled, union_id_sets
+from ..operators.filters import drop_blocked, drop_labelled, union_id_sets
 from ..runtime import cut_lineage
 from ..schema import GOLD_SCHEMA, REVIEW_COLUMNS
 from ..sources import readers, writers
@@ -53,9 +53,10 @@ def build_splits(
     """Dev and eval files, their blocklist and the eval manifest; returns the diagnostics."""
     reviews = shard_reviews(spark, manifest, base_dir)
     blocked = readers.read_id_set(spark, blocked_paths) if blocked_paths else None
+    accepted = cut_lineage(sampling.split_candidates(reviews, categories, blocked, dedup))
     split = cut_lineage(
         sampling.split_dev_eval(
-            reviews, dev_k, eval_k, seed, categories, blocked, dedup
+            reviews, dev_k, eval_k, seed, categories, dedup=dedup, candidates=accepted
         ).withColumn("rating", safe_float("rating"))
     )
     for part in ("dev", "eval"):
@@ -65,9 +66,6 @@ def build_splits(
     writers.write_blocklist(split, f"{out}/blocklist")
     writers.write_file_manifest(spark, f"{out}/MANIFEST_eval.json", [f"{out}/eval.jsonl"])
 
-    accepted = with_id(category_filter(reviews.na.fill("", ["product_category"]), categories))
-    accepted = dedup_keep_first(accepted) if dedup else accepted
-    accepted = drop_blocked(accepted, blocked) if blocked is not None else accepted
     return sampling.split_diagnostics(accepted, split, dev_k, eval_k)
 
 
