@@ -71,7 +71,7 @@ def rating_to_class(rating: Column | str = "rating", mode: str = "permissive") -
         return F.when(valid, _stars(stars))
     if mode == "strict":
         message = F.concat(
-            F.lit("rating out of range: "), F.coalesce(stars.cast("string"), F.lit("null"))
+            F.lit("no class for rating "), F.coalesce(stars.cast("string"), F.lit("null"))
         )
         return F.when(valid, _stars(stars)).otherwise(F.raise_error(message).cast("int"))
     raise ValueError(f"unknown mode: {mode}")
@@ -92,7 +92,7 @@ def class_to_text(class_id: Column | str, mode: str = "permissive") -> Column:
         branches = F.when(hit, name) if branches is None else branches.when(hit, name)
     if mode == "strict":
         message = F.concat(
-            F.lit("invalid class id: "), F.coalesce(column.cast("string"), F.lit("null"))
+            F.lit("no name for class "), F.coalesce(column.cast("string"), F.lit("null"))
         )
         return branches.otherwise(F.raise_error(message).cast("string"))
     return branches.otherwise("unknown")

@@ -94,7 +94,7 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {
 def strategy_score(name: str, probs: Column | str) -> Column:
     key = name.lower()
     if key not in STRATEGIES:
-        raise ValueError(f"unknown strategy: {name}")
+        raise ValueError(f"no such strategy: {name}")
     return STRATEGIES[key](_col(probs))
 
 

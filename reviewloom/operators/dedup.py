@@ -13,7 +13,7 @@ from ..runtime import BROADCAST_ROWS, cut_lineage
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:
-        raise ValueError(f"missing required columns: {missing}")
+        raise ValueError(f"the table lacks the columns {missing}")
 
 
 def lookup_table(df: DataFrame, key: str) -> DataFrame:

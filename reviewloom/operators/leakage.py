@@ -34,5 +34,5 @@ def assert_no_leakage(train: DataFrame, evaluation: DataFrame) -> dict[str, int]
     report = leakage_report(train, evaluation).first().asDict()
     if report["shared"]:
         some = [row.id for row in leakage_ids(train, evaluation).orderBy("id").limit(5).collect()]
-        raise ValueError(f"data leakage detected: {report['shared']} shared IDs (e.g. {some})")
+        raise ValueError(f"{report['shared']} ids are on both sides, such as {some}")
     return {"train_unique": report["train_unique"], "eval_rows": report["eval_rows"]}

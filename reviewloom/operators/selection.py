@@ -108,7 +108,7 @@ def top_k_per_class(
     """Highest scores per predicted class, up to the quota of each of the three classes."""
     require_columns(df, score, by, seq)
     if len(quotas) != 3:
-        raise ValueError("per-class quotas must contain exactly three values")
+        raise ValueError("quotas need one number for each of the three classes")
     quota = F.coalesce(
         F.get(F.array(*[F.lit(max(int(q), 0)) for q in quotas]), F.col(by)), F.lit(0)
     )

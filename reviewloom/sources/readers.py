@@ -45,7 +45,7 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
 def _require_paths(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         if not path:
-            raise ValueError("path must be provided")
+            raise ValueError("the path is empty")
         if not path_exists(spark, path):
             raise FileNotFoundError(f"not found: {path}")
 
@@ -149,7 +149,7 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     _require_paths(spark, path)
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if "text" not in df.columns:
-        raise ValueError("Input CSV must contain a 'text' column")
+        raise ValueError(f"{path} has no column named text")
     return df.withColumn("text", or_empty("text"))
 
 

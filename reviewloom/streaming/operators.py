@@ -30,8 +30,8 @@ def dedup_within(
 ) -> DataFrame:
     """Drop later copies of an id that arrive within ``delay``; state is bounded by it.
 
-    Copies further apart than the delay pass again, and rows behind the watermark are dropped.
-    Spark sends all rows of a key to one task here, so copies are first dropped per key and
+    Copies further apart than the delay may pass again, rows behind the watermark are dropped,
+    and which copy of one micro-batch stays is not fixed (``first_by_id`` is exact). Spark sends all rows of a key to one task here, so copies are first dropped per key and
     salt (from the column ``spread``): a hot id then brings at most ``salts`` rows together.
     """
     timed = stream.withColumn(time, event_time(time)).withWatermark(time, delay)

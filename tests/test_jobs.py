@@ -76,7 +76,7 @@ def test_snapshot_split_prepare_train_select(spark, data, tmp_path):
         num_features=256, max_iter=5)
     assert {r.split for r in metrics.collect()} == {"dev", "eval"}
     assert spark.read.json(f"{base}/run/metrics").count() == 2
-    with pytest.raises(ValueError, match="leakage"):
+    with pytest.raises(ValueError, match="both sides"):
         jobs.train_and_evaluate(train, frozen, train, num_features=16, max_iter=1)
 
     picked = jobs.select_for_labelling(

@@ -95,7 +95,7 @@ def test_top_k_per_class(skewed, plan, quotas):
 
 
 def test_quota_length_is_checked(skewed):
-    with pytest.raises(ValueError, match="three values"):
+    with pytest.raises(ValueError, match="three classes"):
         selection.top_k_per_class(skewed[1], "score", [1, 2], by="label")
 
 

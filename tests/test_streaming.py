@@ -67,6 +67,24 @@ def test_watermark_dedup(files, stream):
     assert len(ids) == len(set(ids)) == len(first_of(files[0]))
 
 
+def test_watermark_bounds_the_state(spark, tmp_path):
+    """Copies within the delay go, copies long after it pass, rows far behind are dropped."""
+    hours = [("a", 0), ("a", 1)], [("b", 30)], [("d", 60)], [("a", 90), ("c", 2)]
+    path, seq = str(tmp_path / "in"), 0
+    for batch in hours:
+        rows = []
+        for key, hour in batch:
+            rows.append((seq, key, START + dt.timedelta(hours=hour)))
+            seq += 1
+        df = spark.createDataFrame(rows, "seq BIGINT, id STRING, ts TIMESTAMP")
+        df.coalesce(1).write.mode("append").parquet(path)
+    for salts in (1, 4):
+        stream = file_stream(spark, path, df.schema, max_files=1)
+        got = run_append(ops.dedup_within(stream, "ts", "10 hours", salts=salts))
+        ids = Counter(r.id for r in got.collect())
+        assert ids == {"a": 2, "b": 1, "d": 1}, salts
+
+
 def test_running_and_daily_counts(files, stream):
     got = ops.run_complete(
         ops.running_counts(stream.withColumn("label", label_from_rating()), "label"))
