@@ -33,7 +33,10 @@ def _best(
     seq: str,
     plan: str,
 ) -> DataFrame:
-    """Highest scores per group, ties to the first arrival."""
+    """Highest scores per group, ties to the first arrival.
+
+    The histogram plan reads ``df`` three times: pass stored scores, not a costly scorer.
+    """
     order = [F.col(score).desc(), F.col(seq)]
     if choose_plan(df, at_most, plan) == "window":
         return top_ranked(df, by, F.lit(0), order, limit, at_most, rank="__rank", plan="window")

@@ -15,7 +15,7 @@ from ..functions.text import or_empty, strip_ws
 from ..operators.conform import conform_schema
 from ..operators.filters import union_id_sets
 from ..runtime import compute_once
-from ..schema import POOL_SCHEMA, REVIEW_COLUMNS, TODO_SCHEMA
+from ..schema import POOL_SCHEMA, TODO_SCHEMA
 
 #: Fields taken from a JSON line unless the caller names others.
 LINE_FIELDS = {
@@ -247,7 +247,6 @@ def unnest_requests(requests: DataFrame, body: str = "body") -> DataFrame:
 
 
 __all__ = [name for name in dir() if name.startswith(("read_", "load_"))] + [
-    "REVIEW_COLUMNS",
     "id_lines",
     "json_lines",
     "list_names",

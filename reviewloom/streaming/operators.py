@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators.conform import with_id
 from ..operators.dedup import dedup_keep_first
+from ..operators.ranking import choose_plan
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
-from ..runtime import scratch_path
+from ..runtime import cut_lineage, scratch_path
 from ..sources.readers import list_names, path_exists
 from .sources import run_batches
 
@@ -31,7 +32,9 @@ def dedup_within(
     """Drop later copies of an id that arrive within ``delay``; state is bounded by it.
 
     Copies further apart than the delay may pass again, rows behind the watermark are dropped,
-    and which copy of one micro-batch stays is not fixed (``first_by_id`` is exact). Spark sends all rows of a key to one task here, so copies are first dropped per key and
+    and which copy of one micro-batch stays is not fixed (``first_by_id`` is exact).
+
+    Spark sends all rows of a key to one task here, so copies are first dropped per key and
     salt (from the column ``spread``): a hot id then brings at most ``salts`` rows together.
     """
     timed = stream.withColumn(time, event_time(time)).withWatermark(time, delay)
@@ -144,11 +147,20 @@ def run_selection(
     return table.latest()
 
 
+def _scored_once(rows: DataFrame, limit: int) -> DataFrame:
+    """Store a batch that ranking will read more than once, so that it is scored once."""
+    return cut_lineage(rows) if choose_plan(rows, limit) == "histogram" else rows
+
+
 def run_top_k_per_class(
     scored: DataFrame, quotas: Sequence[int], score: str = "uncertainty", seq: str = "seq", **run
 ) -> DataFrame:
     """Most uncertain rows per predicted class of a scored stream."""
-    return run_selection(scored, lambda rows: top_k_per_class(rows, score, quotas, seq=seq), **run)
+
+    def pick(rows: DataFrame) -> DataFrame:
+        return top_k_per_class(_scored_once(rows, max(quotas)), score, quotas, seq=seq)
+
+    return run_selection(scored, pick, **run)
 
 
 def run_sample_per_class(
@@ -165,7 +177,8 @@ def run_sample_per_class(
     """
 
     def pick(rows: DataFrame) -> DataFrame:
-        return sample_per_key(rows, by, k, seed, key, rank="__rank").drop("__rank")
+        once = _scored_once(rows, k)
+        return sample_per_key(once, by, k, seed, key, rank="__rank").drop("__rank")
 
     return run_selection(stream, pick, **run)
 

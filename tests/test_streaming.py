@@ -109,6 +109,14 @@ def test_top_k_equals_batch(spark, files, stream):
     assert table.read(0).count() <= 37 and table.read(5) is not None and table.read(6) is None
 
 
+def test_large_quotas_equal_batch(spark, files, stream):
+    quotas = [40, 1500, 3]  # above the limit of the one-pass plan
+    got = ops.run_top_k_per_class(scored(stream), quotas).collect()
+    batch = selection.top_k_per_class(
+        scored(spark.read.parquet(files[1])), "uncertainty", quotas, plan="window")
+    assert {r.seq for r in got} == {r.seq for r in batch.collect()}
+
+
 def test_sample_equals_batch(spark, files, stream):
     def rows(df):
         return df.select("seq", stable_id().alias("id"), label_from_rating().alias("label"))
