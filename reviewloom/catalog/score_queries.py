@@ -424,6 +424,16 @@ def agreement_filter(spark, sf_dir):
     return agreeing_rows(_candidates(spark, sf_dir)).select("id", "label")
 
 
+@query(
+    "token_counts",
+    f"SELECT doc_id AS seq, CAST({sql_words('text')} AS INTEGER) AS tokens FROM documents",
+)
+def token_counts(spark, sf_dir):
+    tokenizer = scoring.text_features()[0]
+    rows = tokenizer.transform(reviews(spark, sf_dir, False).select("seq", "text"))
+    return rows.select("seq", F.size("tokens").alias("tokens"))
+
+
 # Model fits are iterative, so these have no SQL twin.
 
 
