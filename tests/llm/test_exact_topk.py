@@ -11,8 +11,9 @@ def brute(rows, every, k):
     out = []
     for q, a in good:
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)
-            out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores[:k])]
+            sums = [(sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q]
+            scores = sorted((-max(-(2**63), min(2**63 - 1, s)), i) for s, i in sums)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 

@@ -47,7 +47,7 @@ def test_targets_and_budgets(spark):
         assert 0 <= r.copies <= 3
         taken[r.source] += r.copies * r.size
     for s in sizes:
-        assert abs(taken[s] - wanted[s]) <= 1
+        assert abs(taken[s] - wanted[s]) <= 20  # half the only size of a source
     assert sorted(found, key=str) == sorted(run(spark, rows[::-1]), key=str)
 
 
