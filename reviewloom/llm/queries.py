@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import exact_topk, minhash, mixing, packing, rans, warc
+from . import exact_topk, minhash, mixing, packing, rans, substring, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,11 @@ ORACLES["op8_warc_revisits"] = """
 def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
