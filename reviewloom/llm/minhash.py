@@ -50,7 +50,7 @@ class WordHashes:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for word in set(words) - memo.keys():
+        for word in set(words).difference(memo):
             memo[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 

@@ -52,7 +52,7 @@ class Encoder:
         for begin in range(0, len(texts), 64):
             part = range(begin, min(begin + 64, len(texts)))
             pieces = {i: _PIECE.findall(texts[i].lower()) for i in part if i not in others}
-            new = list(set().union(*pieces.values()) - self.memo.keys())
+            new = list(set().union(*pieces.values()).difference(self.memo))
             if len(self.memo) + len(new) > MEMO_PIECES:
                 self.memo.clear()
                 new = list(set().union(*pieces.values()))
