@@ -30,15 +30,22 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = os.path.basename(path) == "word_bpe_49k.json"
+        # The same model without the steps that are already done for a piece.
+        self.of_pieces = Tokenizer.from_file(path)
+        self.of_pieces.normalizer = normalizers.Sequence([])
+        self.of_pieces.pre_tokenizer = pre_tokenizers.ByteLevel(
+            add_prefix_space=False, use_regex=False
+        )
         self.memo: dict[str, bytes] = {}
         self.width = id_width(self.tokenizer)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        tokenizer = tokenizer or self.tokenizer
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, self.width).tobytes() for one in found]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -56,7 +63,7 @@ class Encoder:
             if len(self.memo) + len(new) > MEMO_PIECES:
                 self.memo.clear()
                 new = list(set().union(*pieces.values()))
-            self.memo.update(zip(new, self._encode(new)))
+            self.memo.update(zip(new, self._encode(new, self.of_pieces)))
             get = self.memo.__getitem__
             out += [others[i] if i in others else b"".join(map(get, pieces[i])) for i in part]
         return out
