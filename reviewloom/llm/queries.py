@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import exact_topk, langid, minhash, mixing, packing, rans, substring, warc
+from . import ann_tree, exact_topk, langid, minhash, mixing, packing, rans, substring, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()).select("text", "lang"))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann_tree.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, 10)
