@@ -51,31 +51,40 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def copies(sizes: dict[int, int], source_size: int, target: float, most: int) -> dict[int, tuple[int, int]]:
+def copies(
+    sizes: dict[int, int], source_size: int, target: float, most: int
+) -> dict[int, tuple[int, int]]:
     """For each size: how often every document is taken, and how many are taken once more.
 
     Whole passes come first. Of the rest, each size gives its even share, rounded down; then
     one more document of each size, longest first, while more than ``EXACT_WORDS`` are missing;
-    then the subset sum that comes closest to what is missing.
+    then the subset sum that comes closest to what is missing. If that cannot be met by taking
+    documents once more, they may be taken again, up to ``most`` times in all.
     """
+    positive = {n: count for n, count in sizes.items() if n}
+    if not positive:
+        return {n: (0, 0) for n in sizes}
     budget = round(target)
-    whole = min(most, budget // source_size) if source_size else 0
-    rest = budget - whole * source_size if whole < most else 0
-    extra = {n: count * rest // source_size if n else 0 for n, count in sizes.items()} if source_size else {}
-    missing = rest - sum(n * k for n, k in extra.items())
-    for n in sorted(sizes, reverse=True):
-        while n and missing - n >= EXACT_WORDS and extra[n] < sizes[n]:
-            extra[n] += 1
-            missing -= n
-    room = min(missing, EXACT_WORDS * 2)
-    left = {n: sizes[n] - extra.get(n, 0) for n in sizes if 0 < n <= room}
-    for n, k in best_fill(sorted(left, reverse=True), left, room).items():
-        extra[n] += k
-        missing -= n * k
-    over = min((n for n in sizes if n and extra[n] < sizes[n]), default=0)
+    whole = min(most, budget // source_size)
+    missing = budget - whole * source_size if whole < most else 0
+    extra = {n: count * missing // source_size for n, count in positive.items()}
+    missing -= sum(n * k for n, k in extra.items())
+    for passes in (1, most - whole):
+        left = {n: count * passes - extra[n] for n, count in positive.items()}
+        for n in sorted(left, reverse=True):
+            k = max(0, min(left[n], (missing - EXACT_WORDS) // n))
+            extra[n], left[n], missing = extra[n] + k, left[n] - k, missing - n * k
+        room = min(missing, 2 * EXACT_WORDS)
+        order = sorted((n for n in left if n <= room), reverse=True)
+        for n, k in best_fill(order, left, room).items():
+            extra[n], left[n], missing = extra[n] + k, left[n] - k, missing - n * k
+        if not missing:
+            break
+    over = min((n for n in left if left[n] > 0), default=0)
     if over and over - missing < missing:  # one document too many is nearer than one too few
         extra[over] += 1
-    return {n: (whole, extra.get(n, 0)) for n in sizes}
+    each = {n: divmod(extra[n], count) for n, count in positive.items()}
+    return {n: (whole + each[n][0], each[n][1]) if n else (0, 0) for n in sizes}
 
 
 def _plan(most: int):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import ann_tree, exact_topk, langid, minhash, mixing, packing, rans, substring, warc
+from . import ann_tree, exact_topk, html_extract, langid, minhash, mixing, packing, rans, substring, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return ann_tree.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op10_boosted_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages.select("html")))

@@ -292,20 +292,25 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     return spans.groupBy("uid").agg(F.collect_set(F.struct("at", "n", "mask")).alias("spans"))
 
 
+def covered_words(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
+    """Which of ``n`` words are in a repeated window."""
+    change = np.zeros(n + 1, np.int64)
+    for x in spans or ():
+        at = x["at"] + np.arange(x["n"])
+        if x["mask"] is not None:
+            at = at[(x["mask"] >> np.arange(x["n"])) & 1 == 1]
+        np.add.at(change, at, 1)
+        np.add.at(change, np.minimum(at + window, n), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, kept = [], [], []
             for text, spans in zip(batch["text"], batch["spans"].to_pylist()):
                 words = text_words(text.as_py())
-                covered = np.zeros(len(words) + 1, np.int64)
-                for x in spans or ():
-                    at = x["at"] + np.arange(x["n"])
-                    if x["mask"] is not None:
-                        at = at[(x["mask"] >> np.arange(x["n"])) & 1 == 1]
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, np.minimum(at + window, len(words)), -1)
-                gone = np.cumsum(covered)[:-1] > 0
+                gone = covered_words(len(words), spans, window)
                 totals.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
@@ -333,3 +338,29 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     return joined.mapInArrow(
         _cut(window), "doc_id bigint, text string, n_words bigint, n_removed bigint, kept string"
     )
+
+
+def cut_documents(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; all columns stay.
+
+    A text without repeated passages is left as it is; of others the kept words are joined by
+    one space. ``n_chars``, if there, is the new length of a changed text.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at = {c: names[i] for i, c in enumerate(docs.columns)}
+    keyed = plain.withColumns(
+        {"doc_id": F.col(at["doc_id"]).cast("bigint"), "text": F.col(at["text"])}
+    ).withColumn("uid", _row_id())
+    spans = repeated_windows(keyed.select("doc_id", "text"), window)
+    joined = keyed.join(spans, "uid", "left").drop("uid", "doc_id", at["text"])
+    schema = joined.drop("spans").selectExpr("*", "0L n_words", "0L n_removed", "'' kept").schema
+    found = joined.mapInArrow(_cut(window), schema)
+    changed = F.col("n_removed") > 0
+    found = found.withColumn(at["text"], F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in at:
+        length = F.length("kept").cast(dict(docs.dtypes)["n_chars"])
+        found = found.withColumn(
+            at["n_chars"], F.when(changed, length).otherwise(F.col(at["n_chars"]))
+        )
+    return found.select(*[F.col(at[c]).alias(c) for c in docs.columns])
