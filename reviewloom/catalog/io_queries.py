@@ -5,6 +5,7 @@ Files are written under the shared scratch folder of the session and read back.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
@@ -15,8 +16,7 @@ from ..runtime import scratch_path
 from ..sources import readers, writers
 from . import views
 from .registry import query
-from .sample_queries import _BALANCED, _SPLIT
-from .views import SEED, ctes, reviews, sql_letter_scores, sql_stars, table
+from .views import SEED, ctes, reviews, sql_letter_scores, sql_stars, sql_words, table
 
 SCORER = scoring.expression_scorer(views.letter_logits)
 
@@ -93,7 +93,7 @@ def id_set(spark, sf_dir):
 )
 def blocklist_file(spark, sf_dir):
     out = scratch_path(spark, "blocklist")
-    jobs.build_blocklist(spark, [_lines(spark, sf_dir), f"{out}-absent"], out)
+    jobs.build_blocklist(spark, [_lines(spark, sf_dir)], out)
     return readers.read_id_set(spark, [out])
 
 
@@ -124,59 +124,105 @@ def snapshot_manifest(spark, sf_dir):
     ctes("reviews")[:-1]
     + f""",
 {_SNAPSHOT}
-SELECT text, title, asin, product_category FROM snapshot""",
+SELECT concat('category=', product_category, ':', shard, ':', line) AS id,
+       text, title, asin, product_category
+FROM (SELECT *, (place - 1) // 8 AS shard, (place - 1) % 8 AS line
+      FROM (SELECT *, row_number() OVER (PARTITION BY product_category ORDER BY seq) AS place
+            FROM snapshot) a) b""",
 )
 def pool(spark, sf_dir):
     out = scratch_path(spark, "snapshot")
     jobs.snapshot(reviews(spark, sf_dir, False), out, 30, shard_size=8)
     rows = jobs.make_pool(spark, f"{out}/shards", f"{out}/pool.csv")
-    return rows.select("text", "title", "asin", "product_category")
+    # Spark names the files; a shard's number is the place of its first row among the others.
+    pattern = r"^(.*)/([^/]*):(\d+)$"
+    parts = [F.regexp_extract("id", pattern, i).alias(n) for i, n in enumerate(("folder", "file", "line"), 1)]
+    rows = rows.select(*parts, "text", "title", "asin", "product_category")
+    order = reviews(spark, sf_dir, False).groupBy("text", "title").agg(F.min("seq").alias("seq"))
+    firsts = rows.filter("line = '0'").join(order, ["text", "title"])
+    by_folder = Window.partitionBy("folder").orderBy("seq", "file")
+    shards = firsts.select("folder", "file", (F.row_number().over(by_folder) - 1).alias("shard"))
+    named = F.concat_ws(":", "folder", "shard", "line").alias("id")
+    return rows.join(shards, ["folder", "file"]).select(
+        named, "text", "title", "asin", "product_category"
+    )
+
+
+_SIDES = (
+    ctes("train_side", "eval_side", "toxic_ids")[:-1]
+    + f""",
+clean AS (
+  SELECT *, {sql_stars('rating')} AS label FROM train_side
+  WHERE id NOT IN (SELECT id FROM eval_side) AND {sql_words('text')} >= 3
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+drawn AS (
+  SELECT * FROM clean
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', id, '{SEED}')), id) <= 40),
+"""
+)
 
 
 @query(
     "prepare_splits",
-    _BALANCED.replace("SELECT seq, id, label, rating, text, asin, product_category FROM accepted",
-                      ", picked AS (SELECT label FROM accepted", 1).replace(") \nSELECT", ")")
-    + f""")
-SELECT 'train' AS split, label, count(*) AS rows FROM picked GROUP BY label
-UNION ALL
-SELECT 'dev' AS split, {sql_stars('rating')} AS label, count(*) AS rows
-FROM reviews WHERE seq NOT IN (SELECT doc_id FROM labels) GROUP BY ALL
-UNION ALL
-SELECT 'eval' AS split, {sql_stars('rating')} AS label, count(*) AS rows
-FROM reviews WHERE seq IN (SELECT doc_id FROM labels) GROUP BY ALL""",
+    _SIDES
+    + f"""sides AS (
+  SELECT 'train' AS split, id, seq, label FROM drawn UNION ALL
+  SELECT 'dev', id, seq, {sql_stars('rating')} FROM train_side UNION ALL
+  SELECT 'eval', id, seq, {sql_stars('rating')} FROM eval_side)
+SELECT split, id, seq, label FROM sides""",
 )
 def prepare_splits(spark, sf_dir):
     out = scratch_path(spark, "prepared")
-    return jobs.prepare(
-        reviews(spark, sf_dir, False),
+    evaluation = views.eval_side(spark, sf_dir)
+    jobs.prepare(
+        views.train_side(spark, sf_dir),
         views.train_side(spark, sf_dir),
-        views.eval_side(spark, sf_dir),
+        evaluation,
         out,
-        per_class=100,
-        blocked=views.toxic_ids(spark, sf_dir),
+        per_class=40,
+        blocked=evaluation.select("id").distinct(),
         words=3,
         seed=SEED,
     )
+    sides = [
+        spark.read.parquet(f"{out}/{name}.parquet").select(
+            F.lit(name).alias("split"), "id", "seq", "label"
+        )
+        for name in ("train", "dev", "eval")
+    ]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
 
 
 @query(
     "build_splits",
-    _SPLIT.replace(" WHERE id NOT IN (SELECT id FROM toxic_ids)", "")
-    + """SELECT a.product_category, a.seen, d.dev_rows, d.eval_rows,
-       d.dev_rows < 5 OR d.eval_rows < 15 AS short
-FROM (SELECT product_category, count(*) AS seen FROM accepted GROUP BY 1) a
-JOIN (SELECT product_category, count(*) FILTER (split = 'dev') AS dev_rows,
-             count(*) FILTER (split = 'eval') AS eval_rows FROM split GROUP BY 1) d
-  USING (product_category)""",
+    ctes("reviews")[:-1]
+    + f""",
+listed AS (
+  SELECT *, CASE WHEN seq % 3 = 2 THEN 0 WHEN seq % 3 = 1 THEN 1 ELSE 2 END AS place FROM reviews),
+firsts AS (
+  SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, seq) = 1),
+split AS (
+  SELECT *, row_number() OVER (PARTITION BY product_category
+                               ORDER BY md5(concat_ws(':', id, '{SEED}')), id) AS rank FROM firsts)
+SELECT text, rating, title, asin, product_category,
+       CASE WHEN rank <= 5 THEN 'dev' ELSE 'eval' END AS split FROM split WHERE rank <= 20""",
 )
 def build_splits(spark, sf_dir):
+    """Three shards, listed against the order of their names: the first listed copy is kept."""
     out = scratch_path(spark, "splits")
-    # One shard in arrival order, so that the first copy of an id is the one of the table.
-    rows = reviews(spark, sf_dir, False).orderBy("seq").drop("seq")
-    writers.write_jsonl(rows, f"{out}/in.jsonl")
-    writers.write_file_manifest(spark, f"{out}/MANIFEST.json", ["in.jsonl"])
-    return jobs.build_splits(spark, f"{out}/MANIFEST.json", out, 5, 15, SEED)
+    rows = reviews(spark, sf_dir, False)
+    names = ["z.jsonl", "m.jsonl", "a.jsonl"]
+    for name, rest in zip(names, (2, 1, 0)):
+        part = rows.filter(F.col("seq") % 3 == rest).orderBy("seq").drop("seq")
+        writers.write_jsonl(part, f"{out}/{name}")
+    writers.write_file_manifest(spark, f"{out}/MANIFEST.json", names)
+    jobs.build_splits(spark, f"{out}/MANIFEST.json", out, 5, 15, SEED)
+    sides = [
+        spark.read.parquet(f"{out}/{name}.parquet").withColumn("split", F.lit(name))
+        for name in ("dev", "eval")
+    ]
+    both = sides[0].unionByName(sides[1])
+    return both.select("text", F.col("rating").cast("double"), "title", "asin", "product_category", "split")
 
 
 @query(
@@ -238,19 +284,21 @@ def line_ids(spark, sf_dir):
     "predict_file",
     ctes("reviews")[:-1] + ",\n" + sql_letter_scores("reviews")
     + """
-SELECT CASE WHEN ranked[1] < 0.65 THEN 'abstain' WHEN pred_label = 0 THEN 'negative'
+SELECT row_number() OVER (ORDER BY seq) - 1 AS row,
+       CASE WHEN ranked[1] < 0.65 THEN 'abstain' WHEN pred_label = 0 THEN 'negative'
        WHEN pred_label = 1 THEN 'neutral' ELSE 'positive' END AS label,
        round(ranked[1], 6) AS confidence, round(p_neg, 6) AS p_neg, round(p_neu, 6) AS p_neu,
        round(p_pos, 6) AS p_pos FROM letter_scored""",
 )
 def predict_file(spark, sf_dir):
     out = scratch_path(spark, "predicted")
-    writers.write_csv(reviews(spark, sf_dir, False).select("text"), f"{out}/in.csv")
+    rows = reviews(spark, sf_dir, False).orderBy("seq")
+    writers.write_csv(rows.select("text"), f"{out}/in.csv")
     jobs.predict_csv(spark, f"{out}/in.csv", f"{out}/out.csv", SCORER, threshold=0.65)
     numbers = ("confidence", "p_neg", "p_neu", "p_pos")
-    schema = "label STRING, " + ", ".join(f"{n} DOUBLE" for n in numbers)
+    schema = "row BIGINT, label STRING, " + ", ".join(f"{n} DOUBLE" for n in numbers)
     back = spark.read.schema(schema).csv(f"{out}/out.csv", header=True)
-    return back.select("label", *[F.round(n, 6).alias(n) for n in numbers])
+    return back.select("row", "label", *[F.round(n, 6).alias(n) for n in numbers])
 
 
 @query(
@@ -273,14 +321,22 @@ def weight_file(spark, sf_dir):
 
 @query(
     "score_job",
-    ctes("reviews", "toxic_ids")
-    + "SELECT DISTINCT id FROM reviews WHERE id NOT IN (SELECT id FROM toxic_ids)",
+    ctes("reviews", "toxic_ids")[:-1] + ",\n" + sql_letter_scores("reviews")
+    + """
+SELECT seq, id AS content_id, round(p_neg, 6) AS p_neg, round(p_neu, 6) AS p_neu,
+       round(p_pos, 6) AS p_pos
+FROM letter_scored WHERE id NOT IN (SELECT id FROM toxic_ids)""",
 )
 def score_job(spark, sf_dir):
     out = scratch_path(spark, "scored")
     rows = reviews(spark, sf_dir, False)
-    jobs.score_pool(rows, SCORER, f"{out}/rows", views.toxic_ids(spark, sf_dir), f"{out}/seen")
-    return readers.read_id_set(spark, [f"{out}/seen"])
+    blocked = views.toxic_ids(spark, sf_dir)
+    scored = jobs.score_pool(rows, SCORER, f"{out}/rows", blocked, f"{out}/seen")
+    seen = readers.read_id_set(spark, [f"{out}/seen"]).withColumnRenamed("id", "content_id")
+    noted = scored.join(seen, "content_id")
+    return noted.select(
+        "seq", "content_id", *[F.round(n, 6).alias(n) for n in ("p_neg", "p_neu", "p_pos")]
+    )
 
 
 @query(
@@ -313,13 +369,14 @@ pool AS (SELECT * FROM firsts WHERE id NOT IN (SELECT id FROM toxic_ids)),
 """
     + sql_letter_scores("pool")
     + """
-SELECT id FROM letter_scored
+SELECT id, seq, text, product_category, rating, pred_label, round(uncertainty, 6) AS uncertainty
+FROM letter_scored
 QUALIFY row_number() OVER (PARTITION BY pred_label ORDER BY uncertainty DESC, seq)
         <= [15, 25, 10][pred_label + 1]""",
 )
 def select_job(spark, sf_dir):
     out = scratch_path(spark, "selected")
-    jobs.select_for_labelling(
+    picked = jobs.select_for_labelling(
         reviews(spark, sf_dir, False),
         SCORER,
         out,
@@ -327,4 +384,6 @@ def select_job(spark, sf_dir):
         quotas=[15, 25, 10],
         blocked=views.toxic_ids(spark, sf_dir),
     )
-    return readers.read_id_set(spark, [f"{out}/seen"])
+    noted = picked.join(readers.read_id_set(spark, [f"{out}/seen"]), "id")
+    columns = ("id", "seq", "text", "product_category", "rating", "pred_label")
+    return noted.select(*columns, F.round("uncertainty", 6).alias("uncertainty"))

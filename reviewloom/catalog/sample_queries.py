@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, filters, leakage, metrics, sampling, validate
+from ..runtime import stored_table
 from ..sources.writers import snapshot_rows
 from . import views
 from .registry import query
@@ -62,7 +63,7 @@ def head_rows(spark, sf_dir):
     "SELECT doc_id AS seq, lang AS asin FROM documents ORDER BY doc_id LIMIT 700",
 )
 def cap_total(spark, sf_dir):
-    rows = filters.head_rows(reviews(spark, sf_dir, False), 700, plan="histogram")
+    rows = filters.head_rows(reviews(spark, sf_dir, False), 700)
     return rows.select("seq", "asin")
 
 
@@ -88,7 +89,7 @@ def cap_per_category(spark, sf_dir):
 @query("cap_per_category_histogram", _CAPPED)
 def cap_per_category_histogram(spark, sf_dir):
     rows = reviews(spark, sf_dir, False).select("seq", "product_category")
-    return filters.cap_per_group(rows, 10, plan="histogram")
+    return filters.cap_per_group(rows, 10)
 
 
 @query(
@@ -117,26 +118,25 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_HASH}, id) <= 100"""
 )
 
 
-def _balanced(spark, sf_dir, plan):
+def _balanced(spark, sf_dir):
     rows = sampling.balanced_train(
         reviews(spark, sf_dir, False),
         per_class=100,
         seed=SEED,
         blocked=views.toxic_ids(spark, sf_dir),
         words=3,
-        plan=plan,
     )
     return rows.select("seq", "id", "label", "rating", "text", "asin", "product_category")
 
 
 @query("balanced_train", _BALANCED)
 def balanced_train(spark, sf_dir):
-    return _balanced(spark, sf_dir, "auto")
+    return _balanced(spark, sf_dir)
 
 
 @query("balanced_train_histogram", _BALANCED)
 def balanced_train_histogram(spark, sf_dir):
-    return _balanced(spark, sf_dir, "histogram")
+    return _balanced(spark, sf_dir)
 
 
 def _labelled(spark, sf_dir):
@@ -196,14 +196,13 @@ split AS (
 )
 
 
-def _split(spark, sf_dir, plan="auto"):
+def _split(spark, sf_dir):
     return sampling.split_dev_eval(
         reviews(spark, sf_dir, False),
         5,
         15,
         SEED,
         blocked=views.toxic_ids(spark, sf_dir),
-        plan=plan,
     )
 
 
@@ -217,7 +216,7 @@ def split_dev_eval(spark, sf_dir):
     _SPLIT + "SELECT seq, id, product_category, text, split FROM split",
 )
 def split_dev_eval_histogram(spark, sf_dir):
-    rows = _split(spark, sf_dir, "histogram")
+    rows = _split(spark, sf_dir)
     return rows.select("seq", "id", "product_category", "text", "split")
 
 
@@ -233,10 +232,11 @@ LEFT JOIN (SELECT product_category, count(*) FILTER (split = 'dev') AS dev_rows,
   USING (product_category)""",
 )
 def split_diagnostics(spark, sf_dir):
-    accepted = sampling.split_candidates(
-        reviews(spark, sf_dir, False), blocked=views.toxic_ids(spark, sf_dir)
-    )
-    return sampling.split_diagnostics(accepted, _split(spark, sf_dir), 5, 15)
+    rows = reviews(spark, sf_dir, False)
+    accepted = sampling.split_candidates(rows, blocked=views.toxic_ids(spark, sf_dir))
+    accepted = stored_table(accepted)  # the ids of all texts are computed once
+    split = sampling.split_dev_eval(rows, 5, 15, SEED, candidates=accepted)
+    return sampling.split_diagnostics(accepted, split, 5, 15)
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probs import softmax3
 from ..functions.text import WHITESPACE_CLASS, stable_id
-from ..runtime import compute_once, spread_small
+from ..runtime import compute_once
 
 SEED = 42
 
@@ -33,7 +33,7 @@ def documents_as_reviews(documents: DataFrame) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str, with_id: bool = True) -> DataFrame:
-    rows = documents_as_reviews(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
+    rows = documents_as_reviews(table(spark, sf_dir, "documents"))
     return compute_once(rows, "id", stable_id()) if with_id else rows
 
 
@@ -74,7 +74,13 @@ def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = [(20 * F.col("embedding")[i].cast("double")).alias(f"z{i}") for i in range(3)]
+    """Three logits from whole vectors: sums over every third component, from the i-th on."""
+
+    def total(start: int) -> Column:
+        part = F.filter("embedding", lambda x, i: i % 3 == start)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    z = [(8 * total(start)).alias(f"z{start}") for start in range(3)]
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         (F.col("label") % 3).alias("label"),
@@ -164,8 +170,9 @@ _PARTS = {
   SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)""",
     "logits": """logits AS (
   SELECT vec_id AS id, label % 3 AS label, CAST(1 + vec_id % 5 AS DOUBLE) AS rating,
-         20 * CAST(embedding[1] AS DOUBLE) AS z0, 20 * CAST(embedding[2] AS DOUBLE) AS z1,
-         20 * CAST(embedding[3] AS DOUBLE) AS z2
+         8 * list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(1, len(embedding) + 1, 3)]) AS z0,
+         8 * list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(2, len(embedding) + 1, 3)]) AS z1,
+         8 * list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(3, len(embedding) + 1, 3)]) AS z2
   FROM embeddings)""",
     "scored": """scored AS (
   SELECT id, label, rating, exp(z0 - m) / d AS p_neg, exp(z1 - m) / d AS p_neu,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS, cut_lineage
+from ..runtime import stored_table
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -53,18 +53,12 @@ def first_arrivals(
     return df.groupBy(key).agg(F.min(seq).alias(seq), *carried)
 
 
-def fetch_rows(
-    df: DataFrame, keep: DataFrame, seq: str = "seq", at_most: int | None = None
-) -> DataFrame:
+def fetch_rows(df: DataFrame, keep: DataFrame, seq: str = "seq") -> DataFrame:
     """Full rows of ``df`` for the arrival numbers in ``keep``, plus the columns of ``keep``.
 
-    ``seq`` must be unique in ``df``. When ``keep`` is known to be small the big table is only
-    scanned, never shuffled; ``at_most`` is that proof, else the rows are counted.
+    ``seq`` must be unique in ``df``. ``keep`` is stored, so that Spark knows its size: while it
+    is below the session's limit for broadcasts the big table is only scanned.
     """
     require_columns(df, seq)
-    if at_most is None:
-        keep = cut_lineage(keep)
-        at_most = keep.count()
     extra = [name for name in keep.columns if name != seq]
-    small = F.broadcast(keep) if at_most <= BROADCAST_ROWS else keep
-    return df.drop(*extra).join(small, seq)
+    return df.drop(*extra).join(stored_table(keep), seq)

@@ -8,14 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_words
-from .dedup import lookup_table, require_columns
-from .ranking import (
-    choose_plan,
-    hash_bucket,
-    range_bucket,
-    sample_hash,
-    top_ranked,
-)
+from .dedup import fetch_rows, lookup_table, require_columns
+from .ranking import sample_hash, top_ranked
 
 
 def min_words(df: DataFrame, n: int, text: str = "text") -> DataFrame:
@@ -61,21 +55,20 @@ def agreeing_rows(df: DataFrame, predicted: str = "pred_label", label: str = "la
     return df.filter(F.col(predicted) == F.col(label))
 
 
-def head_rows(df: DataFrame, n: int, seq: str = "seq", plan: str = "auto") -> DataFrame:
-    """The first ``n`` rows by arrival; ``n`` <= 0 keeps all rows."""
+def head_rows(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """The first ``n`` rows by arrival; ``n`` <= 0 keeps all rows.
+
+    Arrival numbers alone are ranked; the rows are fetched by them.
+    """
     require_columns(df, seq)
     if n <= 0:
         return df
-    if choose_plan(df, n, plan) == "window":
-        return df.orderBy(seq).limit(n)
-    bucket = range_bucket(df, seq)
-    return top_ranked(df, [], bucket, [F.col(seq)], n, rank="__rank", plan="histogram").drop(
-        "__rank"
-    )
+    first = top_ranked(df.select(seq), [], [F.col(seq)], n, rank="__rank")
+    return fetch_rows(df, first.drop("__rank"), seq)
 
 
 def sample_rows(
-    df: DataFrame, n: int, seed: int, key: Sequence[str] = ("id",), plan: str = "auto"
+    df: DataFrame, n: int, seed: int, key: Sequence[str] = ("id",)
 ) -> DataFrame:
     """A uniform sample of ``n`` rows: the first ``n`` of a seeded shuffle."""
     require_columns(df, *key)
@@ -83,11 +76,7 @@ def sample_rows(
         return df
     hashed = df.withColumn("__hash", sample_hash(seed, *key))
     order = [F.col("__hash"), *[F.col(name) for name in key]]
-    if choose_plan(df, n, plan) == "window":
-        return hashed.orderBy(*order).limit(n).drop("__hash")
-    picked = top_ranked(hashed, [], hash_bucket("__hash"), order, n, rank="__rank",
-                        plan="histogram")
-    return picked.drop("__hash", "__rank")
+    return top_ranked(hashed, [], order, n, rank="__rank").drop("__hash", "__rank")
 
 
 def cap_per_group(
@@ -95,15 +84,15 @@ def cap_per_group(
     n: int,
     by: str = "product_category",
     seq: str = "seq",
-    plan: str = "auto",
     rank: str | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of each group by arrival; ``n`` <= 0 keeps all rows."""
+    """The first ``n`` rows of each group by arrival; ``n`` <= 0 keeps all rows.
+
+    Groups and arrival numbers alone are ranked; the rows are fetched by arrival number.
+    """
     require_columns(df, by, seq)
     if n <= 0:
         return df
-    plan = choose_plan(df, n, plan)
-    bucket = range_bucket(df, seq) if plan == "histogram" else F.lit(0)
     name = rank or "__rank"
-    picked = top_ranked(df, [by], bucket, [F.col(seq)], n, rank=name, plan=plan)
-    return picked if rank else picked.drop(name)
+    first = top_ranked(df.select(by, seq), [by], [F.col(seq)], n, rank=name)
+    return fetch_rows(df, first.select(seq, *([rank] if rank else [])), seq)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
 from ..functions.probs import argmax, confidence, cross_entropy
 from ..functions.text import _col
-from ..runtime import small_table
-from .ranking import value_bucket
+from .ranking import with_rank
 
 
 def label_distribution(df: DataFrame, *by: str) -> DataFrame:
@@ -185,54 +184,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Values are counted per (group, value bucket) first; only the buckets that hold a wanted
-    position are looked at value by value, with equal values already combined.
+    Values are ranked within their groups by ``with_rank``, which spreads a group over tasks,
+    however close its values are; the ranks next to each wanted position are picked out.
     """
     values = df.select(by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
-    values = values.withColumn("__bucket", value_bucket(F.col("__v"), 256))
-    counts = values.groupBy(by, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    whole = Window.partitionBy(by)
-    running = whole.orderBy("__bucket")
-    edges = counts.withColumns(
-        {
-            "__before": F.sum("__rows").over(running) - F.col("__rows"),
-            "__total": F.sum("__rows").over(whole),
-        }
-    )
-    ranks = {}
+    placed = with_rank(values, [by], [F.col("__v")], rank="__rank")
+    totals = values.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__total"))
+    placed = placed.join(totals, placed[by].eqNullSafe(totals["__by"])).drop("__by")
+    picked = []
     for name, fraction in fractions.items():
         at = (F.col("__total") - 1) * F.lit(fraction)
-        ranks[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
-    wanted = F.array(*[edge for low, high, _ in ranks.values() for edge in (low, high)])
-    holds = F.exists(
-        wanted,
-        lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__rows")),
-    )
-    edges = small_table(
-        edges.filter(holds).select(
-            F.col(by).alias("__by"), F.col("__bucket").alias("__b"), "__before", "__total"
-        )
-    )
-    near = values.join(
-        edges, values[by].eqNullSafe(edges["__by"]) & (values["__bucket"] == edges["__b"])
-    )
-    tallied = near.groupBy(by, "__bucket", "__before", "__total", "__v").agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    inside = Window.partitionBy(by, "__bucket").orderBy("__v")
-    placed = tallied.withColumn(
-        "__upto", F.col("__before") + F.sum("__n").over(inside)
-    ).withColumn("__from", F.col("__upto") - F.col("__n"))
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__upto")), F.col("__v")))
-
-    return placed.groupBy(by).agg(
-        *[
-            (at_rank(low) + F.max(part) * (at_rank(high) - at_rank(low))).alias(name)
-            for name, (low, high, part) in ranks.items()
-        ]
-    )
+        low, part = F.floor(at), at - F.floor(at)
+        low_value = F.max(F.when(F.col("__rank") == low + 1, F.col("__v")))
+        high_value = F.max(F.when(F.col("__rank") == F.ceil(at) + 1, F.col("__v")))
+        picked.append((low_value + F.max(part) * (high_value - low_value)).alias(name))
+    return placed.groupBy(by).agg(*picked)
 
 
 def latency_summary(

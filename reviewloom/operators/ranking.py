@@ -1,15 +1,11 @@
 """Ranked selection that never brings a whole group into one task.
 
-Two plans give the same rows:
-
-* ``window``: ``row_number`` under a literal limit. Spark keeps at most ``limit`` rows per
-  group and map task before the shuffle, so one reduce task sees up to
-  ``limit * map tasks`` rows.
-* ``histogram``: count rows per group and order-preserving bucket (combined on the map
-  side), keep the buckets that lie under the limit, and rank only inside those. Reduce tasks
-  are spread over (group, bucket), so neither a hot group nor a large limit matters.
-
-``auto`` takes the window plan while its bound stays under ``SINGLE_TASK_ROWS``.
+There is one plan for every size, limit and type of order. Rows are dealt by range over group
+and order, with borders that Spark samples from the rows, and sorted inside each range. A row's
+place among all rows is its place in its range plus the rows of the ranges before; its rank is
+that place less the first place of its group. A group with a third of all rows, a limit of
+millions, close scores or a few far ones are all spread over as many tasks as the rows need, as
+long as the order ends in a unique column.
 """
 
 from __future__ import annotations
@@ -20,13 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col
-from ..runtime import SINGLE_TASK_ROWS, estimated_tasks, small_table
-
-#: Above this literal limit Spark does not limit groups before the shuffle.
-GROUP_LIMIT_ROWS = 1000
-#: Hex digits of a hash that make its bucket: 4,096 buckets per group.
-HASH_DIGITS = 3
-RANGE_BUCKETS = 4096
+from ..runtime import stored_table
 
 
 def sample_hash(seed: int, *keys: Column | str) -> Column:
@@ -35,100 +25,57 @@ def sample_hash(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
-def hash_bucket(hashed: Column | str) -> Column:
-    return F.substring(_col(hashed), 1, HASH_DIGITS)
-
-
-def value_bucket(value: Column, resolution: int = 4096) -> Column:
-    """Integer that never decreases as ``value`` grows; fine near zero, coarse far out."""
-    size = F.least(F.abs(value), F.lit(1e300))  # infinities stay within a long
-    bucket = F.signum(value) * F.floor(F.log1p(size) * resolution)
-    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(bucket.cast("long"))
-
-
-def range_bucket(df: DataFrame, column: str, buckets: int = RANGE_BUCKETS) -> Column:
-    """Equal-width bucket of a numeric column between its smallest and largest value."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None or high == low:
-        return F.lit(0).cast("long")
-    width = (float(high) - float(low)) / buckets
-    return F.floor((F.col(column) - F.lit(low)) / F.lit(width)).cast("long")
-
-
-def _same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
-    condition = F.lit(True)
-    for mine, theirs in names.items():
-        condition = condition & left[mine].eqNullSafe(right[theirs])
-    return condition
-
-
-def choose_plan(df: DataFrame, limit: int | None, plan: str = "auto") -> str:
-    if plan != "auto":
-        return plan
-    if limit is None or limit > GROUP_LIMIT_ROWS:
-        return "histogram"
-    return "window" if limit * estimated_tasks(df) <= SINGLE_TASK_ROWS else "histogram"
-
-
 def with_rank(
     df: DataFrame,
     by: Sequence[str],
-    bucket: Column,
     order: Sequence[Column],
     limit: Column | int | None = None,
     rank: str = "rank",
 ) -> DataFrame:
-    """Exact rank inside each group, through per-bucket counts.
+    """Exact rank inside each group, from 1; with a ``limit`` (a number, or a column over
+    ``by``) only the rows up to it.
 
-    ``bucket`` must follow ``order``: every row of a bucket comes before every row of the
-    next one. With a ``limit`` (a number, or a column over ``by``) only the rows up to it
-    remain, and buckets past it are dropped before anything is shuffled.
+    All columns of ``df`` are shuffled and stored, so pass narrow rows; they are read twice,
+    once to sample the borders of the ranges. ``order`` should end in a unique column.
     """
     by = list(by)
-    tagged = df.withColumn("__bucket", bucket)
-    counts = tagged.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    running = Window.partitionBy(*by).orderBy("__bucket")
-    edges = counts.withColumn("__before", F.sum("__rows").over(running) - F.col("__rows"))
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    if limit is not None:
-        edges = edges.filter(F.col("__before") < limit)
-    keys = {name: f"__e{i}" for i, name in enumerate([*by, "__bucket"])}
-    edges = small_table(
-        edges.select(*[F.col(name).alias(key) for name, key in keys.items()], "__before")
-    )
-    inside = Window.partitionBy(*by, "__bucket").orderBy(*order)
-    ranked = (
-        tagged.join(edges, _same(tagged, edges, keys))
-        .withColumn(rank, F.col("__before") + F.row_number().over(inside))
-        .drop("__bucket", "__before", *keys.values())
+    sort = [F.col(name).asc_nulls_first() for name in by] + list(order)
+    dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # Spark numbers the rows of a partition from (partition number << 33) on.
+    placed = stored_table(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(
+        "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base")
     )
+    # One row per range, and there are no more ranges than shuffle partitions.
+    placed = placed.withColumn("__part", part).join(F.broadcast(base), "__part")
+    inside = F.col("__at").bitwiseAND((1 << 33) - 1)
+    placed = placed.withColumn("__place", F.col("__base") + inside).drop("__part", "__base", "__at")
+    if by:
+        keys = {name: f"__g{i}" for i, name in enumerate(by)}
+        firsts = placed.groupBy(*[F.col(name).alias(key) for name, key in keys.items()])
+        firsts = firsts.agg(F.min("__place").alias("__first"))
+        same = F.lit(True)
+        for name, key in keys.items():
+            same = same & placed[name].eqNullSafe(firsts[key])
+        placed = placed.join(firsts, same).drop(*keys.values())
+    else:
+        placed = placed.withColumn("__first", F.lit(0))
+    ranked = placed.withColumn(rank, F.col("__place") - F.col("__first") + 1)
+    ranked = ranked.drop("__place", "__first")
     return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
 
 
 def top_ranked(
     df: DataFrame,
     by: Sequence[str],
-    bucket: Column,
     order: Sequence[Column],
     limit: Column | int,
-    at_most: int | None = None,
     rank: str = "rank",
-    plan: str = "auto",
 ) -> DataFrame:
-    """The first ``limit`` rows of each group in the given order, with their ``rank``.
-
-    ``limit`` may be a column over ``by``; ``at_most`` then states the largest value it
-    takes, which lets the window plan limit groups before the shuffle.
-    """
-    bound = limit if isinstance(limit, int) else at_most
-    if bound is not None and bound <= 0:
+    """The first ``limit`` rows of each group in the given order, with their ``rank``."""
+    if isinstance(limit, int) and limit <= 0:
         return df.withColumn(rank, F.lit(0).cast("long")).filter(F.lit(False))
-    if choose_plan(df, bound, plan) == "histogram":
-        return with_rank(df, by, bucket, order, limit, rank)
-    spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn(rank, F.row_number().over(spec.orderBy(*order)))
-    if bound is not None:
-        ranked = ranked.filter(F.col(rank) <= F.lit(bound))
-    if not isinstance(limit, int):
-        ranked = ranked.filter(F.col(rank) <= limit)
-    return ranked.withColumn(rank, F.col(rank).cast("long"))
+    return with_rank(df, by, order, limit, rank)

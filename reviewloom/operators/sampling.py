@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
-from ..runtime import cut_lineage, small_table
+from ..runtime import stored_table
 from .conform import label_column, with_id
 from .dedup import fetch_rows, first_arrivals, require_columns
 from .filters import cap_per_group, category_filter, drop_blocked, min_words, sample_rows
-from .ranking import choose_plan, hash_bucket, sample_hash, top_ranked
+from .ranking import sample_hash, top_ranked, with_rank
 
 
 def sample_per_key(
@@ -26,7 +26,6 @@ def sample_per_key(
     seed: int,
     key: Sequence[str] = ("id",),
     rank: str = "rank",
-    plan: str = "auto",
 ) -> DataFrame:
     """A uniform sample of at most ``k`` rows of each group.
 
@@ -35,17 +34,24 @@ def sample_per_key(
     require_columns(df, by, *key)
     hashed = df.withColumn("__hash", sample_hash(seed, *key))
     order = [F.col("__hash"), *[F.col(name) for name in key]]
-    picked = top_ranked(hashed, [by], hash_bucket("__hash"), order, k, rank=rank, plan=plan)
+    picked = top_ranked(hashed, [by], order, k, rank=rank)
     return picked.drop("__hash")
 
 
-def _stored_for(narrow: DataFrame, limit: int, plan: str) -> DataFrame:
-    """Store the narrow table when ranking will read it more than once.
-
-    Computing ids is the costly pass over the texts, and the narrow rows are a few percent of
-    them.
-    """
-    return cut_lineage(narrow) if choose_plan(narrow, limit, plan) == "histogram" else narrow
+def train_candidates(
+    df: DataFrame,
+    blocked: DataFrame | None = None,
+    words: int = 0,
+    dedup: bool = True,
+    seq: str = "seq",
+) -> DataFrame:
+    """Narrow table of the rows that may train: id, arrival number and class."""
+    require_columns(df, "text", "asin", seq)
+    rows = min_words(df, words)
+    narrow = with_id(rows).select("id", seq, label_column(rows).alias("label"))
+    if dedup:  # before the anti join, so that copies are combined on the map side
+        narrow = first_arrivals(narrow, "id", seq, ["label"])
+    return drop_blocked(narrow, blocked) if blocked is not None else narrow
 
 
 def balanced_train(
@@ -56,26 +62,17 @@ def balanced_train(
     words: int = 0,
     dedup: bool = True,
     seq: str = "seq",
-    plan: str = "auto",
 ) -> DataFrame:
     """At most ``per_class`` rows of each class, drawn uniformly from the whole table.
 
     Steps: word filter, first arrival of each id, blocklist, class from label or stars,
     seeded sample per class. Returns the rows with ``id`` and ``label``.
     """
-    require_columns(df, "text", "asin", seq)
-    rows = min_words(df, words)
-    narrow = with_id(rows).select("id", seq, label_column(rows).alias("label"))
-    if dedup:  # before the anti join, so that copies are combined on the map side
-        narrow = first_arrivals(narrow, "id", seq, ["label"])
-    if blocked is not None:
-        narrow = drop_blocked(narrow, blocked)
-    narrow = _stored_for(narrow, per_class, plan)
+    narrow = train_candidates(df, blocked, words, dedup, seq)
+    narrow = stored_table(narrow)  # the ids are computed once, and ranking reads them twice
     key = ("id",) if dedup else ("id", seq)
-    keep = sample_per_key(narrow, "label", per_class, seed, key, rank="__rank", plan=plan)
-    # Classes are 0, 1 and 2 unless the table brings labels of its own.
-    bound = 3 * per_class if "label" not in df.columns else None
-    return fetch_rows(df, keep.drop("__rank"), seq, at_most=bound)
+    keep = sample_per_key(narrow, "label", per_class, seed, key, rank="__rank")
+    return fetch_rows(df, keep.drop("__rank"), seq)
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -109,7 +106,6 @@ def split_dev_eval(
     blocked: DataFrame | None = None,
     dedup: bool = True,
     seq: str = "seq",
-    plan: str = "auto",
     candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Per category: ``dev_k`` sampled rows marked "dev", the next ``eval_k`` marked "eval".
@@ -121,13 +117,12 @@ def split_dev_eval(
     narrow = candidates
     if narrow is None:
         narrow = split_candidates(df, categories, blocked, dedup, seq)
-        narrow = _stored_for(narrow, total, plan)
+        narrow = stored_table(narrow)
     key = ("id",) if dedup else ("id", seq)
-    drawn = sample_per_key(narrow, "product_category", total, seed, key, plan=plan)
+    drawn = sample_per_key(narrow, "product_category", total, seed, key)
     split = F.when(F.col("rank") <= dev_k, F.lit("dev")).otherwise(F.lit("eval"))
     keep = drawn.select("id", seq, "product_category", split.alias("split"))
-    bound = len(set(categories)) * total if categories else None
-    return fetch_rows(df, keep, seq, at_most=bound)
+    return fetch_rows(df, keep, seq)
 
 
 def split_diagnostics(
@@ -195,32 +190,33 @@ def sample_stratified(
         return sample_rows(df, n, seed, key)
     require_columns(df, seq, *key)
     # Read several times below, so it is stored once: a few percent of the full rows.
-    narrow = cut_lineage(df.select(*dict.fromkeys([*key, seq, by])))
+    narrow = stored_table(df.select(*dict.fromkeys([*key, seq, by])))
     counts = narrow.groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
-    seats = small_table(allocate_quota(counts, n, by).select(by, "seats", "total"))
+    seats = stored_table(allocate_quota(counts, n, by).select(by, "seats", "total"))
     total, seated = seats.agg(F.max("total"), F.sum("seats")).first()
     if total is None:  # no row has a stratum
         return sample_rows(df, n, seed, key)
     if total <= n:
         return df
 
-    hashed = narrow.join(seats, by).withColumn("__hash", sample_hash(seed, *key))
+    hashed = narrow.join(seats, by, "left").withColumn("__hash", sample_hash(seed, *key))
     order = [F.col("__hash"), *[F.col(name) for name in key]]
-    drawn = top_ranked(
-        hashed, [by, "seats"], hash_bucket("__hash"), order, F.col("seats"), at_most=n
-    ).select(seq)
-    if seated < n:
-        drawn = cut_lineage(drawn)
-        rest = narrow.join(drawn, seq, "left_anti")
-        drawn = drawn.unionByName(sample_rows(rest, n - seated, seed, key).select(seq))
-    return fetch_rows(df, drawn, seq, at_most=n)
+    ranked = with_rank(hashed, [by], order, rank="__rank")
+    has_seat = F.coalesce(F.col("__rank") <= F.col("seats"), F.lit(False))
+    if seated == n:
+        return fetch_rows(df, ranked.filter(has_seat).select(seq), seq)
+    ranked = stored_table(ranked)
+    rest = sample_rows(
+        ranked.filter(~has_seat).select(*dict.fromkeys([*key, seq])), n - seated, seed, key
+    )
+    return fetch_rows(df, ranked.filter(has_seat).select(seq).unionByName(rest.select(seq)), seq)
 
 
 def first_n_per_category(
-    df: DataFrame, n: int, by: str = "product_category", seq: str = "seq", plan: str = "auto"
+    df: DataFrame, n: int, by: str = "product_category", seq: str = "seq"
 ) -> DataFrame:
     """The first ``n`` arrivals of each category, with their rank."""
-    return cap_per_group(df, n, by, seq, plan, rank="rank")
+    return cap_per_group(df, n, by, seq, rank="rank")
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: Sequence[str] = ("id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -64,10 +65,10 @@ def pandas_scorer(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for texts in batches:
-            probs = [[float(x) for x in row] for row in model(texts)]
+            probs = np.asarray(model(texts), dtype=np.float64)
             if len(probs) != len(texts):
                 raise ValueError("the model returned a different number of rows")
-            yield pd.Series(probs, index=texts.index)
+            yield pd.Series(list(probs), index=texts.index)  # a row of the array each
 
     return lambda df: df.withColumn("probs", run(or_empty("text")))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_human_label, safe_float
 from ..functions.probs import argmax, strategy_score, uncertainty
 from ..functions.text import or_empty
-from ..runtime import cut_lineage, small_table
+from ..runtime import stored_table
 from .conform import todo_rows, with_id
 from .dedup import (
     dedup_keep_first,
@@ -20,84 +20,22 @@ from .dedup import (
     require_columns,
 )
 from .filters import cap_per_group, drop_blocked, head_rows, min_words
-from .ranking import HASH_DIGITS, choose_plan, top_ranked, value_bucket, with_rank
+from .ranking import top_ranked
 from .scoring import Scorer
 
 
-def _best(
-    df: DataFrame,
-    score: str,
-    by: Sequence[str],
-    limit: Column | int,
-    at_most: int,
-    seq: str,
-    plan: str,
-) -> DataFrame:
-    """Highest scores per group, ties to the first arrival.
+def top_k(df: DataFrame, score: str, k: int, seq: str = "seq") -> DataFrame:
+    """The ``k`` highest scores in falling order; ties go to the first arrival.
 
-    The histogram plan reads ``df`` three times: pass stored scores, not a costly scorer.
+    Nulls come last and NaN first. Scores and arrival numbers alone are ranked; they are read
+    twice and the rows once more, so pass stored scores, not a costly scorer.
     """
-    order = [F.col(score).desc(), F.col(seq)]
-    if choose_plan(df, at_most, plan) == "window":
-        return top_ranked(df, by, F.lit(0), order, limit, at_most, rank="__rank", plan="window")
-    # Counting by score bucket finds the rows that can qualify; counting those by exact score
-    # and arrival then splits even a large group of equal scores.
-    value = F.col(score)
-    bucket = (
-        F.when(value.isNull(), F.lit((1 << 63) - 1))
-        .when(F.isnan(value), F.lit(-(1 << 63)))
-        .otherwise(value_bucket(-value))
-    )
-    near = with_rank_bound(df, by, bucket, limit)
-    falling = F.when(value.isNull(), float("inf")).when(F.isnan(value), float("-inf"))
-    exact = F.struct(falling.otherwise(-value).alias("s"), _arrival_bucket(df, seq).alias("a"))
-    return with_rank(near, by, exact, order, limit, rank="__rank")
-
-
-def _arrival_bucket(df: DataFrame, seq: str) -> Column:
-    """About a million arrival numbers per bucket; for text ids their first characters."""
-    if dict(df.dtypes)[seq] == "string":
-        return F.substring(F.col(seq), 1, HASH_DIGITS)
-    return F.floor(F.col(seq) / F.lit(1 << 20)).cast("long")
-
-
-def with_rank_bound(
-    df: DataFrame, by: Sequence[str], bucket: Column, limit: Column | int
-) -> DataFrame:
-    """Drop the buckets that lie wholly past the limit; nothing is shuffled but the counts."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    tagged = df.withColumn("__bucket", bucket)
-    counts = tagged.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    running = Window.partitionBy(*by).orderBy("__bucket")
-    reached = counts.withColumn("__before", F.sum("__rows").over(running) - F.col("__rows"))
-    last = reached.filter(F.col("__before") < limit).groupBy(*by).agg(
-        F.max("__bucket").alias("__last")
-    )
-    keys = {name: f"__k{i}" for i, name in enumerate(by)}
-    last = small_table(
-        last.select(*[F.col(name).alias(key) for name, key in keys.items()], "__last")
-    )
-    if not by:
-        row = last.first()
-        edge = row[0] if row else None
-        return tagged.filter(F.col("__bucket") <= F.lit(edge)).drop("__bucket")
-    condition = tagged["__bucket"] <= last["__last"]
-    for name, key in keys.items():
-        condition = condition & tagged[name].eqNullSafe(last[key])
-    return tagged.join(last, condition).drop("__bucket", "__last", *keys.values())
-
-
-def top_k(
-    df: DataFrame, score: str, k: int, seq: str = "seq", plan: str = "auto"
-) -> DataFrame:
-    """The ``k`` highest scores in falling order; ties go to the first arrival."""
     require_columns(df, score, seq)
     order = [F.col(score).desc(), F.col(seq)]
     if k <= 0:
         return df.filter(F.lit(False))
-    if choose_plan(df, k, plan) == "window":
-        return df.orderBy(*order).limit(k)
-    return _best(df, score, [], k, k, seq, "histogram").drop("__rank").orderBy(*order)
+    best = top_ranked(df.select(score, seq), [], order, k, rank="__rank")
+    return fetch_rows(df, best.select(seq, "__rank"), seq).orderBy("__rank").drop("__rank")
 
 
 def top_k_per_class(
@@ -106,7 +44,6 @@ def top_k_per_class(
     quotas: Sequence[int],
     by: str = "pred_label",
     seq: str = "seq",
-    plan: str = "auto",
 ) -> DataFrame:
     """Highest scores per predicted class, up to the quota of each of the three classes."""
     require_columns(df, score, by, seq)
@@ -116,18 +53,20 @@ def top_k_per_class(
         F.get(F.array(*[F.lit(max(int(q), 0)) for q in quotas]), F.col(by)), F.lit(0)
     )
     # No filter on the class before ranking: it would be pushed below the scorer and run twice.
-    return _best(df, score, [by], quota, max(quotas), seq, plan).drop("__rank")
+    order = [F.col(score).desc(), F.col(seq)]
+    best = top_ranked(df.select(by, score, seq), [by], order, quota, rank="__rank")
+    return fetch_rows(df, best.select(seq), seq)
 
 
 def prepare_batch(
-    scored: DataFrame, k: int, strategy: str, seq: str = "id", plan: str = "auto"
+    scored: DataFrame, k: int, strategy: str, seq: str = "id"
 ) -> DataFrame:
     """The ``k`` rows a strategy finds least certain, as rows to label. Ties go to the lower id."""
     name = strategy.lower()
     if "probs" not in scored.columns:
         scored = scored.withColumn("probs", F.array("p_neg", "p_neu", "p_pos"))
     ranked = scored.withColumn("score", strategy_score(name, "probs"))
-    return todo_rows(top_k(ranked, "score", k, seq, plan))
+    return todo_rows(top_k(ranked, "score", k, seq))
 
 
 def candidate_rows(scored: DataFrame) -> DataFrame:
@@ -145,7 +84,6 @@ def accepted_rows(
     per_category: int = 0,
     total: int = 0,
     seq: str = "seq",
-    plan: str = "auto",
 ) -> DataFrame:
     """Rows that may be scored: long enough, not blocked, first arrival, within the caps.
 
@@ -163,11 +101,10 @@ def accepted_rows(
         narrow = first_arrivals(narrow, "id", seq, ["product_category"])
     if blocked is not None:
         narrow = drop_blocked(narrow, blocked)
-    if choose_plan(narrow, max(per_category, total), plan) == "histogram":
-        narrow = cut_lineage(narrow)  # ranked in several passes; the ids are computed once
-    narrow = cap_per_group(narrow, per_category, "product_category", seq, plan)
-    narrow = head_rows(narrow, total, seq, plan)
-    return fetch_rows(pool, narrow.select("id", seq), seq, at_most=total or None)
+    narrow = stored_table(narrow)  # ranked in several passes; the ids are computed once
+    narrow = cap_per_group(narrow, per_category, "product_category", seq)
+    narrow = head_rows(narrow, total, seq)
+    return fetch_rows(pool, narrow.select("id", seq), seq)
 
 
 def select_uncertain(
@@ -181,35 +118,21 @@ def select_uncertain(
     per_category: int = 0,
     total: int = 0,
     seq: str = "seq",
-    plan: str = "auto",
 ) -> DataFrame:
     """The most uncertain rows of a pool: per predicted class with ``quotas``, else the top ``k``."""
     if quotas is None and k <= 0:
         raise ValueError("give quotas per class or a total k")
-    rows = accepted_rows(pool, blocked, words, dedup, per_category, total, seq, plan)
+    rows = accepted_rows(pool, blocked, words, dedup, per_category, total, seq)
     rows = rows.withColumn("rating", safe_float("rating"))
-    bound = max(quotas) if quotas is not None else k
-    if choose_plan(rows, bound, plan) == "window":
-        scored = candidate_rows(scorer(rows))
-        picked = (
-            top_k_per_class(scored, "uncertainty", quotas, seq=seq, plan="window")
-            if quotas is not None
-            else top_k(scored, "uncertainty", k, seq, plan="window")
-        )
-    else:
-        # The exact plan looks at the scores more than once: score once, keep what ranking needs.
-        scored = candidate_rows(scorer(rows)).select(
-            "id", seq, "probs", "pred_label", "uncertainty"
-        )
-        scored = cut_lineage(scored)
-        narrow = (
-            top_k_per_class(scored, "uncertainty", quotas, seq=seq, plan=plan)
-            if quotas is not None
-            else top_k(scored, "uncertainty", k, seq, plan=plan)
-        )
-        most = sum(quotas) if quotas is not None else k
-        picked = fetch_rows(pool, narrow, seq, at_most=most)
-        picked = picked.withColumn("rating", safe_float("rating"))
+    # Ranking looks at the scores more than once: score once, keep what ranking needs.
+    scored = candidate_rows(scorer(rows)).select("id", seq, "probs", "pred_label", "uncertainty")
+    scored = stored_table(scored)
+    narrow = (
+        top_k_per_class(scored, "uncertainty", quotas, seq=seq)
+        if quotas is not None
+        else top_k(scored, "uncertainty", k, seq)
+    )
+    picked = fetch_rows(pool, narrow, seq).withColumn("rating", safe_float("rating"))
     return picked.select(
         "id",
         seq,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_or_null, normalize_human_label, safe_float, safe_int
@@ -13,12 +13,15 @@ from ..functions.probs import normalize_probs
 from ..functions.text import display_text, has_words
 from ..operators import leakage, metrics, sampling, scoring, selection, validate
 from ..operators.conform import ensure_label, gold_rows, with_id
-from ..operators.dedup import dedup_keep_first
-from ..operators.filters import drop_blocked, drop_labelled, union_id_sets
-from ..runtime import cut_lineage
+from ..operators.dedup import dedup_keep_first, lookup_table
+from ..operators.filters import drop_blocked, drop_labelled, min_words, union_id_sets
+from ..runtime import cut_lineage, stored_table
 from ..schema import GOLD_SCHEMA, REVIEW_COLUMNS
 from ..sources import readers, writers
 
+#: Lines that a shard can have; an arrival number is the shard's position times this, and the line.
+LINES_PER_SHARD = 1 << 40
+
 
 def snapshot(
     reviews: DataFrame, out: str, n_per_category: int, shard_size: int = 200_000, seq: str = "seq"
@@ -28,14 +31,30 @@ def snapshot(
 
 
 def shard_reviews(spark: SparkSession, manifest: str, base_dir: str | None = None) -> DataFrame:
-    """Reviews of a manifest's shards; ``seq`` orders them by shard and line."""
+    """Reviews of a manifest's shards; ``seq`` orders them by the listed order, then by line.
+
+    A shard listed twice counts where it is listed first. ``missing_shards`` tells which are not
+    there.
+    """
     found, _missing = readers.read_manifest(spark, manifest, base_dir)
     if not found:
         raise FileNotFoundError(f"no shard of {manifest} exists")
+    found = list(dict.fromkeys(file for path in found for file in readers.shard_files(spark, path)))
     lines = writers.numbered_lines(spark, found)
-    place = F.concat_ws(":", "file", F.lpad(F.col("line").cast("string"), 15, "0"))
-    rows = readers.json_lines(lines.withColumn("seq", place), readers.LINE_FIELDS)
-    return rows.drop("file", "line")
+    named = [(at, *writers.qualified_path(spark, path)) for at, path in enumerate(found)]
+    order = stored_table(
+        spark.createDataFrame(named, "position BIGINT, name STRING").dropDuplicates(["name"])
+    )
+    name = writers.plain_path(F.col("file"))
+    placed = lines.join(order, name == F.col("name"))
+    seq = F.col("position") * F.lit(LINES_PER_SHARD) + F.col("line")
+    rows = readers.json_lines(placed.withColumn("seq", seq), readers.LINE_FIELDS)
+    return rows.drop("file", "line", "position", "name")
+
+
+def missing_shards(spark: SparkSession, manifest: str, base_dir: str | None = None) -> list[str]:
+    """Shards that a manifest lists and that are not there."""
+    return readers.read_manifest(spark, manifest, base_dir)[1]
 
 
 def build_splits(
@@ -50,8 +69,13 @@ def build_splits(
     dedup: bool = True,
     base_dir: str | None = None,
 ) -> DataFrame:
-    """Dev and eval files, their blocklist and the eval manifest; returns the diagnostics."""
+    """Dev and eval files, their blocklist and the eval manifest; returns the diagnostics.
+
+    Shards that the manifest lists but that are missing are named in ``MISSING_shards.json``.
+    """
     reviews = shard_reviews(spark, manifest, base_dir)
+    missing = missing_shards(spark, manifest, base_dir)
+    writers.write_file_manifest(spark, f"{out}/MISSING_shards.json", missing)
     blocked = readers.read_id_set(spark, blocked_paths) if blocked_paths else None
     accepted = cut_lineage(sampling.split_candidates(reviews, categories, blocked, dedup))
     split = cut_lineage(
@@ -72,11 +96,18 @@ def build_splits(
 def build_blocklist(
     spark: SparkSession, paths: Sequence[str], out: str, manifest: str | None = None
 ) -> DataFrame:
-    """Distinct ids of all rows in the given line files (and in a manifest's files)."""
+    """Distinct ids of all rows in the given line files (and in a manifest's files).
+
+    A file that is not there is an error: a blocklist that is short without a sign would let
+    rows of the eval side into training.
+    """
     files = list(paths)
-    if manifest and readers.path_exists(spark, manifest):
-        files += readers.read_manifest(spark, manifest)[0]
-    files = [f for f in files if readers.path_exists(spark, f)]
+    if manifest:
+        found, missing = readers.read_manifest(spark, manifest)
+        files += [*found, *missing]
+    gone = [f for f in files if not readers.path_exists(spark, f)]
+    if gone:
+        raise FileNotFoundError(f"no such files for the blocklist: {gone[:5]}")
     ids = cut_lineage(writers.blocklist_ids(readers.read_jsonl(spark, files)))
     writers.write_blocklist(ids, out)
     return ids
@@ -96,16 +127,19 @@ def prepare(
 ) -> DataFrame:
     """Write train, dev and eval parquet; returns rows per split and label.
 
-    The blocklist applies to the train side only; the eval side is frozen.
+    The blocklist and the word limit apply to the train side only; the eval side is frozen.
+    Ids on both the train and the eval side are an error.
     """
     limits = max_rows or {}
+    train = min_words(train, words)
     if per_class:
         train = cut_lineage(
-            sampling.balanced_train(train, per_class, seed, blocked, words, seq=seq)
+            sampling.balanced_train(train, per_class, seed, blocked, seq=seq)
         )
     elif blocked is not None:
         train = drop_blocked(with_id(train), blocked)
     counts = []
+    sides: dict[str, DataFrame] = {}
     for name, rows in (("train", train), ("dev", dev), ("eval", evaluation)):
         labelled = with_id(ensure_label(rows))
         drawn = sampling.sample_stratified(
@@ -114,8 +148,10 @@ def prepare(
         path = f"{out}/{name}.parquet"
         writers.write_parquet(drawn.select("id", seq, *REVIEW_COLUMNS, "label"), path)
         stored = train.sparkSession.read.parquet(path)
+        sides[name] = stored
         counts.append(metrics.label_distribution(stored.withColumn("split", F.lit(name)),
                                                  "split", "label"))
+    leakage.assert_no_leakage(sides["train"], sides["eval"])
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
@@ -173,10 +209,13 @@ def score_pool(
 def predict_csv(
     spark: SparkSession, path: str, out: str, scorer: scoring.Scorer, threshold: float = 0.0
 ) -> None:
-    """Label, confidence and probabilities for every row of a CSV file."""
-    texts = readers.read_text_csv(spark, path).select("text")
-    predicted = scoring.predict(texts, scorer, threshold)
-    writers.write_csv(predicted.select("label", "confidence", "p_neg", "p_neu", "p_pos"), out)
+    """Label, confidence and probabilities for every row of a CSV file, with its row number.
+
+    The written files follow the order of the input; ``row`` counts from 0.
+    """
+    predicted = scoring.predict(readers.numbered_text_csv(spark, path), scorer, threshold)
+    columns = ("row", "label", "confidence", "p_neg", "p_neu", "p_pos")
+    writers.write_csv(predicted.select(*columns).orderBy("row"), out)
 
 
 def select_for_labelling(
@@ -241,7 +280,7 @@ def labelling_queue(candidates: DataFrame, gold: DataFrame, words: int = 0) -> D
 
 
 def ingest_labels(
-    labelled: DataFrame, gold_path: str, chunk_rows: int = 200, seq: str | None = None
+    labelled: DataFrame, gold_path: str, chunk_rows: int = 0, seq: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Append readable, not yet known labels to the gold table.
 
@@ -274,16 +313,62 @@ def weight_rows(rows: DataFrame, scorer: scoring.Scorer, out: str) -> DataFrame:
     return weighted
 
 
+def merge_training_rows(
+    train: DataFrame,
+    gold: DataFrame,
+    blocked: DataFrame | None = None,
+    batch: str | None = None,
+) -> DataFrame:
+    """Train rows and human-labelled rows as one table, one row per id.
+
+    ``gold`` has ``id, text, asin, label`` and the other review columns where known. Its label
+    wins over that of a train row with the same id, and its other ids become training rows. With
+    a ``batch`` column the newest answer for an id wins, else the lower class. Unreadable labels
+    are left out and blocked ids do not train. ``label_source`` says where a label is from.
+    """
+    base = dedup_keep_first(with_id(ensure_label(train)), "id", "seq") if "seq" in train.columns \
+        else with_id(ensure_label(train)).dropDuplicates(["id"])
+    columns = ["id", *REVIEW_COLUMNS, "label"]
+    label = normalize_human_label("label")
+    human = with_id(gold).withColumn("__label", label).filter("__label IS NOT NULL")
+    newest = [F.col(batch).desc()] if batch else []
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(*newest, "__label"))
+    human = human.withColumn("__nth", rank).filter("__nth = 1")
+    kinds = {"rating": "double"}
+    human = human.select(
+        "id",
+        *[
+            (F.col(c) if c in human.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c)
+            for c in REVIEW_COLUMNS
+        ],
+        F.col("__label").cast("int").alias("label"),
+        F.lit("human").alias("label_source"),
+    )
+    mine = base.select(*columns).withColumn("label", F.col("label").cast("int"))
+    known = mine.join(lookup_table(human.select("id"), "id"), "id", "left_semi").select("id")
+    relabelled = selection.merge_human_labels(mine, human.select("id", "label"))
+    new = human.join(lookup_table(known, "id"), "id", "left_anti")
+    merged = relabelled.withColumn(
+        "label_source", F.when(F.col("label_source") == "pool", "train").otherwise("human")
+    ).unionByName(new)
+    return drop_blocked(merged, blocked) if blocked is not None else merged
+
+
 def retrain(
     train: DataFrame,
     human: DataFrame,
     evaluation: DataFrame,
     scorer: scoring.Scorer,
+    blocked: DataFrame | None = None,
+    batch: str | None = None,
     **options,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit again on the train table with human labels merged in and rows weighted."""
-    base = with_id(ensure_label(train))
-    merged = selection.merge_human_labels(base, human)
+    """Fit again on train and human rows together, weighted, and evaluate.
+
+    Ids that are on the eval side too are an error; block them.
+    """
+    merged = cut_lineage(merge_training_rows(train, human, blocked, batch))
+    leakage.assert_no_leakage(merged, evaluation)
     weighted = scoring.weight_rows(merged, scorer).drop("probs")
     model = scoring.train_classifier(weighted, "sample_weight", **options)
     return model, scoring.evaluate_scorer(evaluation, scoring.model_scorer(model))

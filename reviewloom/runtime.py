@@ -8,11 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast by hint only when its row count is known to stay below this.
-BROADCAST_ROWS = 500_000
-
-#: Most rows that the one-pass ranking plans may bring together in one reduce task.
-SINGLE_TASK_ROWS = 1_000_000
+_scratch: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,8 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/reviewloom-{uuid.uuid4().hex}/{name}"
+    """A path under the shared folder that nothing else uses; ``release_scratch`` removes it."""
+    folder = f"{shared_folder(spark).rstrip('/')}/reviewloom-{uuid.uuid4().hex}"
+    _scratch.add(folder)
+    return f"{folder}/{name}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove what jobs of this session wrote to the shared folder.
+
+    Tables that were returned may read from there, so call it when their results are stored.
+    """
+    context = spark.sparkContext
+    for folder in list(_scratch):
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.discard(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -42,15 +52,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a table that should be small and broadcast it if it really is.
+def stored_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and continue from it.
 
-    The rows are counted after the lineage cut, so the count costs one read of the
-    written copy. A table that turns out larger is returned without the hint and is
-    joined by shuffle.
+    Unlike a checkpoint, Spark knows the bytes of the table and decides by them, under the
+    session's own limit, whether a join broadcasts it.
     """
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -60,30 +70,3 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     does not do so with the output of a generator, here one over a one-element array.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def spread_small(
-    df: DataFrame, key: str, low: int = 1 << 20, high: int = 1 << 28
-) -> DataFrame:
-    """Spread a small table that was read as a few file splits over all cores, by a unique key.
-
-    Text work on a single-split file would otherwise run on one core. Tables above ``high``
-    bytes come in many splits already and are returned unchanged, without a shuffle.
-    """
-    if not low <= estimated_bytes(df) <= high:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for ``df`` (an upper guess for joins)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def estimated_tasks(df: DataFrame) -> int:
-    """How many map tasks the optimizer's estimate amounts to."""
-    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
-    per_task = int("".join(ch for ch in split if ch.isdigit()) or 134217728)
-    if per_task < 1 << 20:  # given in megabytes ("128m") or unusable
-        per_task = 1 << 27
-    return estimated_bytes(df) // per_task + 1

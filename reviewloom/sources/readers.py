@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import parse_number
 from ..functions.text import or_empty, strip_ws
 from ..operators.conform import conform_schema
 from ..operators.filters import union_id_sets
-from ..runtime import compute_once
+from ..runtime import compute_once, stored_table
 from ..schema import POOL_SCHEMA, TODO_SCHEMA
 
 #: Fields taken from a JSON line unless the caller names others.
@@ -128,10 +128,23 @@ def read_manifest(
     base = (base_dir or manifest.rsplit("/", 1)[0]).rstrip("/")
     files = [row.file for row in listed.select(F.explode("files").alias("file")).collect()]
     paths = [f if re.match(r"/|[A-Za-z][A-Za-z0-9+.-]*:", f) else f"{base}/{f}" for f in files]
-    found = [p for p in paths if path_exists(spark, p)]
+    # One listing per folder, however many shards a folder has.
+    names = {
+        folder: set(list_names(spark, folder)) if path_exists(spark, folder) else set()
+        for folder in {p.rsplit("/", 1)[0] for p in paths}
+    }
+    found = [p for p in paths if p.rsplit("/", 1)[1] in names[p.rsplit("/", 1)[0]]]
     return found, [p for p in paths if p not in set(found)]
 
 
+def shard_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a shard: itself, or those of a folder in the order of their names."""
+    names = sorted(name for name in list_names(spark, path) if name[0] not in "._")
+    if names == [path.rsplit("/", 1)[1]]:
+        return [path]
+    return [f"{path}/{name}" for name in names]
+
+
 def read_shards(
     spark: SparkSession, manifest: str, base_dir: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +166,25 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("text", or_empty("text"))
 
 
+def numbered_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``row, text``: the texts of a CSV file, or of a folder's files by name, numbered from 0.
+
+    A file whose fields may hold line breaks is read by one task, so its rows are in order.
+    """
+    rows = read_text_csv(spark, path).select(
+        "text",
+        F.col("_metadata.file_path").alias("__file"),
+        F.monotonically_increasing_id().alias("__at"),
+    )
+    files = rows.groupBy("__file").agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows")
+    )
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
+    files = stored_table(files.select("__file", base.alias("__base")))
+    return rows.join(files, "__file").select((F.col("__at") + F.col("__base")).alias("row"), "text")
+
+
 def reviews_from_rows(
     spark: SparkSession, rows: Sequence[dict], with_label: bool = False
 ) -> DataFrame:

@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, stable_id
 from ..operators.conform import rating_to_int
-from ..operators.ranking import with_rank
 from ..operators.sampling import first_n_per_category
+from ..runtime import stored_table
 from ..schema import REVIEW_COLUMNS
 
 
+_SCHEME = r"^[^:/]+:/*"
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -43,8 +46,8 @@ def write_blocklist(df: DataFrame, path: str, key: str = "id") -> None:
     ids.write.mode("overwrite").text(path)
 
 
-def append_gold(df: DataFrame, path: str, chunk_rows: int = 200) -> None:
-    """Add labelled rows as zstd parquet files of at most ``chunk_rows`` rows."""
+def append_gold(df: DataFrame, path: str, chunk_rows: int = 0) -> None:
+    """Add labelled rows as zstd parquet files, of at most ``chunk_rows`` rows if that is set."""
     writer = df.write.mode("append").option("compression", "zstd")
     writer.option("maxRecordsPerFile", chunk_rows).parquet(path)
 
@@ -130,14 +133,22 @@ def _unescape(text: Column) -> Column:
     return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def plain_path(file_path: Column) -> Column:
+    """The address that Spark reports for a file, without scheme and percent-encoding."""
+    return F.regexp_replace(_unescape(file_path), _SCHEME, "/")
+
+
+def qualified_path(spark: SparkSession, path: str) -> tuple[str]:
+    """A path as ``plain_path`` gives it for the files that Spark reads from it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (re.sub(_SCHEME, "/", system.makeQualified(hadoop_path).toString()).rstrip("/"),)
+
+
 def relative_path(spark: SparkSession, folder: str, file_path: Column) -> Column:
     """Path of a file below ``folder``, from the address Spark reports for it."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    scheme = r"^[^:/]+:/*"
-    base = re.sub(scheme, "/", system.makeQualified(hadoop_path).toString()).rstrip("/")
-    below = F.regexp_replace(_unescape(file_path), scheme, "/")
-    return F.substr(below, F.lit(len(base) + 2))
+    (base,) = qualified_path(spark, folder)
+    return F.substr(plain_path(file_path), F.lit(len(base) + 2))
 
 
 def write_manifest(manifest: DataFrame, path: str, shard_size: int) -> None:
@@ -171,8 +182,17 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], pattern: str = "
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__at"),
     )
-    numbered = with_rank(lines, ["file"], F.col("__start"), [F.col("__at")], rank="__line")
-    return numbered.select("value", "file", (F.col("__line") - 1).alias("line"))
+    # Lines of a block are numbered in a row: one row per block says where it begins.
+    blocks = lines.groupBy("file", "__start").agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows")
+    )
+    before = Window.partitionBy("file").orderBy("__start").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    base = F.coalesce(F.sum("__rows").over(before), F.lit(0))
+    blocks = stored_table(blocks.select("file", "__start", (base - F.col("__first")).alias("__base")))
+    line = F.col("__at") + F.col("__base")
+    return lines.join(blocks, ["file", "__start"]).select("value", "file", line.alias("line"))
 
 
 def pool_rows(

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators.conform import with_id
 from ..operators.dedup import dedup_keep_first
-from ..operators.ranking import choose_plan
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
 from ..runtime import cut_lineage, scratch_path
@@ -147,18 +146,14 @@ def run_selection(
     return table.latest()
 
 
-def _scored_once(rows: DataFrame, limit: int) -> DataFrame:
-    """Store a batch that ranking will read more than once, so that it is scored once."""
-    return cut_lineage(rows) if choose_plan(rows, limit) == "histogram" else rows
-
-
 def run_top_k_per_class(
     scored: DataFrame, quotas: Sequence[int], score: str = "uncertainty", seq: str = "seq", **run
 ) -> DataFrame:
     """Most uncertain rows per predicted class of a scored stream."""
 
     def pick(rows: DataFrame) -> DataFrame:
-        return top_k_per_class(_scored_once(rows, max(quotas)), score, quotas, seq=seq)
+        # Ranking reads the rows more than once; they are scored once.
+        return top_k_per_class(cut_lineage(rows), score, quotas, seq=seq)
 
     return run_selection(scored, pick, **run)
 
@@ -177,8 +172,7 @@ def run_sample_per_class(
     """
 
     def pick(rows: DataFrame) -> DataFrame:
-        once = _scored_once(rows, k)
-        return sample_per_key(once, by, k, seed, key, rank="__rank").drop("__rank")
+        return sample_per_key(cut_lineage(rows), by, k, seed, key, rank="__rank").drop("__rank")
 
     return run_selection(stream, pick, **run)
 

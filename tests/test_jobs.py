@@ -26,8 +26,8 @@ def data(spark):
 
 def test_shard_to_splits(spark, tmp_path):
     shard = [
-        {"text": "Great product", "rating": 5, "title": "t", "asin": "ASIN001", "product_category": "Electronics"},
-        {"text": "Poor quality", "rating": 1, "title": "t", "asin": "ASIN002", "product_category": "Electronics"},
+        {"text": "Sturdy and quiet", "rating": 5, "title": "t", "asin": "K1", "product_category": "Kettles"},
+        {"text": "Leaks at the lid", "rating": 1, "title": "t", "asin": "K2", "product_category": "Kettles"},
     ]
     (tmp_path / "shard.jsonl").write_text("\n".join(map(json.dumps, shard)))
     (tmp_path / "MANIFEST.json").write_text(json.dumps({"files": ["shard.jsonl"]}))
@@ -54,9 +54,10 @@ def test_snapshot_split_prepare_train_select(spark, data, tmp_path):
     report = jobs.build_splits(spark, f"{base}/snap/MANIFEST.json", f"{base}/split", 10, 15, seed=3)
     assert {r.product_category for r in report.collect()} == {"Books", "Toys", "Pets"}
     blocked = readers.read_id_set(spark, [f"{base}/split/blocklist"])
+    with pytest.raises(FileNotFoundError, match="gone.jsonl"):
+        jobs.build_blocklist(spark, [f"{base}/split/dev.jsonl", f"{base}/gone.jsonl"], f"{base}/block")
     rebuilt = jobs.build_blocklist(
-        spark, [f"{base}/split/dev.jsonl", f"{base}/gone.jsonl"], f"{base}/block",
-        manifest=f"{base}/split/MANIFEST_eval.json")
+        spark, [f"{base}/split/dev.jsonl"], f"{base}/block", manifest=f"{base}/split/MANIFEST_eval.json")
     assert {r.id for r in rebuilt.collect()} == {r.id for r in blocked.collect()}
 
     dev = readers.read_reviews_parquet(spark, f"{base}/split/dev.parquet").withColumn(
@@ -108,7 +109,48 @@ def test_predict_csv(spark, tmp_path):
     (tmp_path / "in.csv").write_text('text\n"Great, really"\nbad\n""\n')
     jobs.predict_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), SCORER)
     out = spark.read.csv(str(tmp_path / "out"), header=True)
-    assert out.columns == ["label", "confidence", "p_neg", "p_neu", "p_pos"] and out.count() == 3
+    assert out.columns == ["row", "label", "confidence", "p_neg", "p_neu", "p_pos"]
+    assert [r.row for r in out.collect()] == ["0", "1", "2"]
+
+
+def test_manifest_order_decides_the_first_copy(spark, tmp_path):
+    """Both shards hold the same text; the listed order counts, not that of the names."""
+    for name, stars in (("a", 1), ("b", 5)):
+        row = {"text": "Same words", "rating": stars, "title": name, "asin": "X", "product_category": "C"}
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps(row) + "\n")
+    listed = {"files": ["b.jsonl", "gone.jsonl", "a.jsonl", "b.jsonl"]}
+    (tmp_path / "MANIFEST.json").write_text(json.dumps(listed))
+    manifest = str(tmp_path / "MANIFEST.json")
+    rows = {r.title: r.seq for r in jobs.shard_reviews(spark, manifest).collect()}
+    assert rows == {"b": 0, "a": jobs.LINES_PER_SHARD}
+    assert [p.rsplit("/", 1)[1] for p in jobs.missing_shards(spark, manifest)] == ["gone.jsonl"]
+    jobs.build_splits(spark, manifest, str(tmp_path / "out"), 1, 1)
+    assert [r.title for r in spark.read.parquet(str(tmp_path / "out/dev.parquet")).collect()] == ["b"]
+    assert "gone.jsonl" in (tmp_path / "out/MISSING_shards.json").read_text()
+
+
+def test_prepare_guards(spark, data, tmp_path):
+    _, df = data
+    train, other = df.filter("seq % 2 = 0"), df.filter("seq % 2 = 1")
+    with pytest.raises(ValueError, match="both sides"):
+        jobs.prepare(train, other, df, str(tmp_path / "leak"))
+    ids = jobs.with_id(other).select("id").distinct()
+    jobs.prepare(train, other, other, str(tmp_path / "p"), blocked=ids, words=4)
+    kept = spark.read.parquet(str(tmp_path / "p/train.parquet"))
+    assert kept.count() and all(len(r.text.split()) >= 4 for r in kept.collect())
+
+
+def test_human_rows_become_training_rows(spark):
+    train = spark.createDataFrame(
+        [(0, "old row", 5.0, "t", "a", "c"), (1, "kept row", 1.0, "t", "a", "c"), (2, "blocked", 1.0, "t", "a", "c")],
+        REVIEW_DDL)
+    gold = spark.createDataFrame(
+        [("old row", "a", "neg", 1), ("old row", "a", "pos", 2), ("new row", "b", "neu", 1), ("new row", "b", "neg", 1),
+         ("unreadable", "b", "7", 1)], "text STRING, asin STRING, label STRING, batch INT")
+    blocked = spark.createDataFrame([(py_id("blocked", "a"),)], "id STRING")
+    merged = jobs.merge_training_rows(train, gold, blocked, batch="batch")
+    assert {(r.text, r.label, r.label_source) for r in merged.collect()} == {
+        ("old row", 2, "human"), ("kept row", 0, "train"), ("new row", 0, "human")}
 
 
 def test_labels_come_back(spark, tmp_path):
@@ -135,9 +177,14 @@ def test_weights_and_retraining(spark, data, tmp_path):
     weighted = jobs.weight_rows(df, SCORER, str(tmp_path / "w"))
     assert weighted.filter("sample_weight <= 0 OR sample_weight > 1").count() == 0
     assert "sample_weight" in spark.read.csv(str(tmp_path / "w"), header=True).columns
-    human = spark.createDataFrame([(py_id("hot text of all", "a0"), "neutral")], "id STRING, label STRING")
-    _, report = jobs.retrain(df, human, df.limit(50), SCORER, num_features=64, max_iter=2)
-    assert report.first()["rows"] == 50
+    answers = df.filter("text LIKE 'hot%'").limit(1).withColumn("label", F.lit("neutral"))
+    sides = jobs.with_id(df).dropDuplicates(["id"])
+    held = sides.filter("hash(id) % 10 = 0 AND text NOT LIKE 'hot%'").limit(50)
+    rows = df.join(held.select("seq"), "seq", "left_anti")
+    with pytest.raises(ValueError, match="both sides"):
+        jobs.retrain(df, answers, held, SCORER, num_features=64, max_iter=2)
+    _, report = jobs.retrain(rows, answers, held, SCORER, blocked=held.select("id"), num_features=64, max_iter=2)
+    assert report.first()["rows"] == held.count()
 
 
 def test_writers_round_trip(spark, data, tmp_path):

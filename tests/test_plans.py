@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import stable_id
 from reviewloom.operators import filters, selection
 from reviewloom.operators.conform import with_id
-from reviewloom.runtime import compute_once, estimated_tasks
-from reviewloom.operators.ranking import choose_plan
+from reviewloom.runtime import compute_once
 from reviewloom.sources.readers import json_lines
 
 
@@ -76,16 +75,6 @@ def test_json_is_parsed_once(spark, plan_of):
     assert plan_of(json_lines(lines, {"text": "string", "rating": "double"})).count("parseJson") == 1
 
 
-def test_plan_choice_depends_on_size_and_limit(spark):
-    small = hot_rows(spark, 100)
-    assert choose_plan(small, 100) == "window"
-    assert choose_plan(small, 5000) == "histogram"
-    assert choose_plan(small, None) == "histogram"
-    large = spark.range(10**13).withColumn("text", F.lit("x" * 100))
-    assert estimated_tasks(large) > 10**6
-    assert choose_plan(large, 10) == "histogram"
-
-
 def test_category_filter_reaches_the_scan(spark, plan_of, tmp_path):
     df = spark.createDataFrame([("a", "X"), ("b", "Y")], "text STRING, product_category STRING")
     df.write.partitionBy("product_category").parquet(str(tmp_path / "p"))

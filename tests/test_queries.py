@@ -32,10 +32,8 @@ def test_query(spark, con, name):
     "balanced_train", "split_dev_eval", "sample_stratified", "head_rows", "sample_uniform",
     "cap_per_category", "topk_uncertain", "topk_per_class", "select_margin", "select_uncertain",
     "select_uncertain_capped", "drop_blocked", "merge_labels", "stream_topk", "stream_sample"])
-def test_query_planned_for_large_tables(spark, con, name, monkeypatch, settings):
-    """Multi-pass ranking and no broadcast joins give the same rows."""
-    monkeypatch.setattr("reviewloom.operators.ranking.SINGLE_TASK_ROWS", -1)
-    monkeypatch.setattr("reviewloom.operators.dedup.BROADCAST_ROWS", -1)
+def test_query_planned_for_large_tables(spark, con, name, settings):
+    """Without automatic broadcasts the rows are the same."""
     settings(spark__sql__autoBroadcastJoinThreshold="-1",
              spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
     status, note, _ = compare(spark, con, name, SF_DIR)

@@ -1,4 +1,4 @@
-"""Both ranking plans against brute force, on groups with heavy skew and ties."""
+"""Ranking against brute force, on groups with heavy skew and ties."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import filters, sampling, selection
 from reviewloom.operators.dedup import dedup_keep_first, first_arrivals
-from reviewloom.operators.ranking import value_bucket, with_rank
+from reviewloom.operators.ranking import with_rank
 
 
 @pytest.fixture(scope="module")
@@ -39,58 +39,53 @@ def by_group(rows, position):
     return groups
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
 @pytest.mark.parametrize("k", [0, 1, 37, 900, 100000])
-def test_sample_per_key(skewed, plan, k):
+def test_sample_per_key(skewed, k):
     rows, df = skewed
     want = set()
     for group in by_group(rows, 2).values():
         ranked = sorted(group, key=lambda r: (row_hash(r[1], r[0], 7), r[1], r[0]))
         want |= {r[0] for r in ranked[:k]}
-    got = sampling.sample_per_key(df, "label", k, 7, key=("id", "seq"), plan=plan)
+    got = sampling.sample_per_key(df, "label", k, 7, key=("id", "seq"))
     assert {r.seq for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
 @pytest.mark.parametrize("n", [1, 250, 5999, 9000])
-def test_head_and_uniform_sample(skewed, plan, n):
+def test_head_and_uniform_sample(skewed, n):
     rows, df = skewed
-    assert {r.seq for r in filters.head_rows(df, n, plan=plan).collect()} == {
+    assert {r.seq for r in filters.head_rows(df, n).collect()} == {
         r[0] for r in sorted(rows)[:n]}
     want = sorted(rows, key=lambda r: (row_hash(r[1], r[0], 3), r[1], r[0]))[:n]
-    got = filters.sample_rows(df, n, 3, ("id", "seq"), plan=plan)
+    got = filters.sample_rows(df, n, 3, ("id", "seq"))
     assert {r.seq for r in got.collect()} == {r[0] for r in want}
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
-def test_cap_per_group_ranks(skewed, plan):
+def test_cap_per_group_ranks(skewed):
     rows, df = skewed
-    got = filters.cap_per_group(df, 40, "cat", plan=plan, rank="rank").collect()
+    got = filters.cap_per_group(df, 40, "cat", rank="rank").collect()
     want = {}
     for group in by_group(rows, 4).values():
         want |= {r[0]: i + 1 for i, r in enumerate(sorted(group)[:40])}
     assert {r.seq: r["rank"] for r in got} == want
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
 @pytest.mark.parametrize("k", [0, 1, 500, 2500, 7000])
-def test_top_k_with_a_large_tie(skewed, plan, k):
+def test_top_k_with_a_large_tie(skewed, k):
     rows, df = skewed
     want = sorted(rows, key=lambda r: (-r[3], r[0]))[:k]
-    got = selection.top_k(df, "score", k, plan=plan).collect()
+    got = selection.top_k(df, "score", k).collect()
     assert [r.seq for r in got] == [r[0] for r in want]
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
 @pytest.mark.parametrize("quotas", [[10, 0, 5], [0, 1500, 20], [9000, 9000, 9000]])
-def test_top_k_per_class(skewed, plan, quotas):
+def test_top_k_per_class(skewed, quotas):
     rows, df = skewed
     want = set()
     for label, group in by_group(rows, 2).items():
         if label is not None:
             ranked = sorted(group, key=lambda r: (-r[3], r[0]))
             want |= {r[0] for r in ranked[: quotas[label]]}
-    got = selection.top_k_per_class(df, "score", quotas, by="label", plan=plan)
+    got = selection.top_k_per_class(df, "score", quotas, by="label")
     assert {r.seq for r in got.collect()} == want
 
 
@@ -103,26 +98,66 @@ def test_scores_that_are_no_numbers(spark):
     rows = [(1, 0.5), (2, float("nan")), (3, None), (4, 0.9), (5, float("inf")), (6, float("-inf"))]
     df = spark.createDataFrame(rows, "seq BIGINT, score DOUBLE")
     for k in range(1, 7):
-        a = [r.seq for r in selection.top_k(df, "score", k, plan="window").collect()]
-        b = [r.seq for r in selection.top_k(df, "score", k, plan="histogram").collect()]
-        assert a == b == [2, 5, 4, 1, 6, 3][:k]
+        found = [r.seq for r in selection.top_k(df, "score", k).collect()]
+        assert found == [2, 5, 4, 1, 6, 3][:k]
 
 
 def test_ranks_are_complete(skewed):
     rows, df = skewed
-    ranked = with_rank(df, ["cat"], value_bucket(F.col("score")), [F.col("score"), F.col("seq")])
+    ranked = with_rank(df, ["cat"], [F.col("score"), F.col("seq")])
     want = {}
     for group in by_group(rows, 4).values():
         want |= {r[0]: i + 1 for i, r in enumerate(sorted(group, key=lambda r: (r[3], r[0])))}
     assert {r.seq: r["rank"] for r in ranked.collect()} == want
 
 
-def test_value_bucket_follows_order(spark):
-    values = [float("-inf"), -1e300, -7.5, -1e-9, 0.0, 1e-9, 0.3, 0.3000001, 5.0, 1e18, float("inf"),
-              float("nan")]
-    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
-    buckets = [r.b for r in df.orderBy("v").select(value_bucket(F.col("v")).alias("b")).collect()]
-    assert buckets == sorted(buckets)
+@pytest.mark.parametrize("kind", ["bigint", "string", "timestamp", "double"])
+@pytest.mark.parametrize("n", [1, 1000, 1001, 9000])
+def test_any_type_of_arrival_number(skewed, kind, n):
+    """Text numbers share a long prefix, as paths do."""
+    rows, df = skewed
+    values = {
+        "bigint": F.col("seq"),
+        "double": F.col("seq") / 7,
+        "string": F.concat(F.lit("snapshot/part-"), F.lpad(F.col("seq").cast("string"), 9, "0")),
+        "timestamp": F.timestamp_seconds("seq"),
+    }
+    typed = df.withColumn("number", F.col("seq")).withColumn("seq", values[kind])
+    assert {r.number for r in filters.head_rows(typed, n).collect()} == {r[0] for r in sorted(rows)[:n]}
+    want = set()
+    for group in by_group(rows, 4).values():
+        want |= {r[0] for r in sorted(group)[:n]}
+    assert {r.number for r in filters.cap_per_group(typed, n, "cat").collect()} == want
+
+
+@pytest.mark.parametrize("score", ["outlier", "close", "equal"])
+def test_no_task_gets_more_than_its_share(spark, settings, score):
+    """60,000 rows over 16 ranges: none of them holds a quarter of the rows."""
+    settings(spark__sql__shuffle__partitions="16",
+             spark__sql__adaptive__coalescePartitions__enabled="false")
+    value = {
+        "outlier": F.when(F.col("id") == 5, 1e18).otherwise(F.col("id") / 1e9),
+        "close": 1 + F.col("id") / 1e12,
+        "equal": F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(1)),
+    }[score]
+    df = spark.range(0, 60000, 1, 8).select(F.col("id").alias("seq"), value.alias("score"))
+    seen = []
+
+    def keep(table):
+        seen.append(table)
+        return stored_table(table)
+
+    from reviewloom.operators import ranking
+    from reviewloom.runtime import stored_table
+
+    before, ranking.stored_table = ranking.stored_table, keep
+    try:
+        ranked = with_rank(df, [], [F.col("score").desc(), F.col("seq")])
+        assert ranked.count() == 60000 and ranked.agg(F.max("rank")).first()[0] == 60000
+    finally:
+        ranking.stored_table = before
+    sizes = [r["count"] for r in seen[0].groupBy(F.shiftright("__at", 33)).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 15000
 
 
 def test_dedup_keeps_first_arrival(skewed):

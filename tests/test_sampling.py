@@ -23,17 +23,16 @@ def blocked(spark, data):
     return set(ids), spark.createDataFrame([(i,) for i in ids], "id STRING").cache()
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
 @pytest.mark.parametrize("dedup", [True, False])
 @pytest.mark.parametrize("k", [20, 2000])
-def test_balanced_train(data, blocked, plan, dedup, k):
+def test_balanced_train(data, blocked, dedup, k):
     rows, df = data
     want = {}
     for row, rid in accepted(rows, blocked[0], 3, dedup):
         key = row_hash(rid, 42) if dedup else row_hash(rid, row[0], 42)
         want.setdefault(py_label(row[2]), []).append((key, row[0]))
     chosen = {seq for group in want.values() for _, seq in sorted(group)[:k]}
-    got = sampling.balanced_train(df, k, 42, blocked[1], 3, dedup, plan=plan).collect()
+    got = sampling.balanced_train(df, k, 42, blocked[1], 3, dedup).collect()
     assert {r.seq for r in got} == chosen and len(got) == len(chosen)
     by_seq = {r[0]: r for r in rows}
     for r in got:
@@ -49,8 +48,7 @@ def test_balanced_train_keeps_given_labels(spark):
     assert {r.label: r["count"] for r in got} == {0: 3, 1: 3, 2: 3, 3: 3}
 
 
-@pytest.mark.parametrize("plan", ["window", "histogram"])
-def test_split_is_disjoint_and_exact(data, blocked, plan):
+def test_split_is_disjoint_and_exact(data, blocked):
     rows, df = data
     groups = {}
     for row, rid in accepted(rows, blocked[0]):
@@ -59,7 +57,7 @@ def test_split_is_disjoint_and_exact(data, blocked, plan):
     for group in groups.values():
         for place, (_, _, seq) in enumerate(sorted(group)[:50]):
             want[seq] = "dev" if place < 15 else "eval"
-    got = sampling.split_dev_eval(df, 15, 35, 7, (), blocked[1], plan=plan).collect()
+    got = sampling.split_dev_eval(df, 15, 35, 7, (), blocked[1]).collect()
     assert {r.seq: r.split for r in got} == want
     dev, ev = ({r.id for r in got if r.split == part} for part in ("dev", "eval"))
     assert not dev & ev
@@ -169,10 +167,10 @@ def test_filters(spark, data, blocked):
 
 def test_blocklist_join_is_an_anti_join_above_the_dedup(data, blocked, plan_of, settings):
     _, df = data
-    assert "LeftAnti" in plan_of(sampling.balanced_train(df, 5, 1, blocked[1]))
+    assert "LeftAnti" in plan_of(sampling.train_candidates(df, blocked[1]))
     # With a blocklist too large to broadcast, copies are combined before it is joined.
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    plan = plan_of(sampling.balanced_train(df, 5, 1, blocked[1]))
+    plan = plan_of(sampling.train_candidates(df, blocked[1]))
     join = plan.index("LeftAnti")
     assert "SortMergeJoin" in plan[join - 60:join + 10]
     assert plan.index("min_by", join) > join  # the aggregate is below the join

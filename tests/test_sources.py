@@ -5,7 +5,7 @@ import pytest
 from helpers import REVIEW_DDL, make_reviews, py_id
 from pyspark.sql import functions as F
 
-from reviewloom.runtime import scratch_path, shared_folder, small_table, spread_small
+from reviewloom.runtime import release_scratch, scratch_path, shared_folder, stored_table
 from reviewloom.sources import readers, writers
 
 LINES = [
@@ -216,13 +216,20 @@ def test_blocklist_ids(spark):
 def test_runtime_helpers(spark, plan_of):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(shared_folder(spark).rstrip("/"))
-    small = spark.range(10).toDF("k")
-    big = spark.range(1000).toDF("k")
-    assert "BroadcastHashJoin" in plan_of(big.join(small_table(small), "k"))
+    small = stored_table(spark.range(10).toDF("k"))
+    big = stored_table(spark.range(1000).toDF("k"))
+    assert "BroadcastHashJoin" in plan_of(big.join(small, "k"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "SortMergeJoin" in plan_of(big.join(small_table(small, max_rows=5), "k"))
+        assert "SortMergeJoin" in plan_of(big.join(small, "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert spread_small(small, "k") is small
-    assert spread_small(small, "k", low=0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scratch_is_released(spark, monkeypatch):
+    monkeypatch.setattr("reviewloom.runtime._scratch", set())
+    table = stored_table(spark.range(10))
+    file = table.inputFiles()[0]
+    assert table.count() == 10 and readers.path_exists(spark, file)
+    release_scratch(spark)
+    assert not readers.path_exists(spark, file)

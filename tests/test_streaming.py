@@ -113,7 +113,7 @@ def test_large_quotas_equal_batch(spark, files, stream):
     quotas = [40, 1500, 3]  # above the limit of the one-pass plan
     got = ops.run_top_k_per_class(scored(stream), quotas).collect()
     batch = selection.top_k_per_class(
-        scored(spark.read.parquet(files[1])), "uncertainty", quotas, plan="window")
+        scored(spark.read.parquet(files[1])), "uncertainty", quotas)
     assert {r.seq for r in got} == {r.seq for r in batch.collect()}
 
 
