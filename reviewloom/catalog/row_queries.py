@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import conform as schema_ops
 from ..operators import validate
 from ..operators.filters import category_filter, min_words
+from ..sources import writers
 from ..sources.readers import mixed_texts, unnest_requests
 from . import views
 from .registry import query
-from .views import WS, ctes, reviews, sql_norm, sql_stars, sql_words, table
+from .views import SEED, WS, ctes, reviews, sql_norm, sql_stars, sql_words, table
 
 # Rating spellings by position: plain, padded, suffixed, not a number, empty and so on.
 RATING_TEXTS = ["4", "4.0", " 4 ", "4d", "abc", "1e1", "0x10", "", "2.5", "3.5", "-1", ".5", "1_0"]
@@ -312,16 +314,112 @@ def text_lines_mixed(spark, sf_dir):
     return mixed_texts(lines, "line")
 
 
+_COLLAPSED = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
+
+
 @query(
     "sql_functions",
-    ctes("reviews", "scored")
+    ctes("reviews", "human_labels")
     + f"""SELECT seq, id, CAST({sql_words('text')} AS INTEGER) AS words,
-       {sql_stars('rating')} AS label FROM reviews""",
+       md5(regexp_replace(regexp_replace(text, '^{WS}+', ''),
+                          '{WS}+$', '')) AS stripped,
+       md5({_COLLAPSED}) AS collapsed, md5(lower({_COLLAPSED})) AS normal,
+       CASE WHEN seq % 4 = 0 THEN NULL ELSE rating + 0.5 END AS number,
+       {sql_stars('rating')} AS stars, {sql_stars('rating')} AS label,
+       CASE WHEN rating <> 4 THEN {sql_stars('rating')} END AS class,
+       CASE WHEN rating <> 2 THEN {sql_stars('rating')} END AS or_null,
+       ['negative', 'neutral', 'positive', 'unknown'][seq % 4 + 1] AS named,
+       CASE lower(trim(h.label)) WHEN 'neg' THEN 0 WHEN 'neu' THEN 1 WHEN 'positive' THEN 2 END
+         AS human
+FROM reviews LEFT JOIN human_labels h USING (seq)""",
 )
 def sql_functions(spark, sf_dir):
     fn.register_functions(spark)
-    reviews(spark, sf_dir, False).createOrReplaceTempView("reviewloom_reviews")
-    return spark.sql(
-        "SELECT seq, stable_id(text, asin) AS id, word_count(text) AS words,"
-        " label_from_rating(rating) AS label FROM reviewloom_reviews"
+    human = views.human_labels(spark, sf_dir).withColumnRenamed("label", "spelling")
+    rows = reviews(spark, sf_dir, False).join(human, "seq", "left")
+    return rows.selectExpr(
+        "seq",
+        "stable_id(text, asin) AS id",
+        "word_count(text) AS words",
+        "md5(strip_ws(text)) AS stripped",
+        "md5(collapse_ws(text)) AS collapsed",
+        "md5(normalize_text(text)) AS normal",
+        "parse_number(CASE WHEN seq % 4 = 0 THEN 'x1' ELSE concat(' ', rating + 0.5D, ' ') END)"
+        " AS number",
+        "label_of_stars(rating) AS stars",
+        "label_from_rating(rating) AS label",
+        "rating_to_class(CASE WHEN rating = 4 THEN 9D ELSE rating END) AS class",
+        "label_or_null(CASE WHEN rating <> 2 THEN rating END) AS or_null",
+        "class_to_text(CAST(seq % 4 AS INT)) AS named",
+        "normalize_human_label(spelling) AS human",
+    )
+
+
+@query(
+    "sql_functions_probs",
+    ctes("measured")
+    + """SELECT id, pred_label, round(conf - mid, 6) AS margin, round(h, 6) AS entropy,
+       round(h + 1 - (conf - mid), 6) AS uncertainty,
+       CASE WHEN conf < 0.5 THEN 'abstain' ELSE ['negative', 'neutral', 'positive'][pred_label + 1]
+       END AS half, CASE WHEN conf < 0.65 THEN 'abstain'
+       ELSE ['negative', 'neutral', 'positive'][pred_label + 1] END AS predicted,
+       round(1 - conf, 6) AS least, round(mid - conf, 6) AS by_margin, round(h, 6) AS by_entropy
+FROM measured""",
+)
+def sql_functions_probs(spark, sf_dir):
+    fn.register_functions(spark)
+    return views.scored(spark, sf_dir).selectExpr(
+        "id",
+        "prob_argmax(probs) AS pred_label",
+        "round(prob_margin(probs), 6) AS margin",
+        "round(prob_entropy(probs), 6) AS entropy",
+        "round(prob_uncertainty(probs), 6) AS uncertainty",
+        "abstain_label(probs, 0.5D) AS half",
+        "predict_label(probs) AS predicted",
+        "round(score_least_confidence(probs), 6) AS least",
+        "round(score_margin(probs), 6) AS by_margin",
+        "round(score_entropy(probs), 6) AS by_entropy",
     )
+
+
+@query(
+    "shuffle_rows",
+    ctes("reviews")[:-1]
+    + f""", placed AS (
+  SELECT seq, id, row_number() OVER (ORDER BY md5(concat_ws(':', id, seq, '{SEED}')), id, seq) - 1
+         AS place FROM reviews)
+SELECT seq, id, place FROM placed""",
+)
+def shuffle_rows(spark, sf_dir):
+    """The stored order of a seeded shuffle, read back with the place of each row."""
+    from ..operators.sampling import shuffle_rows as shuffled
+    from ..runtime import scratch_path
+
+    path = scratch_path(spark, "shuffled")
+    rows = shuffled(reviews(spark, sf_dir).select("id", "seq"), SEED, ("id", "seq"))
+    rows.select(F.to_json(F.struct("seq", "id")).alias("value")).write.text(path)
+    lines = writers.numbered_lines(spark, path)
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    row = F.from_json("value", "seq BIGINT, id STRING")
+    return lines.join(base, "file").select(row["seq"].alias("seq"), row["id"].alias("id"),
+                                           (F.col("base") + F.col("line")).alias("place"))
+
+
+@query(
+    "limit_per_file",
+    ctes("reviews")[:-1]
+    + """, snapshot AS (
+  SELECT *, row_number() OVER (PARTITION BY product_category ORDER BY seq) - 1 AS place
+  FROM reviews QUALIFY place < 30)
+SELECT text, product_category FROM snapshot WHERE place % 8 < 3""",
+)
+def limit_per_file(spark, sf_dir):
+    from ..plans import jobs
+    from ..runtime import scratch_path
+
+    out = scratch_path(spark, "limited")
+    jobs.snapshot(reviews(spark, sf_dir, False), out, 30, shard_size=8)
+    rows = jobs.make_pool(spark, f"{out}/shards", f"{out}/pool.csv", limit_per_file=3)
+    return rows.select("text", "product_category")

@@ -18,10 +18,15 @@ from .views import SEED, ctes, sql_letter_scores, sql_stars, table
 _LABEL = sql_stars("rating")
 
 
+#: Files that a table is dealt to, in no order of arrival; each is a batch of its own.
+BATCHES = 6
+
+
 def _stream(spark, sf_dir, name):
-    # A pattern, because the table may be one file or a folder of files.
-    schema = table(spark, sf_dir, name).schema
-    return file_stream(spark, f"{sf_dir}/{name}.parque[t]", schema, max_files=8)
+    rows = table(spark, sf_dir, name)
+    path = scratch_path(spark, name)
+    rows.repartition(BATCHES, F.xxhash64(*rows.columns[:1])).write.parquet(path)
+    return file_stream(spark, path, rows.schema, max_files=1)
 
 
 def _documents(spark, sf_dir):

@@ -42,6 +42,12 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(hadoop_path)]
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def _require_paths(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         if not path:

@@ -16,7 +16,7 @@ from ..operators.dedup import dedup_keep_first
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
 from ..runtime import cut_lineage, scratch_path
-from ..sources.readers import list_names, path_exists
+from ..sources.readers import list_names, path_exists, remove_path
 from .sources import run_batches
 
 
@@ -106,7 +106,11 @@ class VersionedTable:
         return self.spark.read.parquet(folder) if path_exists(self.spark, folder) else None
 
     def write(self, df: DataFrame, number: int) -> None:
+        """Write a version; the one before it stays for a batch that runs again, no others."""
         df.write.mode("overwrite").parquet(self._folder(number))
+        for name in list_names(self.spark, self.path):
+            if name.startswith("version=") and int(name.split("=")[1]) < number - 1:
+                remove_path(self.spark, f"{self.path}/{name}")
 
     def latest(self) -> DataFrame:
         numbers = [int(name.split("=")[1]) for name in list_names(self.spark, self.path)
