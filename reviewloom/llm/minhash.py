@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import connected_components
+from .word_hashes import mixed, word_hashes
 
 #: 40 bands of 5 minima: two sets with similarity 0.8 meet in no band once in 8 million times.
 BANDS, ROWS = 40, 5
 #: Agreement of two signatures from which a pair is compared. For a similarity of 0.8 the
 #: agreement of 200 minima is below this once in 50,000 times.
 AGREEMENT = 0.68
-#: Rows of a bucket that one task compares; larger buckets are split into tiles.
-TILE_ROWS = 4096
-MEMO_WORDS = 500_000
+#: Nodes of a component that one task compares with others; larger ones are split into tiles.
+TILE_ROWS = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,27 +34,6 @@ _ROW = _coefficients(ROWS, 3)
 _BAND = _coefficients(BANDS, 4)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-class WordHashes:
-    """64-bit hashes of words, remembering words up to a bound."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case; bytes, so other letters stay and ASCII space splits."""
     return (text or "").encode().lower().split()
@@ -95,11 +74,10 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def _featurize(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_words = WordHashes()
         for batch in batches:
             nodes, counts, keys = [], [], []
             for text in batch["text"]:
-                found = shingle_hashes(hash_words(words_of(text.as_py())), size)
+                found = shingle_hashes(word_hashes(text.as_py(), lower=True), size)
                 counts.append(len(found))
                 if len(found):
                     digest = xxhash.xxh3_64_intdigest(found.tobytes())
@@ -145,44 +123,50 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _sign(size: int):
-    """The low byte of each minimum, which is enough to compare signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_words = WordHashes()
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            signs = [
-                signature(shingle_hashes(hash_words(words_of(text)), size)).astype(np.uint8)
-                for text in texts
-            ]
-            signs = pa.array([x.tobytes() for x in signs], pa.binary())
-            yield pa.record_batch({"node": batch["node"], "sign": signs})
-
-    return run
-
+def _cross_links(size: int, percent: int):
+    """Links between the components of a tile; members of one component are not compared.
 
-def _likely(most: int):
-    """Of each tile, for each node and other component the ``most`` best agreeing pairs."""
+    Signatures tell which pairs may be similar enough; all of these are compared on full sets
+    (as sorted 64-bit hashes), one node with all its partners at a time, until a link joins the
+    two components.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         nodes, labels = tile["node"].to_numpy(), tile["label"].to_numpy()
         main = tile["main"].to_numpy(zero_copy_only=False)
-        signs = np.frombuffer(b"".join(tile["sign"].to_pylist()), np.uint8).reshape(len(nodes), -1)
+        sets, signs = [], np.zeros((len(nodes), BANDS * ROWS), np.uint8)
+        for i, text in enumerate(tile["text"]):
+            sets.append(shingle_hashes(word_hashes(text.as_py(), lower=True), size))
+            signs[i] = signature(sets[-1])
+        sizes = np.array([len(x) for x in sets])
+        parent = {label: label for label in labels.tolist()}
+
+        def root(label):
+            while parent[label] != label:
+                label = parent[label]
+            return label
+
+        links = []
         asks = np.flatnonzero(~main)
         others = np.flatnonzero(main) if main.any() else asks
-        pairs = []
-        for i in asks:
-            agree = (signs[others] == signs[i]).mean(axis=1)
-            near = (agree >= AGREEMENT) & (labels[others] != labels[i])
-            found = others[near]
-            found = found[np.lexsort((nodes[found], -agree[near]))]
-            seen: dict[int, int] = {}
-            for j in found:
-                seen[labels[j]] = seen.get(labels[j], 0) + 1
-                if seen[labels[j]] <= most:
-                    pairs.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
-        found = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+        for i in asks.tolist():
+            near = others[(signs[others] == signs[i]).mean(axis=1) >= AGREEMENT]
+            mine = root(labels[i])
+            near = near[[root(label) != mine for label in labels[near].tolist()]] if len(near) else near
+            if not len(near):
+                continue
+            members = np.concatenate([sets[j] for j in near])
+            at = np.minimum(np.searchsorted(sets[i], members), sizes[i] - 1)
+            hits = np.r_[0, np.cumsum(sets[i][at] == members)]
+            ends = np.cumsum(sizes[near])
+            both = hits[ends] - hits[ends - sizes[near]]
+            alike = near[100 * both >= percent * (sizes[near] + sizes[i] - both)]
+            for j in alike.tolist():
+                one, other = root(labels[i]), root(labels[j])
+                if one != other:
+                    parent[one] = other
+                    links.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+        found = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
 
     return run
@@ -211,36 +195,22 @@ class _Linker:
         wanted = candidates.join(first, "node")
         texts = rows.select("uid", "text").join(wanted, "uid").dropDuplicates(["node"])
         self.texts = stored(texts.select("node", "text"), "texts")
-        self.sizes = self.features.select("node", "n_shingles").filter("node is not null").distinct()
-        self.signs = None
         self.edges: DataFrame | None = None
-        self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Compare new pairs ``u, v`` on full sets and renew the components."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        n = F.col("n_shingles")
-        near = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent
-        close = (
-            pairs.join(self.sizes.select(F.col("node").alias("u"), n.alias("nu")), "u")
-            .join(self.sizes.select(F.col("node").alias("v"), n.alias("nv")), "v")
-            .filter(near)
-            .select("u", "v")
-        )
+    def add(self, links: DataFrame) -> None:
+        """Renew the components with more links."""
+        links = stored(links, "links")
+        self.edges = links if self.edges is None else self.edges.union(links)
+        self.labels = stored(connected_components(self.edges), "components")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare pairs ``u, v`` on full sets and add those that are links."""
         text = F.col("text")
-        both = close.join(
+        both = pairs.join(
             self.texts.select(F.col("node").alias("u"), text.alias("u_text")), "u"
         ).join(self.texts.select(F.col("node").alias("v"), text.alias("v_text")), "v")
-        links = stored(both.mapInArrow(_verify(self.size, self.percent), "u bigint, v bigint"), "links")
-        self.edges = links if self.edges is None else self.edges.union(links)
-        self.labels = stored(connected_components(self.edges), "components")
-        return True
+        self.add(both.mapInArrow(_verify(self.size, self.percent), "u bigint, v bigint"))
 
     def labelled(self, nodes: DataFrame, name: str = "node", label: str = "label") -> DataFrame:
         """Add the component so far; a node without links is its own."""
@@ -267,49 +237,49 @@ class _Linker:
         )
 
     def tiles(self) -> DataFrame:
-        """Buckets that still hold several components, as tiles of bounded size.
+        """Families of nodes in which components may still have to be joined, as tiles.
 
-        The members of a bucket's smallest component are dealt over tiles; all others go to
-        each of these tiles, and to tiles among themselves. Members of one component never
-        meet.
+        A family is what shared buckets connect, as far as these hold several components; each
+        node is in one family. The members of a family's largest component are dealt over
+        tiles of bounded size; all others go to each of these tiles, and to tiles among
+        themselves.
         """
-        rows = self.labelled(self.members.select("key", "node"))
-        least = F.min("label").alias("least")
-        mixed_up = rows.groupBy("key").agg(least, F.max("label").alias("most"))
-        rows = rows.join(mixed_up.filter("least < most").select("key", "least"), "key")
-        rows = rows.withColumn("main", F.col("label") == F.col("least"))
-        rows = stored(rows.select("key", "node", "label", "main"), "unresolved")
-        main = F.col("main").cast("long")
-        counts = rows.groupBy("key").agg(F.sum(main).alias("n"), F.sum(1 - main).alias("others"))
-        parts = [(F.floor(F.col(c) / TILE_ROWS) + 1).cast("int") for c in ("n", "others")]
-        counts = counts.select("key", parts[0].alias("main_parts"), parts[1].alias("other_parts"))
-        rows = rows.join(counts, "key")
-        own = F.pmod(F.xxhash64("node"), F.col("main_parts")).cast("int")
-        mine = F.pmod(F.xxhash64("node"), F.col("other_parts")).cast("int")
-        to_main = F.sequence(F.lit(0), F.col("main_parts") - 1)
+        rows = self.labelled(self.members)
+        mixed_up = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        rows = rows.join(mixed_up.filter("a < b").select("key"), "key")
+        rows = stored(rows.select("node", "lo", "label").distinct(), "unresolved")
+        family = connected_components(rows.select(F.col("node").alias("u"), F.col("lo").alias("v")))
+        rows = rows.select("node", "label").distinct().join(family, "node")
+        rows = stored(rows.withColumnRenamed("component", "family"), "families")
+        counts = rows.groupBy("family", "label").agg(F.count("*").alias("n"))
+        most = F.max(F.struct("n", "label"))
+        counts = counts.groupBy("family").agg(most.alias("most"), F.sum("n").alias("n"))
+        parts = [F.floor(x / TILE_ROWS).cast("int") + 1 for x in (F.col("most.n"), F.col("n") - F.col("most.n"))]
+        counts = counts.select(
+            "family", F.col("most.label").alias("largest"), parts[0].alias("own"), parts[1].alias("other")
+        )
+        rows = rows.join(counts, "family").withColumn("main", F.col("label") == F.col("largest"))
+        here = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("own")).otherwise(F.col("other")))
+        here = here.cast("int")
+        to_main = F.sequence(F.lit(0), F.col("own") - 1)
         to_others = F.transform(
-            F.sequence(F.lit(0), F.col("other_parts") - 1),
-            lambda j: -1 - F.least(mine, j) * F.col("other_parts") - F.greatest(mine, j),
+            F.sequence(F.lit(0), F.col("other") - 1),
+            lambda j: -1 - F.least(here, j) * F.col("other") - F.greatest(here, j),
         )
-        tile = F.when(F.col("main"), F.array(own)).otherwise(F.concat(to_main, to_others))
-        if self.signs is None:
-            self.signs = stored(
-                self.texts.mapInArrow(_sign(self.size), "node bigint, sign binary"), "signs"
-            )
-        dealt = rows.select("key", F.explode(tile).alias("tile"), "node", "label", "main")
-        return dealt.join(self.signs, "node")
+        tile = F.when(F.col("main"), F.array(here)).otherwise(F.concat(to_main, to_others))
+        dealt = rows.select("family", F.explode(tile).alias("tile"), "node", "label", "main")
+        return dealt.join(self.texts, "node")
 
     def link(self) -> None:
         stars = stored(self.stars(), "stars")
         # First one pair for each node; what these leave apart then, which is much less.
         self.compare(stars.groupBy("u").agg(F.min("v").alias("v")))
         self.compare(self.across(stars))
-        most = 3
-        while True:  # until no pair that agrees enough is left between two components
-            found = self.tiles().groupBy("key", "tile").applyInArrow(_likely(most), "u bigint, v bigint")
-            if not self.compare(found.distinct()):
-                return
-            most *= 4
+        links = _cross_links(self.size, self.percent)
+        found = self.tiles().groupBy("family", "tile").applyInArrow(
+            lambda tile: links(tile), "u bigint, v bigint"
+        )
+        self.add(found)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -323,9 +293,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     their own; a null doc_id is larger than all others. ``uid`` is a hash of doc_id and text.
 
     Equal sets are one node, found by a digest; buckets link nodes. Every link is confirmed on
-    the full sets. Stars around the smallest node of each bucket come first; buckets that still
-    hold several components are then searched until no promising pair is left between two of
-    them, so no group is written out as pairs, and none is cut short.
+    the full sets. Stars around the smallest node of each bucket come first; where buckets still
+    hold several components, all pairs between these that agree in enough minima are compared
+    in place, so no group is written out as pairs, and none is cut short.
     """
     linker = _Linker(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), size, percent)
     linker.link()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, shuffle_partitions, stored
-from .minhash import WordHashes, mixed
+from .word_hashes import mixed, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 12
@@ -136,9 +136,8 @@ class Automaton:
 
 def _segment_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_words = WordHashes()
         for batch in batches:
-            found = [segments(hash_words(text_words(t.as_py())), window) for t in batch["text"]]
+            found = [segments(word_hashes(t.as_py()), window) for t in batch["text"]]
             row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             at, n, anchor, whole = (np.concatenate(x) for x in zip(*found)) if found else [[]] * 4
             yield pa.record_batch(
@@ -158,11 +157,10 @@ def _word_rows(window: int):
     """The words (as hashes) of wanted segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_words = WordHashes()
         for batch in batches:
             rows = []
             for text, wanted in zip(batch["text"], batch["wanted"].to_pylist()):
-                hashes = hash_words(text_words(text.as_py()))
+                hashes = word_hashes(text.as_py())
                 for x in wanted:
                     words = hashes[x["at"] : x["at"] + x["n"] + window - 1].tobytes()
                     rows.append({k: x[k] for k in ("anchor", "segment", "copies")} | {"words": words})
@@ -242,6 +240,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     found = rows.mapInArrow(
         _segment_rows(window), "uid bigint, at int, n int, anchor bigint, segment bigint"
     )
+    found = stored(found, "segments")
     anchors = found.groupBy("anchor").agg(
         F.count("*").alias("c"), F.min("segment").alias("lo"), F.max("segment").alias("hi")
     )
