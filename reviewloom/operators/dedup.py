@@ -40,6 +40,20 @@ def dedup_keep_first(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFr
     return df.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
 
 
+def drop_later_copies(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+    """Like ``dedup_keep_first`` for a unique arrival number, without sorting whole rows.
+
+    Keys and arrival numbers alone are compared; the rows whose key has an earlier arrival are
+    then dropped by number. Rows without a key are kept as one copy.
+    """
+    require_columns(df, key, seq)
+    narrow = stored_table(df.select(key, seq))
+    first = narrow.groupBy(F.col(key).alias("__key")).agg(F.min(seq).alias("__first"))
+    same = narrow[key].eqNullSafe(first["__key"])
+    later = narrow.join(first, same).filter(F.col(seq) > F.col("__first")).select(seq)
+    return df.join(stored_table(later), seq, "left_anti")
+
+
 def first_arrivals(
     df: DataFrame, key: str = "id", seq: str = "seq", carry: Sequence[str] = ()
 ) -> DataFrame:

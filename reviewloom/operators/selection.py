@@ -13,7 +13,7 @@ from ..functions.text import or_empty
 from ..runtime import stored_table
 from .conform import todo_rows, with_id
 from .dedup import (
-    dedup_keep_first,
+    drop_later_copies,
     fetch_rows,
     first_arrivals,
     lookup_table,
@@ -94,7 +94,7 @@ def accepted_rows(
     rows = min_words(pool, words)
     if per_category <= 0 and total <= 0:
         rows = with_id(rows)
-        rows = dedup_keep_first(rows, "id", seq) if dedup else rows
+        rows = drop_later_copies(rows, "id", seq) if dedup else rows
         return drop_blocked(rows, blocked) if blocked is not None else rows
     narrow = with_id(rows).select("id", seq, "product_category")
     if dedup:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import filters, sampling, selection
-from reviewloom.operators.dedup import dedup_keep_first, first_arrivals
+from reviewloom.operators.dedup import dedup_keep_first, drop_later_copies, first_arrivals
 from reviewloom.operators.ranking import with_rank
 
 
@@ -166,6 +166,7 @@ def test_dedup_keeps_first_arrival(skewed):
     for row in sorted(rows):
         first.setdefault(row[1], row)
     assert {r.seq for r in dedup_keep_first(df).collect()} == {r[0] for r in first.values()}
+    assert {r.seq for r in drop_later_copies(df).collect()} == {r[0] for r in first.values()}
     narrow = first_arrivals(df, carry=["label", "cat"]).collect()
     assert {(r.id, r.seq, r.label, r.cat) for r in narrow} == {
         (r[1], r[0], r[2], r[4]) for r in first.values()}
