@@ -44,7 +44,10 @@ def validate_reviews(
     rating_range: tuple[float, float] = (1.0, 5.0),
     allow_empty_title: bool = True,
 ) -> DataFrame:
-    """One-row report of a review table, from a single pass. Missing columns are an error."""
+    """One-row report of a review table, from a single pass. Missing columns are an error.
+
+    Fixed values: the names of the report's columns and of the two options.
+    """
     require_columns(df, *REVIEW_COLUMNS)
     rules = _rules(df, rating_range, allow_empty_title)
     report = df.agg(

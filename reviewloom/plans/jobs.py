@@ -326,8 +326,11 @@ def merge_training_rows(
     a ``batch`` column the newest answer for an id wins, else the lower class. Unreadable labels
     are left out and blocked ids do not train. ``label_source`` says where a label is from.
     """
-    base = dedup_keep_first(with_id(ensure_label(train)), "id", "seq") if "seq" in train.columns \
-        else with_id(ensure_label(train)).dropDuplicates(["id"])
+    base = with_id(ensure_label(train))
+    if "seq" in train.columns:
+        base = dedup_keep_first(base, "id", "seq")
+    else:
+        base = base.dropDuplicates(["id"])
     columns = ["id", *REVIEW_COLUMNS, "label"]
     label = normalize_human_label("label")
     human = with_id(gold).withColumn("__label", label).filter("__label IS NOT NULL")

@@ -1,4 +1,7 @@
-"""Column lists and schemas (as DDL text) of the tables the library reads and writes."""
+"""Column lists and schemas (as DDL text) of the tables the library reads and writes.
+
+Fixed values: names, types and order of columns are those of the data.
+"""
 
 from __future__ import annotations
 

@@ -27,6 +27,7 @@ def test_softmax_matches_numpy(spark):
 
 
 def test_abstain(spark):
+    # A sure and an undecided row, and the threshold between them.
     logits = [[0.0, 0.0, 10.0], [0.0, 0.0, 0.0]]
     label = fn.abstain_label(fn.softmax("x"), 0.5)
     assert values(spark, "ARRAY<DOUBLE>", logits, label) == ["positive", "abstain"]
