@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -38,13 +38,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a minimum before its join, and its join can be split. Rounds end when a round changes
     nothing, after about the logarithm of the longest path.
     """
-    now = stored(_pairs(edges.dropna(subset=["u", "v"]), F.col("u"), F.col("v")), "edges")
+    now = _pairs(edges.dropna(subset=["u", "v"]), F.col("u"), F.col("v"))
     mark = None
     while True:
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row == mark or row[0] == 0:
+        seen = Observation()
+        # The figures that tell whether a round changed anything come with its write.
+        digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+        now = stored(now.observe(seen, F.count(F.lit(1)).alias("n"), digest), "stars")
+        if seen.get == mark or not seen.get["n"]:
             break
-        mark = row
-        now = stored(_small_star(stored(_large_star(now), "large_star")), "small_star")
+        mark = seen.get
+        now = _small_star(_large_star(now))
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select("v", "v").distinct())
