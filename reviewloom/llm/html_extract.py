@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 #: Pages that the trees are fitted on, and rearranged copies made of each.
 FIT_PAGES = 300
@@ -467,7 +467,7 @@ class Trees:
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows, labels = [], []
         for html in batch["html"].to_pylist():
             page = parse(html)
@@ -525,17 +525,15 @@ def extract(pages: DataFrame, trees: Trees | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        for batch in batches:
-            texts = []
-            for begin in range(0, batch.num_rows, 64):
-                parsed = [parse(html) for html in batch["html"].slice(begin, 64).to_pylist()]
-                rows = [features(page) for page in parsed]
-                if trees is None:
-                    odds = [by_names(*x) for x in zip(parsed, rows)]
-                else:
-                    ends = np.cumsum([len(x) for x in rows])[:-1]
-                    odds = np.split(trees.odds(np.concatenate(rows)), ends)
-                texts += ["\n\n".join(decode(*x)) for x in zip(parsed, odds)]
+        for batch in slices(batches, 64):
+            parsed = [parse(html) for html in batch["html"].to_pylist()]
+            rows = [features(page) for page in parsed]
+            if trees is None:
+                odds = [by_names(*x) for x in zip(parsed, rows)]
+            else:
+                ends = np.cumsum([len(x) for x in rows])[:-1]
+                odds = np.split(trees.odds(np.concatenate(rows)), ends)
+            texts = ["\n\n".join(decode(*x)) for x in zip(parsed, odds)]
             yield pa.record_batch(
                 {
                     "page_id": batch["page_id"],

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 #: Labelled texts that the classifier is fitted on, over all languages, and landmarks of them.
 FIT_ROWS = 4096
@@ -137,7 +137,7 @@ def ridge_weights(
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         codes = [
             np.frombuffer(t.as_py().lower().encode("utf-32-le", "replace"), np.uint32)
             for t in batch["text"]
@@ -179,7 +179,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -
 
     def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum(frequent)
-        for batch in batches:
+        for batch in slices(batches):
             found = [spectrum(t.as_py()).tobytes() for t in batch["text"]]
             yield pa.record_batch(
                 {"lang": batch["lang"], "digest": batch["digest"], "grams": pa.array(found, pa.binary())}
@@ -210,23 +210,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         spectrum = Spectrum(model.frequent if model else [])
-        for batch in batches:
-            names, scores, letters = [], [], []
-            for begin in range(0, batch.num_rows, 32):
-                texts = batch["text"].slice(begin, 32).to_pylist()
-                grams = [spectrum(text) for text in texts]
-                letters += [len(x) > 0 for x in grams]
-                if model is None:
-                    names += [UNDETERMINED] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
+        for batch in slices(batches, 32):
+            grams = [spectrum(text) for text in batch["text"].to_pylist()]
+            letters = [len(x) > 0 for x in grams]
+            if model is None:
+                names, scores = [UNDETERMINED] * len(grams), [0.0] * len(grams)
+            else:
                 outputs = model.scores(grams).astype(float)
-                best = outputs.argmax(axis=1)
                 share = np.exp(4 * (outputs - outputs.max(axis=1, keepdims=True)))
-                share = 1 / share.sum(axis=1)
-                for x, i, s in zip(grams, best, share):
-                    names.append(model.languages[i] if len(x) else UNDETERMINED)
-                    scores.append(float(s) if len(x) else 0.0)
+                best = [model.languages[i] for i in outputs.argmax(axis=1)]
+                names = [n if ok else UNDETERMINED for n, ok in zip(best, letters)]
+                scores = np.where(letters, 1 / share.sum(axis=1), 0.0).tolist()
             columns = {name: batch[name] for name in batch.schema.names}
             columns["lang_pred"] = pa.array(names, pa.string())
             columns["score"] = pa.array(scores, pa.float64())

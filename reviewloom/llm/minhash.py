@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .components import connected_components
 from .word_hashes import mixed, word_hashes
 
@@ -74,7 +74,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def _featurize(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes, counts, keys = [], [], []
             for text in batch["text"]:
                 found = shingle_hashes(word_hashes(text.as_py(), lower=True), size)
@@ -110,7 +110,7 @@ def _verify(size: int, percent: int):
                 memo[node] = shingles(words_of(text), size)
             return memo[node]
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*(batch[c] for c in ("u", "v", "u_text", "v_text")))
             keep = []
             for u, v, u_text, v_text in rows:
@@ -195,14 +195,13 @@ class _Linker:
         wanted = candidates.join(first, "node")
         texts = rows.select("uid", "text").join(wanted, "uid").dropDuplicates(["node"])
         self.texts = stored(texts.select("node", "text"), "texts")
-        self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
-        """Renew the components with more links."""
-        links = stored(links, "links")
-        self.edges = links if self.edges is None else self.edges.union(links)
-        self.labels = stored(connected_components(self.edges), "components")
+        """Renew the components with more links ``u, v``."""
+        if self.labels is not None:  # what is connected already, as stars
+            links = links.union(self.labels.select("node", "component"))
+        self.labels = stored(connected_components(stored(links, "links")), "components")
 
     def compare(self, pairs: DataFrame) -> None:
         """Compare pairs ``u, v`` on full sets and add those that are links."""

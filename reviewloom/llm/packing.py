@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ranked, shuffle_partitions, stored
+from .common import bucket_of, ranked, shuffle_partitions, slices, stored
 from .subset_sum import best_fill
 from .tokens import encoder, tokenize
 
@@ -58,7 +58,7 @@ def _cut(width: str, window: int):
     size = int(width[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             totals = batch["n_tokens"].to_numpy()
             each = -(-totals // window)
             row = np.repeat(np.arange(len(totals)), each)
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096) -> Da
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = places.value
         key = rows[:, 0] << 48 | rows[:, 1]
-        for batch in batches:
+        for batch in slices(batches):
             length = batch["length"].to_numpy().astype(np.int64)
             rank = batch["rank"].to_numpy()
             at = np.searchsorted(key, length << 48 | rank, side="right") - 1

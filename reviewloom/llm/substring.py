@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, shuffle_partitions, stored
+from .common import bucket_of, shuffle_partitions, slices, stored
 from .word_hashes import mixed, word_hashes
 
 #: Words of an anchor.
@@ -136,7 +136,7 @@ class Automaton:
 
 def _segment_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [segments(word_hashes(t.as_py()), window) for t in batch["text"]]
             row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             at, n, anchor, whole = (np.concatenate(x) for x in zip(*found)) if found else [[]] * 4
@@ -157,7 +157,7 @@ def _word_rows(window: int):
     """The words (as hashes) of wanted segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, wanted in zip(batch["text"], batch["wanted"].to_pylist()):
                 hashes = word_hashes(text.as_py())
@@ -203,7 +203,7 @@ def _match(window: int):
 
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch["words"]]
             counts = [len(x) - window + 1 for x in hashes]
             row = pa.array(np.repeat(np.arange(len(hashes)), counts), pa.int64())
@@ -305,7 +305,7 @@ def covered_words(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             totals, removed, kept = [], [], []
             for text, spans in zip(batch["text"], batch["spans"].to_pylist()):
                 words = text_words(text.as_py())

@@ -4,20 +4,44 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Fixed values of the word_bpe file: its split pattern, for characters below U+0100 only.
 _LETTERS = "a-zß-öø-ÿ"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: Texts with any other character go through the tokenizer whole. Left out below U+0100 are
 #: control characters and the signs that Unicode counts as letters or numbers.
 _OTHER = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]|<\|")
+#: Characters that stand for the bytes without a visible one, in the order of the bytes.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_NAMES = dict(zip([x for x in range(256) if x not in _VISIBLE], range(256, 512)))
 #: Most pieces that a worker remembers.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
+
+
+class _Pieces(dict):
+    """Ids of pieces, found by the tokenizer's model when they are first seen."""
+
+    def __init__(self, tokenizer, width: str):
+        self.model, self.code = tokenizer.model, {"<u2": "H", "<u4": "I"}[width]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO_PIECES:
+            self.clear()
+        name = piece
+        if not piece.isascii():
+            name = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        ids = array(self.code, [token.id for token in self.model.tokenize(name)]).tobytes()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -30,43 +54,24 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_piece = os.path.basename(path) == "word_bpe_49k.json"
-        # The same model without the steps that are already done for a piece.
-        self.of_pieces = Tokenizer.from_file(path)
-        self.of_pieces.normalizer = normalizers.Sequence([])
-        self.of_pieces.pre_tokenizer = pre_tokenizers.ByteLevel(
-            add_prefix_space=False, use_regex=False
-        )
-        self.memo: dict[str, bytes] = {}
+        self.by_piece = os.path.basename(path) == "word_bpe_49k.json" and sys.byteorder == "little"
         self.width = id_width(self.tokenizer)
-
-    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        tokenizer = tokenizer or self.tokenizer
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, self.width).tobytes() for one in found]
+        self.pieces = _Pieces(self.tokenizer, self.width)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian integers of ``width``."""
         texts = [text or "" for text in texts]
-        if not self.by_piece:
-            return self._encode(texts)
-        whole = [i for i, text in enumerate(texts) if _OTHER.search(text)]
-        others = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        out = []
-        for begin in range(0, len(texts), 64):
-            part = range(begin, min(begin + 64, len(texts)))
-            pieces = {i: _PIECE.findall(texts[i].lower()) for i in part if i not in others}
-            new = list(set().union(*pieces.values()).difference(self.memo))
-            if len(self.memo) + len(new) > MEMO_PIECES:
-                self.memo.clear()
-                new = list(set().union(*pieces.values()))
-            self.memo.update(zip(new, self._encode(new, self.of_pieces)))
-            get = self.memo.__getitem__
-            out += [others[i] if i in others else b"".join(map(get, pieces[i])) for i in part]
-        return out
+        whole = [i for i, text in enumerate(texts) if not self.by_piece or _OTHER.search(text)]
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        others = {i: np.array(one.ids, self.width).tobytes() for i, one in zip(whole, found)}
+        get = self.pieces.__getitem__
+        return [
+            others[i] if i in others else b"".join(map(get, _PIECE.findall(text.lower())))
+            for i, text in enumerate(texts)
+        ]
 
 
 def id_width(tokenizer) -> str:
@@ -95,7 +100,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encode = encoder(path)
         end = np.array([end_id], encode.width).tobytes()
         size = len(end)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [one + end for one in encode(batch["text"].to_pylist())]
             yield pa.record_batch(
                 {

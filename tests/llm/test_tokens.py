@@ -33,5 +33,5 @@ def test_a_small_memo_gives_the_same_ids(tokenizer, monkeypatch):
     texts = [f"word{i} other{i % 7} the" for i in range(500)]
     before = encode(texts)
     monkeypatch.setattr("reviewloom.llm.tokens.MEMO_PIECES", 50)
-    encode.memo.clear()
+    encode.pieces.clear()
     assert encode(texts) == before
