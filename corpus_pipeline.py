@@ -39,14 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates stays: the one with the smallest doc_id.
 
     Five-word shingles, similarity 0.8 or more. Texts without words are in no group and stay.
-    Of rows that share the smallest doc_id of a group one stays.
+    Of rows that share the smallest doc_id of a group one stays. A null doc_id is larger than all
+    others; documents that share an id, or have none, and are not near-duplicates all stay.
     """
-    found = minhash.near_duplicates(docs)
-    alone = F.col("n_shingles") == 0
-    least = found.filter(~alone).groupBy("component_id").agg(
-        F.min(F.when(F.col("kept") | F.col("doc_id").isNull(), F.col("uid"))).alias("uid")
-    )
-    stay = stored(least.select("uid").union(found.filter(alone).select("uid")).distinct(), "stay")
+    found = minhash.grouped(docs)
+    alone = F.col("label").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    least = found.filter(~alone).groupBy("label").agg(first).select("first.uid")
+    stay = stored(least.union(found.filter(alone).select("uid")).distinct(), "stay")
     plain = docs.withColumn("_row_uid", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
     plain = plain.join(stay.withColumnRenamed("uid", "_row_uid"), "_row_uid", "left_semi")
     words = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))

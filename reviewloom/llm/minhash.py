@@ -281,6 +281,17 @@ class _Linker:
         self.add(found)
 
 
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``uid, doc_id, n_shingles, label`` for each row of ``doc_id, text``.
+
+    ``label`` is the component's own key, whatever ids its rows have; null without words. See
+    ``near_duplicates`` for what is linked.
+    """
+    linker = _Linker(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), size, percent)
+    linker.link()
+    return linker.labelled(linker.features.drop("keys"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``uid, doc_id, n_shingles, component_id, kept`` for each row of ``doc_id, text``.
 
@@ -296,9 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hold several components, all pairs between these that agree in enough minima are compared
     in place, so no group is written out as pairs, and none is cut short.
     """
-    linker = _Linker(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), size, percent)
-    linker.link()
-    rows = linker.labelled(linker.features.drop("keys"))
+    rows = grouped(docs, size, percent)
     groups = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
     return (

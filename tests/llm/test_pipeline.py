@@ -86,6 +86,16 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert Counter(map(tuple, found.collect())) == wanted
 
 
+def test_near_duplicates_tell_groups_by_links_not_by_ids(spark):
+    row = lambda doc_id, text: (doc_id, text, "en", "a", 1, "u", None)
+    alone = [row(6, "a text"), row(6, "quite another text"), row(None, "no id"), row(None, "no id here either")]
+    copies = [f"one text that {i} rows have" for i in range(8)]
+    rows = [*alone, *(row(i, t) for t in copies for i in (None, 20, 6)), *(row(None, c) for c in ["both without", "Both  without"])]
+    found = Counter(map(tuple, run(spark, "near_duplicates", rows).collect()))
+    assert found.pop(rows[-1], 0) + found.pop(rows[-2], 0) == 1
+    assert found == Counter([*alone, *(row(6, t) for t in copies)])
+
+
 def test_passages_are_cut(spark):
     rows = rows_of()
     found = run(spark, "repeated_passages", rows)
