@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import bucket_of, shuffle_partitions, slices, stored
 from .components import connected_components
 from .word_hashes import mixed, word_hashes
 
@@ -19,8 +19,10 @@ BANDS, ROWS = 40, 5
 #: Agreement of two signatures from which a pair is compared. For a similarity of 0.8 the
 #: agreement of 200 minima is below this once in 50,000 times.
 AGREEMENT = 0.68
-#: Nodes of a component that one task compares with others; larger ones are split into tiles.
+#: Nodes, and bytes of their texts (and one text more), in a part of a family; one task compares
+#: two parts at most.
 TILE_ROWS = 2048
+TILE_BYTES = 1 << 25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,7 +196,8 @@ class _Linker:
         first = self.features.groupBy("node").agg(F.min("uid").alias("uid"))
         wanted = candidates.join(first, "node")
         texts = rows.select("uid", "text").join(wanted, "uid").dropDuplicates(["node"])
-        self.texts = stored(texts.select("node", "text"), "texts")
+        size_of = F.octet_length("text").cast("bigint").alias("bytes")
+        self.texts = stored(texts.select("node", "text", size_of), "texts")
         self.labels: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
@@ -238,36 +241,63 @@ class _Linker:
     def tiles(self) -> DataFrame:
         """Families of nodes in which components may still have to be joined, as tiles.
 
-        A family is what shared buckets connect, as far as these hold several components; each
-        node is in one family. The members of a family's largest component are dealt over
-        tiles of bounded size; all others go to each of these tiles, and to tiles among
-        themselves.
+        A family is what shared buckets connect, as far as these hold several components and
+        more than two nodes (stars have compared the one pair of others); each node is in one
+        family. The members of a family's largest component are dealt over parts of bounded
+        size, and all others over parts of their own. Each part of the largest meets each part
+        of the others in a tile, and so do any two parts of the others.
         """
         rows = self.labelled(self.members)
-        mixed_up = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        rows = rows.join(mixed_up.filter("a < b").select("key"), "key")
+        mixed_up = rows.groupBy("key").agg(
+            F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")
+        )
+        rows = rows.join(mixed_up.filter("a < b and n > 2").select("key"), "key")
         rows = stored(rows.select("node", "lo", "label").distinct(), "unresolved")
         family = connected_components(rows.select(F.col("node").alias("u"), F.col("lo").alias("v")))
         rows = rows.select("node", "label").distinct().join(family, "node")
         rows = stored(rows.withColumnRenamed("component", "family"), "families")
         counts = rows.groupBy("family", "label").agg(F.count("*").alias("n"))
-        most = F.max(F.struct("n", "label"))
-        counts = counts.groupBy("family").agg(most.alias("most"), F.sum("n").alias("n"))
-        parts = [F.floor(x / TILE_ROWS).cast("int") + 1 for x in (F.col("most.n"), F.col("n") - F.col("most.n"))]
-        counts = counts.select(
-            "family", F.col("most.label").alias("largest"), parts[0].alias("own"), parts[1].alias("other")
+        largest = counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"))
+        rows = rows.join(largest.select("family", F.col("most.label").alias("largest")), "family")
+        rows = rows.withColumn("main", F.col("label") == F.col("largest")).drop("largest")
+        rows = self.parts(rows)
+        most = [F.max(F.when(F.col("main") == main, F.col("part"))) + 1 for main in (True, False)]
+        counts = rows.groupBy("family").agg(most[0].alias("own"), most[1].alias("other"))
+        rows = rows.join(counts, "family")
+        own, other, part = F.col("own"), F.col("other"), F.col("part")
+        each = F.sequence(F.lit(0).cast("bigint"), other - 1)
+        of_main = F.transform(each, lambda j: part * other + j)
+        to_main = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), own - 1), lambda i: i * other + part
         )
-        rows = rows.join(counts, "family").withColumn("main", F.col("label") == F.col("largest"))
-        here = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("own")).otherwise(F.col("other")))
-        here = here.cast("int")
-        to_main = F.sequence(F.lit(0), F.col("own") - 1)
         to_others = F.transform(
-            F.sequence(F.lit(0), F.col("other") - 1),
-            lambda j: -1 - F.least(here, j) * F.col("other") - F.greatest(here, j),
+            each, lambda j: -1 - F.least(part, j) * other - F.greatest(part, j)
         )
-        tile = F.when(F.col("main"), F.array(here)).otherwise(F.concat(to_main, to_others))
+        tile = F.when(F.col("main"), of_main).otherwise(F.concat(to_main, to_others))
         dealt = rows.select("family", F.explode(tile).alias("tile"), "node", "label", "main")
-        return dealt.join(self.texts, "node")
+        return dealt.join(self.texts.select("node", "text"), "node")
+
+    def parts(self, rows: DataFrame) -> DataFrame:
+        """Add ``part`` (from 0): the members of ``family, main`` in turn, as far as a part holds.
+
+        A running sum of bytes is cut in even steps; a short text weighs as much as lets
+        TILE_ROWS of them fill a step. Each bucket of nodes is added up by itself, so that a
+        family may have any share of the rows.
+        """
+        weight = F.greatest(F.lit(-(-TILE_BYTES // TILE_ROWS)), F.least(F.lit(TILE_BYTES), "bytes"))
+        rows = rows.join(self.texts.select("node", "bytes"), "node")
+        bucket = bucket_of(shuffle_partitions(rows.sparkSession), "node")
+        rows = rows.withColumns({"weight": weight.cast("bigint"), "bucket": bucket})
+        own = ["family", "main", "bucket"]
+        before = lambda w: F.coalesce(
+            F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        )
+        base = rows.groupBy(*own).agg(F.sum("weight").alias("weight"))
+        base = base.select(*own, before(Window.partitionBy("family", "main").orderBy("bucket")).alias("base"))
+        rows = rows.withColumn("at", before(Window.partitionBy(*own).orderBy("node")))
+        part = F.floor((F.col("base") + F.col("at")) / F.lit(TILE_BYTES)).cast("bigint")
+        rows = rows.join(base, own).withColumn("part", part)
+        return stored(rows.select("family", "node", "label", "main", "part"), "parts")
 
     def link(self) -> None:
         stars = stored(self.stars(), "stars")

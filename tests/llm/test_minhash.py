@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.llm import minhash
 from reviewloom.llm.components import connected_components
@@ -86,6 +87,44 @@ def test_tiles_of_small_size(spark, monkeypatch):
     assert found(spark, rows, 2) == brute(rows, 2)
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 25, 1800])
+def test_no_tile_holds_more_than_two_parts(spark, monkeypatch, tile_bytes):
+    monkeypatch.setattr(minhash, "TILE_ROWS", 7)
+    monkeypatch.setattr(minhash, "TILE_BYTES", tile_bytes)
+    rng = random.Random(3)
+    base = rng.choices(VOCABULARY, k=120)
+    rows = [(i, " ".join(edited(rng, base, 0.07)), "x") for i in range(80)]  # alike, but for few no link
+    rows += [(100 + i, " ".join(edited(rng, base, 0.01)), "x") for i in range(20)]
+    tiles, largest = minhash._Linker.tiles, []
+
+    def seen(self):
+        made = tiles(self)
+        sums = [F.count("*").alias("rows"), F.sum(F.length("text")).alias("bytes")]
+        for keys in (["family", "tile", "main"], ["family", "tile"]):
+            sizes = made.groupBy(*keys).agg(*sums).collect()
+            largest.append((len(sizes), *(max(r[c] for r in sizes if "main" not in r or r.main or r.tile >= 0) for c in ("rows", "bytes"))))
+        return made
+
+    monkeypatch.setattr(minhash._Linker, "tiles", seen)
+    assert found(spark, rows, 2) == brute(rows, 2)
+    (_, part_rows, part_bytes), (n, both_rows, both_bytes) = largest
+    most = tile_bytes + max(len(t) for _, t, _ in rows)
+    assert n > 20 and part_rows <= 7 and part_bytes <= most
+    assert both_rows <= 14 and both_bytes <= 2 * most
+
+
+def test_buckets_of_two_are_compared_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 60, 2):
+        base = rng.choices(VOCABULARY, k=120)
+        rows += [(i, " ".join(base), "x"), (i + 1, " ".join(edited(rng, base, 0.09)), "x")]
+    tiles, left = minhash._Linker.tiles, []
+    monkeypatch.setattr(minhash._Linker, "tiles", lambda self: left.append(tiles(self).count()) or tiles(self))
+    assert found(spark, rows, 2) == brute(rows, 2)
+    assert left == [0]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", None), (3, " \t ", None), (4, "One", None), (5, "one", None), (None, "ONE", None),
             (6, "a b", None), (6, "A  b", None), (6, "other text", None), (None, "alone here", None), (-7, "É é", None),
