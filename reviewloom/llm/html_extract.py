@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -246,10 +247,11 @@ def features(page: Page) -> np.ndarray:
         around = kids[i]
         if around:
             tags = [page.tags[k] for k in around]
+            alike = Counter(tags)
             mean = sum(chars[k] for k in around) / len(around)
             for at, k in enumerate(around):
                 out[k, 12:18] = (
-                    at / len(around), log(len(around)), tags.count(tags[at]) / len(around) if len(around) < 1000 else 1,
+                    at / len(around), log(len(around)), alike[tags[at]] / len(around),
                     log(chars[k]) - log(mean), log(chars[around[at - 1]]) if at else 0,
                     log(chars[around[at + 1]]) if at + 1 < len(around) else 0,
                 )

@@ -106,6 +106,14 @@ def test_parsing(html, blocks):
     assert [text for _, text, _ in he.parse(html).runs] == blocks
 
 
+@pytest.mark.parametrize("n", [900, 1500])
+def test_share_of_siblings_with_the_same_tag(n):
+    page = he.parse("<main>" + "<p>some text</p>" * n + "<div>advert</div></main>")
+    share = he.features(page)[:, 14]
+    assert share[page.tags.index("div")] == pytest.approx(1 / (n + 1))
+    assert share[page.tags.index("p")] == pytest.approx(n / (n + 1))
+
+
 def test_odd_rows(spark, trees):
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>Some text here.</p></article>", None), (3, "v", deep, None),
