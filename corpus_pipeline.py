@@ -22,7 +22,8 @@ WINDOW = 4096
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those whose text is null or has no letter.
 
-    For the others ``lang`` becomes the predicted language, if any language could be learned.
+    For the others ``lang`` becomes the predicted language, if any language could be learned;
+    the model drops nothing.
     """
     columns = docs.columns
     model = langid.fit(docs.filter(~langid.held_out()).select("text", "lang"))
