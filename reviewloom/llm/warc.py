@@ -26,8 +26,9 @@ def resolve_revisits(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     Of the rows with an equal digest and at least ``least`` bytes, the one with the smallest
     page_id is the response and the others revisit it; rows that share this smallest page_id
     are all responses. A null page_id comes after all others: it revisits, unless every one of
-    its group is null. Only headers are shuffled: a group is reduced to its smallest id before
-    it is joined back, and copies of one payload may hold any share of the rows.
+    its group is null. A group is found by headers alone and reduced to its smallest id. The join
+    back moves whole rows by digest, payloads too, unless the groups are broadcast; copies of one
+    payload are then together, as far as Spark does not split them.
     """
     large = F.col("payload_bytes") >= least
     firsts = (
@@ -90,8 +91,8 @@ def record_text() -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``page_id, url, html`` as WARC files, one record per row (null html: empty).
 
-    Two passes: digests alone are shuffled to find the revisits; then payloads, each with its
-    header. Files are plain WARC 1.1, since Spark's text writer ends each record with two
+    Digests alone are shuffled to find groups of copies; payloads then move with the join to
+    these, unless it is a broadcast, and again as records that are dealt by id. Files are plain WARC 1.1, since Spark's text writer ends each record with two
     line breaks as the format asks. Repeated rows give a record each.
     """
     spark = pages.sparkSession
