@@ -8,8 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import ann_tree, exact_topk, html_extract, langid, minhash, mixing, packing, rans, substring, warc
-from .common import table
+from . import (
+    ann_tree,
+    conversations,
+    exact_topk,
+    html_extract,
+    interleave,
+    langid,
+    minhash,
+    mixing,
+    packing,
+    rans,
+    substring,
+    warc,
+)
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +155,170 @@ def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_boosted_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.fit(pages.select("html")))
+
+
+@query
+def op12_integer_weight_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_report(rows, stored(conversations.audits(rows), "audits"))
+
+
+#: Shards and seed of ``op13_interleaved_shards``.
+SHARDS, SHARD_SEED = 16, 13
+
+
+@query
+def op13_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    dealt = interleave.deal(rows, SHARDS, SHARD_SEED, ["doc_id", "text_crc32", "size"])
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# DuckDB has no crc32: one table entry for each byte value, and a fold over the bytes of a text.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+        SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1
+                    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc
+        FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _sql_crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``; needs ``crc_table`` in scope."""
+    at = f"instr('0123456789ABCDEF', substr(hex(encode({text})), %s, 1)) - 1"
+    octets = f"[16 * ({at % '2 * i - 1'}) + {at % '2 * i'} FOR i IN range(1, strlen({text}) + 1)]"
+    return (
+        f"xor(list_reduce({octets}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8),"
+        " 4294967295), 4294967295)"
+    )
+
+
+ORACLES["op13_interleaved_shards"] = f"""
+    WITH {_CRC_TABLE}, sized AS (
+        SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+               CAST({_sql_crc("coalesce(text, '')")} AS BIGINT) AS text_crc32
+        FROM documents, crc_table
+    ), hashed AS (
+        SELECT *, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''),
+                                CAST(text_crc32 AS VARCHAR), CAST(size AS VARCHAR), '{SHARD_SEED}')) AS h
+        FROM sized
+    ), placed AS (
+        SELECT *, CAST(2 * row_number() OVER (PARTITION BY source
+                           ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS DOUBLE)
+                  / (2 * count(*) OVER (PARTITION BY source)) AS fraction
+        FROM hashed
+    ), numbered AS (
+        SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, h,
+                                     doc_id NULLS FIRST, text_crc32, size) - 1 AS place,
+               count(*) OVER () AS n
+        FROM placed
+    ), cut AS (SELECT *, place * {SHARDS} // n AS s FROM numbered)
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard,
+           CAST(place - (s * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot,
+           CAST(NULL AS INTEGER) AS grown_shard
+    FROM cut"""
+
+
+def _sql_edge(node: str, letter: str, cost: str, line: str | None) -> str:
+    """A path one edit longer: key (nine digits of cost, then the audit) and repaired lines."""
+    key = (f"lpad(CAST(CAST(substr({node}.k, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0')"
+           f" || substr({node}.k, 10) || '{letter}'")
+    lines = f"{node}.t" if line is None else f"list_append({node}.t, {line})"
+    return f"CASE WHEN {node} IS NOT NULL THEN {{'k': {key}, 't': {lines}}} END"
+
+
+def _sql_paths() -> str:
+    """Cheapest paths to the four states of the pattern, row by row of each conversation."""
+    u, a = "'user:'", "'assistant:'"
+    into_u = ", ".join(_sql_edge(x, "I", "5", u) for x in "nsa")
+    keep = {x: f"CASE WHEN r.i = '{x}' THEN 0 END" for x in "sua"}
+
+    def after(state: str, sources: str, role: str | None) -> str:
+        found = [_sql_edge(state, "D", "2", None)]
+        for x in sources:
+            kept = _sql_edge(x, "K", "r.more", "r.role || ':' || r.text")
+            found.append(f"CASE WHEN r.usable AND {keep[state]} = 0 THEN {kept} END")
+            if role:
+                made = _sql_edge(x, "R", "r.more + 1", f"'{role}:' || r.text")
+                found.append(f"CASE WHEN r.usable THEN {made} END")
+        return f"list_min([{', '.join(found)}])"
+
+    inserted = (f"SELECT * REPLACE (list_min([a, {_sql_edge('u', 'I', '5', a)}]) AS a) FROM"
+                f" (SELECT * REPLACE (list_min([u, {into_u}]) AS u) FROM %s)")
+    return f"""paths AS (
+        SELECT conv_id, rows, 0 AS i, {{'k': '000000000', 't': CAST([] AS VARCHAR[])}} AS n,
+               CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR[])) AS s,
+               CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR[])) AS u,
+               CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR[])) AS a
+        FROM conversation
+        UNION ALL
+        SELECT conv_id, rows, i + 1, {_sql_edge('n', 'D', '2', None)},
+               {after('s', 'n', None)}, {after('u', 'nsa', 'user')}, {after('a', 'u', 'assistant')}
+        FROM (SELECT *, rows[i + 1] AS r FROM ({inserted % 'paths'}))
+        WHERE i < len(rows)
+    ), best AS (
+        SELECT conv_id, list_min([n, a]) AS b FROM ({inserted % 'paths'}) WHERE i = len(rows)
+    )"""
+
+
+ORACLES["op12_integer_weight_repair"] = f"""
+    WITH RECURSIVE {_CRC_TABLE}, hashed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':',
+                      coalesce(CAST(turn AS VARCHAR), ' ')) AS key
+        FROM conversations
+    ), kinds AS (
+        SELECT *, {_sql_crc("key")} % 20 AS kind FROM hashed, crc_table
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                         ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM kinds WHERE kind <> 0
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+                                     sha256(text), copy) AS nth,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+        FROM damaged
+    ), faulty AS (
+        SELECT *, CASE WHEN shown = '' THEN 'blank'
+                       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1
+                       THEN 'duplicate'
+                       WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                       ELSE 'none' END AS fault,
+               left(lag(role) OVER (PARTITION BY conv_id ORDER BY nth), 1) || left(role, 1) AS pair
+        FROM numbered
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+               list({{'i': left(role, 1), 'role': role, 'text': text,
+                      'usable': fault NOT IN ('blank', 'duplicate'),
+                      'more': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY nth) AS rows
+        FROM faulty GROUP BY conv_id
+    ), conversation AS (
+        SELECT conv_id, rows FROM counted
+    ), {_sql_paths()}
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps,
+           coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(CAST(substr(b.k, 1, 9) AS INT), 0) AS BIGINT) AS cost,
+           coalesce(substr(b.k, 10), '') AS audit,
+           sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN counted t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN best p ON p.conv_id IS NOT DISTINCT FROM c.conv_id"""
