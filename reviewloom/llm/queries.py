@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import scratch_path
 from . import (
     ann_tree,
+    collocations,
     conversations,
     exact_topk,
     html_extract,
@@ -322,3 +323,55 @@ ORACLES["op12_integer_weight_repair"] = f"""
     FROM (SELECT DISTINCT conv_id FROM conversations) c
     LEFT JOIN counted t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
     LEFT JOIN best p ON p.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query
+def op11_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# Parts and inner phrases of a candidate are as frequent as it is, so rarer phrases are not needed.
+ORACLES["op11_automaton_collocations"] = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), words AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), sizes AS (
+        SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+    ), places AS (
+        SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+    ), occurrences AS (
+        SELECT lang, k, CASE WHEN i + k - 1 <= len(w) THEN array_to_string(w[i : i + k - 1], ' ') END AS phrase
+        FROM places, (SELECT unnest([1, 2, 3, 4]) AS k)
+    ), grams AS (
+        SELECT lang, k, phrase, count(*) AS f FROM occurrences WHERE phrase IS NOT NULL
+        GROUP BY ALL HAVING count(*) >= 30
+    ), candidates AS (
+        SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1
+    ), cuts AS (
+        SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS p1, array_to_string(w[c + 1 : k], ' ') AS p2
+        FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+    ), scores AS (
+        SELECT s.lang, s.phrase, s.a, x.f AS l, y.f AS r,
+               CAST(2000000 * CAST(s.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+        FROM cuts s
+        JOIN grams x ON x.lang = s.lang AND x.phrase = s.p1
+        JOIN grams y ON y.lang = s.lang AND y.phrase = s.p2
+        QUALIFY row_number() OVER (PARTITION BY s.lang, s.phrase ORDER BY score, c) = 1
+    ), inner_phrases AS (
+        SELECT DISTINCT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i
+              FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+    ), kept AS (
+        SELECT * FROM scores s WHERE NOT EXISTS (
+            SELECT 1 FROM inner_phrases i
+            WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.a >= 80 * s.a)
+    ), ranks AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+        FROM kept
+    )
+    SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, r.score
+    FROM ranks r JOIN sizes s ON s.lang = r.lang WHERE r.rank <= 2000""".replace("\\\\x", "\\x")
