@@ -1,22 +1,23 @@
 """Phrases whose words come together: counts of n-grams in weighted acyclic automata.
 
-Every occurrence of two to four words in one piece of a text is the beginning of a window, the
-longest run of at most four words from its place on. The count of an n-gram is the sum over the
-windows that begin with it, so one window for each place has the counts of all lengths.
-
-1. Words are counted per language; a word below the least count is in no candidate, and windows
-   end before it. A bit set of fixed size tells these words; what it lets through costs work only.
+Every place in a piece of a text is the beginning of a window, the longest run of at most four
+words from there on. The count of an n-gram is the sum over the windows that begin with it, so
+one window for each place has the counts of all lengths.
+
+1. Words are counted per language. A word below the least count is in no candidate, nor is a pair
+   of words. Bit sets of fixed size tell what is frequent; what they let through costs work only.
+   So pairs of frequent words are counted first, and then windows of three words or four in which
+   each pair is frequent.
 2. A chunk of words gives its windows sorted by prefix range, and each range becomes an automaton
    (``Automaton``): states are made as the sorted windows leave their prefix, and equal last
    states are kept once.
 3. The automata of a prefix range are united and their weights added. Ranges are stretches of a
-   hash of the first three words, so that a frequent pair is spread over them; counts of pairs go
-   on as smaller automata and are united once more.
+   hash of the first words (two of a pair, else three), so that a frequent pair is spread.
 4. The counts of a phrase's parts lie on its path: those of its first words in the automaton of all
    frequent n-grams that begin alike, those of its last words in the one that reads backwards.
 
 Words are told apart by two 64-bit hashes when they are counted, and by one from there on, after
-a look that no two words of a language share it; else another seed is taken.
+a look that no two words share it; else another seed is taken.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ BLOCK_BYTES = 1 << 20
 CHUNK_WORDS = 1 << 20
 #: Occurrences of words that a prefix range should have, and windows that a union holds at once.
 RANGE_WORDS = 1 << 21
-UNION_ROWS = 1 << 22
-#: Bits of the set of frequent words.
-SET_BITS = 26
+UNION_ROWS = 1 << 21
+#: The sets of frequent words and pairs have 2 to this power bits.
+SET_BITS = 27
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 12
 #: Words of the longest candidate.
@@ -142,13 +143,15 @@ class Chunk:
         piece = np.searchsorted(np.flatnonzero(kind == 2), begin) + self.pieces
         self.pieces += int((kind == 2).sum()) + 1
         block = np.full(len(begin), len(self.data))
-        self.parts.append((code, check, piece, begin < own, block, begin, end, text + len(self.langs)))
+        where = [x.astype(np.int32) for x in (block, begin, end, text + len(self.langs))]
+        self.parts.append((code, begin < own, piece, check, *where))
         self.langs.extend(langs)
         self.data.append(data)
         self.words += len(begin)
 
-    def columns(self) -> list[np.ndarray]:
-        return [np.concatenate(x) for x in zip(*self.parts)]
+    def columns(self, count: int) -> list[np.ndarray]:
+        """The first of: code, own, piece, second hash, block, begin, end, text."""
+        return [np.concatenate(x) for x in zip(*[part[:count] for part in self.parts])]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -185,7 +188,7 @@ def _word_rows(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, Hasher(seed)):
-            code, check, _, own, block, begin, end, text = chunk.columns()
+            code, own, _, check, block, begin, end, text = chunk.columns(8)
             mine = np.flatnonzero(own)
             order = mine[np.lexsort((check[mine], code[mine]))]
             new = (np.diff(code[order], prepend=0) != 0) | (np.diff(check[order], prepend=0) != 0)
@@ -295,6 +298,9 @@ class Automaton:
         of1 = np.repeat(np.arange(len(one)), fan1)[of2]
         return codes, [one[of1], two[of2], three[of3], label[arc]], count[arc]
 
+    def size(self) -> int:
+        return int(self.arrays[7][self.arrays[6]].sum())
+
     def to_bytes(self) -> bytes:
         return _packed(self.arrays)
 
@@ -352,12 +358,21 @@ def _united_wide(codes: np.ndarray, parts: list) -> tuple[np.ndarray, list[np.nd
     return codes, [x[first] for x in labels], np.add.reduceat(counts[order], first)
 
 
-def _range_of(codes: list[np.ndarray], ranges: int) -> np.ndarray:
-    """Number of the stretch of hashes that the hash of some codes lies in."""
+def _hash(codes: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(codes[0]), np.uint64)
     for code in codes:
         total = mixed(total * _MULTIPLY + code)
-    return ((total >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return total
+
+
+def _range_of(codes: list[np.ndarray], ranges: int) -> np.ndarray:
+    """Number of the stretch of hashes that the hash of some codes lies in."""
+    return ((_hash(codes) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _in_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - SET_BITS)
+    return bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
 def _by_range(codes: np.ndarray, labels: list[np.ndarray], counts: np.ndarray, ranges: np.ndarray) -> pa.RecordBatch:
@@ -372,28 +387,40 @@ def _by_range(codes: np.ndarray, labels: list[np.ndarray], counts: np.ndarray, r
     )
 
 
-def _window_rows(seed: int, bits: bytes, ranges: int):
-    """Automata of the windows of each chunk, by prefix range."""
+def _window_rows(seed: int, bits: bytes, ranges: int, pairs: bool):
+    """Automata of the windows of each chunk, by prefix range.
+
+    With ``pairs`` windows have two words, which are in the set ``bits``; without it three or
+    four, and each two that follow each other are in the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(bits, np.uint8)
         for chunk in chunks(batches, Hasher(seed)):
-            code, _, piece, own, *_ = chunk.columns()
-            bit = code >> np.uint64(64 - SET_BITS)
-            known = frequent[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+            code, own, piece = chunk.columns(3)
+            del chunk
             link = np.zeros(len(code) + 2, bool)
-            link[: len(code) - 1] = known[:-1] & known[1:] & (piece[1:] == piece[:-1])
+            if pairs:
+                known = _in_set(frequent, code)
+                known = known[:-1] & known[1:]
+            else:
+                known = _in_set(frequent, _hash([code[:-1], code[1:]]))
+            link[: len(code) - 1] = known & (piece[1:] == piece[:-1])
             at = np.flatnonzero(link[: len(code)] & own)
-            third = link[at + 1]
-            fourth = third & link[at + 2]
+            if not pairs:
+                at = at[link[at + 1]]
+            if not len(at):
+                continue
             codes, label = np.unique(code, return_inverse=True)
             label = np.concatenate([label + 1, [0, 0, 0]])
-            labels = [label[at], label[at + 1], np.where(third, label[at + 2], 0), np.where(fourth, label[at + 3], 0)]
-            padded = np.concatenate([np.zeros(1, np.uint64), codes])
-            where = _range_of([padded[x] for x in labels[:3]], ranges)
+            labels = [label[at], label[at + 1]]
+            if pairs:
+                labels += [np.zeros(len(at), np.int64)] * 2
+            else:
+                labels += [label[at + 2], np.where(link[at + 2], label[at + 3], 0)]
+            where = _range_of([codes[x - 1] for x in labels[: 2 if pairs else 3]], ranges)
             split, sums, where = _sorted_sums(labels, np.ones(len(at), np.int64), where)
-            if len(sums):
-                yield _by_range(codes, split, sums, where)
+            yield _by_range(codes, split, sums, where)
 
     return run
 
@@ -408,49 +435,31 @@ def _starts(labels: list[np.ndarray]) -> np.ndarray:
 
 
 def _gram_batch(codes: np.ndarray, labels: list[np.ndarray], f: np.ndarray) -> pa.RecordBatch:
-    padded = np.concatenate([np.zeros(1, np.uint64), codes]).view(np.int64)
+    padded = np.concatenate([np.zeros(1, np.uint64), codes])
+    words = [padded[x] for x in labels] + [np.zeros(len(f), np.uint64)] * (LONGEST - len(labels))
     columns = {"n": pa.array(np.full(len(f), len(labels), np.int32))}
-    for depth in range(LONGEST):
-        words = padded[labels[depth]] if depth < len(labels) else np.zeros(len(f), np.int64)
-        columns[f"w{depth + 1}"] = pa.array(words)
-    columns["f"] = pa.array(f, pa.int64())
-    columns["range"] = pa.nulls(len(f), pa.int32())
-    columns["automaton"] = pa.nulls(len(f), pa.binary())
+    columns |= {f"w{i + 1}": pa.array(x.view(np.int64)) for i, x in enumerate(words)}
+    columns |= {"f": pa.array(f, pa.int64()), "hash": pa.array(_hash(words[:2]).view(np.int64))}
     return pa.record_batch(columns)
 
 
 GRAMS = "n int, w1 bigint, w2 bigint, w3 bigint, w4 bigint, f bigint"
-_UNITED = GRAMS + ", range int, automaton binary"
 
 
-def _union_rows(least: int, pair_ranges: int):
-    """Frequent n-grams of each prefix range.
+def _union_rows(least: int, pairs: bool):
+    """Frequent n-grams of each prefix range, of two words, or of three and four.
 
-    With ``pair_ranges`` these are of three and four words, and counts of pairs go on as automata;
-    without it pairs are complete, and come out. Rows are sorted by range; what a union holds is
-    united whenever it passes ``UNION_ROWS`` windows.
+    Rows are sorted by range; what a union holds is united whenever ``UNION_ROWS`` windows have
+    come to it.
     """
 
     def finish(held: list[Automaton]) -> Iterator[pa.RecordBatch]:
         codes, labels, counts = united(held)
-        pair = _starts(labels[:2])
-        pairs, sums = [x[pair] for x in labels[:2]], np.add.reduceat(counts, pair)
-        if not pair_ranges:
-            often = sums >= least
-            yield _gram_batch(codes, [x[often] for x in pairs], sums[often])
-            return
-        for depth in (3, 4):
+        for depth in (2,) if pairs else (3, 4):
             first = _starts(labels[:depth])
             f = np.add.reduceat(counts, first)
             often = (f >= least) & (labels[depth - 1][first] > 0)
             yield _gram_batch(codes, [x[first][often] for x in labels[:depth]], f[often])
-        where = _range_of([codes[x - 1] for x in pairs], pair_ranges)
-        order = np.argsort(where, kind="stable")
-        none = np.zeros(len(order), np.int64)
-        made = _by_range(codes, [pairs[0][order], pairs[1][order], none, none], sums[order], where[order])
-        columns = {name: pa.nulls(made.num_rows, pa.int32() if name == "n" else pa.int64())
-                   for name in ("n", "w1", "w2", "w3", "w4", "f")}
-        yield pa.record_batch({**columns, "range": made["range"], "automaton": made["automaton"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Automaton] = []
@@ -462,10 +471,10 @@ def _union_rows(least: int, pair_ranges: int):
                     held, rows = [], 0
                 now = number
                 held.append(Automaton.from_bytes(data.as_py()))
-                rows += int(held[-1].arrays[7][held[-1].arrays[6]].sum())
+                rows += held[-1].size()
                 if rows > UNION_ROWS and len(held) > 1:
                     held = [Automaton.build(*united(held))]
-                    rows = 0  # the union itself is not counted, or a large one would be made anew each time
+                    rows = 0  # the union is not counted, or a large one would be made anew each time
         if held:
             yield from finish(held)
 
@@ -490,10 +499,10 @@ def all_words(docs: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError("no seed gives every word a code of its own")
 
 
-def _bit_set(codes: DataFrame) -> bytes:
-    """Bits of the leading ``SET_BITS`` bits of the codes; its size does not depend on the rows."""
-    place = F.shiftrightunsigned("code", 64 - SET_BITS) + 1
-    rows = codes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+def _bit_set(hashes: DataFrame) -> bytes:
+    """Bits of the leading ``SET_BITS`` bits of hashes; its size does not depend on the rows."""
+    place = F.shiftrightunsigned("hash", 64 - SET_BITS) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
     out = bytearray(1 << (SET_BITS - 3))
@@ -506,17 +515,21 @@ def _bit_set(codes: DataFrame) -> bytes:
 def frequent_grams(docs: DataFrame, codes: DataFrame, seed: int, words: int, least: int) -> DataFrame:
     """``n, w1, w2, w3, w4, f``: all n-grams of two to four words with a count of ``least``.
 
-    Words are codes, 0 stands for none. ``words`` is the number of words of all texts.
+    Words are codes, 0 stands for none. ``codes`` are those of frequent words, ``words`` is the
+    number of words of all texts.
     """
-    spark = docs.sparkSession
-    ranges = min(max(shuffle_partitions(spark), words // RANGE_WORDS + 1), (1 << _RANK_BITS) - 1)
-    bits = _bit_set(codes)
-    made = docs.mapInArrow(_window_rows(seed, bits, ranges), "range int, automaton binary")
-    first = stored(_dealt(made, ranges).mapInArrow(_union_rows(least, ranges), _UNITED), "united")
-    pairs = first.filter("n is null").select("range", "automaton")
-    pairs = _dealt(pairs, ranges).mapInArrow(_union_rows(least, 0), _UNITED)
-    grams = first.filter("n is not null").drop("range", "automaton")
-    return stored(grams.unionByName(pairs.drop("range", "automaton")), "grams")
+    ranges = max(shuffle_partitions(docs.sparkSession), words // RANGE_WORDS + 1)
+    ranges = min(ranges, (1 << _RANK_BITS) - 1)
+
+    def counted(hashes: DataFrame, pairs: bool) -> DataFrame:
+        windows = _window_rows(seed, _bit_set(hashes), ranges, pairs)
+        made = docs.mapInArrow(windows, "range int, automaton binary")
+        grams = _dealt(made, ranges).mapInArrow(_union_rows(least, pairs), f"{GRAMS}, hash bigint")
+        return stored(grams, "grams")
+
+    pairs = counted(codes.withColumnRenamed("code", "hash"), True)
+    longer = counted(pairs.select("hash"), False)
+    return pairs.union(longer).drop("hash")
 
 
 def path_counts(words: list[np.ndarray], f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

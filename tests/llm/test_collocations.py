@@ -82,12 +82,12 @@ def test_no_rows_and_no_candidates(spark):
     assert found(spark.createDataFrame([(1, "one two three", "a", "x", "y")], SCHEMA)) == []
 
 
-def windows_of(texts, bits=None):
+def windows_of(texts, pairs):
     """Windows of texts by the operator's own chunks, as code tuples."""
-    bits = bytes([255]) * (1 << (c.SET_BITS - 3)) if bits is None else bits
+    bits = bytes([255]) * (1 << (c.SET_BITS - 3))
     batch = pa.record_batch({"text": pa.array(texts), "lang": pa.array(["a"] * len(texts))})
     total = Counter()
-    for made in c._window_rows(1, bits, 5)(iter([batch])):
+    for made in c._window_rows(1, bits, 5, pairs)(iter([batch])):
         for data in made["automaton"]:
             codes, labels, counts = c.Automaton.from_bytes(data.as_py()).windows()
             padded = np.concatenate([np.zeros(1, np.uint64), codes])
@@ -96,15 +96,17 @@ def windows_of(texts, bits=None):
     return total
 
 
-def test_long_texts_are_split_without_loss(monkeypatch):
+@pytest.mark.parametrize("pairs", [True, False])
+def test_long_texts_are_split_without_loss(monkeypatch, pairs):
     rng = random.Random(7)
     sample = [" ".join(texts(rng, 30)) for _ in range(4)] + ["a b", "lone", "", "x" * 400 + " y z"]
-    whole = windows_of(sample)
-    assert sum(whole.values()) == sum(max(len(p) - 1, 0) for t in sample for p in pieces(t))
+    whole = windows_of(sample, pairs)
+    less = 1 if pairs else 2
+    assert sum(whole.values()) == sum(max(len(p) - less, 0) for t in sample for p in pieces(t))
     for size in (1, 7, 50, 333):
         monkeypatch.setattr(c, "BLOCK_BYTES", size)
         monkeypatch.setattr(c, "CHUNK_WORDS", size)
-        assert windows_of(sample) == whole
+        assert windows_of(sample, pairs) == whole
 
 
 def random_windows(rng, n, vocabulary):
