@@ -658,7 +658,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
                     F.when(F.col("n") > 3, F.col("word_w3")), "word_last")
     out = out.withColumn("phrase", F.array_join(inner, " ")).withColumn("cut", _lowest_cut())
     out = out.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    order = ["score desc", "a desc", "phrase"]
     best = top_ranked(stored(out, "scored"), ["lang"], order, top)
     return best.join(sizes, "lang").select(
         "lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score"
