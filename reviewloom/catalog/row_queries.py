@@ -363,7 +363,7 @@ def sql_functions(spark, sf_dir):
        CASE WHEN conf < 0.5 THEN 'abstain' ELSE ['negative', 'neutral', 'positive'][pred_label + 1]
        END AS half, CASE WHEN conf < 0.65 THEN 'abstain'
        ELSE ['negative', 'neutral', 'positive'][pred_label + 1] END AS predicted,
-       round(1 - conf, 6) AS least, round(mid - conf, 6) AS by_margin, round(h, 6) AS by_entropy
+       round(1 - conf, 6) AS least, round(mid - conf, 6) AS by_margin, round(h_batch, 6) AS by_entropy
 FROM measured""",
 )
 def sql_functions_probs(spark, sf_dir):

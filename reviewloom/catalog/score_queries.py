@@ -112,7 +112,7 @@ def select_margin(spark, sf_dir):
     return _batch(spark, sf_dir, "margin")
 
 
-@query("select_entropy", _batch_sql("h"))
+@query("select_entropy", _batch_sql("h_batch"))
 def select_entropy(spark, sf_dir):
     return _batch(spark, sf_dir, "entropy")
 

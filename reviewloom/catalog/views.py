@@ -149,6 +149,12 @@ def sql_stars(rating: str) -> str:
     return f"CASE WHEN {rating} <= 2 THEN 0 WHEN {rating} >= 4 THEN 2 ELSE 1 END"
 
 
+def sql_entropy(eps: str) -> str:
+    """Entropy of ``p_neg, p_neu, p_pos`` clipped to [eps, 1]."""
+    clipped = [f"least(greatest({p}, {eps}), 1)" for p in ("p_neg", "p_neu", "p_pos")]
+    return "-(" + " + ".join(f"{p} * ln({p})" for p in clipped) + ")"
+
+
 _REVIEWS = f"""reviews AS MATERIALIZED (
   SELECT doc_id AS seq, text, CAST(1 + doc_id % 5 AS DOUBLE) AS rating,
          concat(source, ' / ', lang) AS title, lang AS asin, source AS product_category,
@@ -179,12 +185,12 @@ _PARTS = {
          exp(z2 - m) / d AS p_pos
   FROM (SELECT *, exp(z0 - m) + exp(z1 - m) + exp(z2 - m) AS d
         FROM (SELECT *, greatest(z0, z1, z2) AS m FROM logits) a) b)""",
-    "measured": """measured AS (
+    "measured": f"""measured AS (
   SELECT *, greatest(p_neg, p_neu, p_pos) AS conf,
          p_neg + p_neu + p_pos - greatest(p_neg, p_neu, p_pos) - least(p_neg, p_neu, p_pos) AS mid,
          CASE WHEN p_neg >= p_neu AND p_neg >= p_pos THEN 0
               WHEN p_neu >= p_pos THEN 1 ELSE 2 END AS pred_label,
-         -(p_neg * ln(p_neg) + p_neu * ln(p_neu) + p_pos * ln(p_pos)) AS h
+         {sql_entropy("1e-12")} AS h, {sql_entropy("1e-8")} AS h_batch
   FROM scored)""",
     "review_events": f"""review_events AS (
   SELECT event_id AS seq, ts, concat(event_type, ' ', props) AS text,

@@ -63,7 +63,7 @@ def head_rows(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     require_columns(df, seq)
     if n <= 0:
         return df
-    first = top_ranked(df.select(seq), [], [F.col(seq)], n, rank="__rank")
+    first = top_ranked(df.select(seq), [], [seq], n, rank="__rank")
     return fetch_rows(df, first.drop("__rank"), seq)
 
 
@@ -75,8 +75,7 @@ def sample_rows(
     if n <= 0:
         return df
     hashed = df.withColumn("__hash", sample_hash(seed, *key))
-    order = [F.col("__hash"), *[F.col(name) for name in key]]
-    return top_ranked(hashed, [], order, n, rank="__rank").drop("__hash", "__rank")
+    return top_ranked(hashed, [], ["__hash", *key], n, rank="__rank").drop("__hash", "__rank")
 
 
 def cap_per_group(
@@ -94,5 +93,5 @@ def cap_per_group(
     if n <= 0:
         return df
     name = rank or "__rank"
-    first = top_ranked(df.select(by, seq), [by], [F.col(seq)], n, rank=name)
+    first = top_ranked(df.select(by, seq), [by], [seq], n, rank=name)
     return fetch_rows(df, first.select(seq, *([rank] if rank else [])), seq)

@@ -16,7 +16,7 @@ from ..runtime import stored_table
 from .conform import label_column, with_id
 from .dedup import fetch_rows, first_arrivals, require_columns
 from .filters import cap_per_group, category_filter, drop_blocked, min_words, sample_rows
-from .ranking import sample_hash, top_ranked, with_rank
+from .ranking import sample_hash, top_ranked
 
 
 def sample_per_key(
@@ -33,8 +33,7 @@ def sample_per_key(
     """
     require_columns(df, by, *key)
     hashed = df.withColumn("__hash", sample_hash(seed, *key))
-    order = [F.col("__hash"), *[F.col(name) for name in key]]
-    picked = top_ranked(hashed, [by], order, k, rank=rank)
+    picked = top_ranked(hashed, [by], ["__hash", *key], k, rank=rank)
     return picked.drop("__hash")
 
 
@@ -199,17 +198,18 @@ def sample_stratified(
     if total <= n:
         return df
 
-    hashed = narrow.join(seats, by, "left").withColumn("__hash", sample_hash(seed, *key))
-    order = [F.col("__hash"), *[F.col(name) for name in key]]
-    ranked = with_rank(hashed, [by], order, rank="__rank")
-    has_seat = F.coalesce(F.col("__rank") <= F.col("seats"), F.lit(False))
+    most = seats.agg(F.max("seats")).first()[0]
+    hashed = narrow.withColumn("__hash", sample_hash(seed, *key))
+    drawn = top_ranked(hashed, [by], ["__hash", *key], most, rank="__rank")
+    drawn = drawn.join(seats, by).filter("__rank <= seats").select(seq)
     if seated == n:
-        return fetch_rows(df, ranked.filter(has_seat).select(seq), seq)
-    ranked = stored_table(ranked)
-    rest = sample_rows(
-        ranked.filter(~has_seat).select(*dict.fromkeys([*key, seq])), n - seated, seed, key
-    )
-    return fetch_rows(df, ranked.filter(has_seat).select(seq).unionByName(rest.select(seq)), seq)
+        return fetch_rows(df, drawn, seq)
+    # Rows without a seat among the first n of all hold the first ones of those without a seat.
+    drawn = stored_table(drawn)
+    first = top_ranked(hashed, [], ["__hash", *key], n, rank="__rank").drop("__rank")
+    rest = first.join(drawn, seq, "left_anti")
+    rest = top_ranked(rest, [], ["__hash", *key], n - seated, rank="__rank").select(seq)
+    return fetch_rows(df, drawn.unionByName(rest), seq)
 
 
 def first_n_per_category(

@@ -31,7 +31,7 @@ def top_k(df: DataFrame, score: str, k: int, seq: str = "seq") -> DataFrame:
     twice and the rows once more, so pass stored scores, not a costly scorer.
     """
     require_columns(df, score, seq)
-    order = [F.col(score).desc(), F.col(seq)]
+    order = [f"{score} desc", seq]
     if k <= 0:
         return df.filter(F.lit(False))
     best = top_ranked(df.select(score, seq), [], order, k, rank="__rank")
@@ -53,7 +53,7 @@ def top_k_per_class(
         F.get(F.array(*[F.lit(max(int(q), 0)) for q in quotas]), F.col(by)), F.lit(0)
     )
     # No filter on the class before ranking: it would be pushed below the scorer and run twice.
-    order = [F.col(score).desc(), F.col(seq)]
+    order = [f"{score} desc", seq]
     best = top_ranked(df.select(by, score, seq), [by], order, quota, rank="__rank")
     return fetch_rows(df, best.select(seq), seq)
 

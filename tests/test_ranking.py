@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators import filters, sampling, selection
+from reviewloom.operators import filters, ranking, sampling, selection
 from reviewloom.operators.dedup import dedup_keep_first, drop_later_copies, first_arrivals
 from reviewloom.operators.ranking import with_rank
+from reviewloom.runtime import stored_table as stored
 
 
 @pytest.fixture(scope="module")
@@ -193,3 +195,62 @@ def test_copies_are_reduced_before_the_shuffle(skewed, plan_of):
     assert "Partial" in plan
     assert "partial_min" in plan_of(first_arrivals(df, carry=["label"]))
     assert "SortAggregate" not in plan_of(first_arrivals(df, carry=["label"]))
+
+
+def large(spark, n, partitions=8):
+    """Two thirds in one group, half of these with equal scores, some without one."""
+    seq = F.col("id")
+    return spark.range(0, n, 1, partitions).select(
+        seq.alias("seq"),
+        F.when(seq % 3 == 0, F.lit(None)).when(seq % 300 == 1, "small").otherwise("hot").alias("cat"),
+        F.when(seq % 2 == 0, 0.5).when(seq % 1001 == 0, float("nan")).when(seq % 1003 == 0, F.lit(None))
+        .otherwise((seq * 7919 % n) / n).alias("score"))
+
+
+@pytest.mark.parametrize("order", [["seq"], ["score desc", "seq"], ["score", "seq desc"]])
+def test_cut_before_the_sort(spark, order):
+    """Of 3 million rows a few thousand are left to rank, and they hold the wanted ones."""
+    df = stored(large(spark, 3_000_000))
+    keys = [F.col(o.removesuffix(" desc")) for o in order]
+    sort = [k.desc() if o.endswith("desc") else k.asc() for k, o in zip(keys, order)]
+    for limit in (1, 100):
+        kept, most = ranking.up_to_cut(df, [], order, limit)
+        assert kept.count() == most < 3000
+        wanted = [r.seq for r in df.orderBy(*sort).limit(limit).collect()]
+        found = ranking.top_ranked(df, [], order, limit).orderBy("rank").collect()
+        assert [r.seq for r in found] == wanted and [r["rank"] for r in found] == list(range(1, limit + 1))
+    kept, most = ranking.up_to_cut(df, ["cat"], order, 100)
+    assert most == 10_000 and kept.count() < 3000 * 2 + 10_001  # the small group is left whole
+    window = Window.partitionBy("cat").orderBy(*sort)
+    wanted = df.withColumn("rank", F.row_number().over(window)).filter("rank <= 100")
+    found = ranking.top_ranked(df, ["cat"], order, 100)
+    assert {(r.seq, r["rank"]) for r in found.collect()} == {(r.seq, r["rank"]) for r in wanted.collect()}
+
+
+def test_a_bad_cut_is_mended(spark, monkeypatch):
+    """A cut with too few rows before it brings the rest of its group back."""
+    df = stored(large(spark, 300_000))
+    monkeypatch.setattr(ranking, "_nth_of_sample", lambda limit, rows: F.lit(1))
+    found = ranking.top_ranked(df, ["cat"], ["seq"], 5000)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["cat"], []).append((r["rank"], r.seq))
+    seqs = {None: range(0, 300_000, 3), "small": range(1, 300_000, 300)}
+    for cat, wanted in seqs.items():
+        assert sorted(got[cat]) == list(enumerate([x for x in wanted][:5000], 1))
+    assert len(got["hot"]) == 5000
+
+
+@pytest.mark.parametrize("window_rows", [10, 1 << 18])
+def test_both_ways_to_rank_a_remainder(skewed, monkeypatch, window_rows):
+    rows, df = skewed
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(ranking, "SAMPLE_ROWS", 64)
+    for k in (3, 40, 900):
+        got = filters.cap_per_group(df, k, "cat", rank="rank").collect()
+        want = {}
+        for group in by_group(rows, 4).values():
+            want |= {r[0]: i + 1 for i, r in enumerate(sorted(group)[:k])}
+        assert {r.seq: r["rank"] for r in got} == want
+        best = sorted(rows, key=lambda r: (-r[3], r[0]))[:k]
+        assert [r.seq for r in selection.top_k(df, "score", k).collect()] == [r[0] for r in best]
