@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Payloads below this many bytes are stored each time.
 LEAST_BYTES = 100
 #: Payload bytes that a file should hold; a file is read in one piece.
@@ -17,34 +20,33 @@ FILE_BYTES = 1 << 25
 #: Fixed values of the format.
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_DATE = "2024-01-01T00:00:00Z"
 
 
-def resolve_revisits(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Add ``record_type`` and ``refers_to`` to rows with ``page_id, payload_digest, payload_bytes``.
+def record_key() -> Column:
+    """What tells records apart that may differ in their type: page_id and payload."""
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    return F.concat(page, F.lit(":"), F.col("payload_digest"))
+
 
-    Of the rows with an equal digest and at least ``least`` bytes, the one with the smallest
-    page_id is the response and the others revisit it; rows that share this smallest page_id
-    are all responses. A null page_id comes after all others: it revisits, unless every one of
-    its group is null. A group is found by headers alone and reduced to its smallest id. The join
-    back moves whole rows by digest, payloads too, unless the groups are broadcast; copies of one
-    payload are then together, as far as Spark does not split them.
+def revisits(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """``record_key, refers_to`` of the records that revisit another one.
+
+    ``headers`` has ``page_id, payload_digest, payload_bytes``; payloads play no part. Of the rows
+    with an equal digest and at least ``least`` bytes, the one with the smallest page_id is the
+    response and the others revisit it; rows that share this smallest page_id are all responses.
+    A null page_id comes after all others: it revisits, unless every one of its group is null.
     """
-    large = F.col("payload_bytes") >= least
+    large = headers.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     firsts = (
-        records.filter(large)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .filter("_n > 1 and _first is not null")
+        large.groupBy("payload_digest")
+        .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n"))
+        .filter("_n > 1 and refers_to is not null")
         .drop("_n")
     )
-    revisit = large & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return (
-        records.join(firsts, "payload_digest", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("_first")))
-        .drop("_first")
-    )
+    # Copies with one page_id are one row here, so that they do not multiply what they find.
+    found = large.distinct().join(firsts, "payload_digest")
+    found = found.filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select(record_key().alias("record_key"), "refers_to")
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -69,7 +71,7 @@ def record_text() -> Column:
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.col("record_type")),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.col("payload_digest"), F.lit(">"))),
-        _line("WARC-Date", _DATE),
+        _line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", _escaped(F.col("url"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         _line("X-Page-ID", page),
@@ -91,9 +93,11 @@ def record_text() -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``page_id, url, html`` as WARC files, one record per row (null html: empty).
 
-    Digests alone are shuffled to find groups of copies; payloads then move with the join to
-    these, unless it is a broadcast, and again as records that are dealt by id. Files are plain WARC 1.1, since Spark's text writer ends each record with two
-    line breaks as the format asks. Repeated rows give a record each.
+    Headers are shuffled by digest to find the revisits, and these come back by record key. The
+    shuffle that brings them to the payloads is also the one that deals the records to files,
+    so each payload moves once. Files are WARC 1.1, compressed by gzip as a whole: Spark's text
+    writer ends each record with two line breaks, as the format asks. Repeated rows give a
+    record each.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
@@ -103,12 +107,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
             "payload_bytes": F.octet_length("payload").cast("bigint"),
         }
     )
-    total = records.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, total // FILE_BYTES + 1)
-    resolved = resolve_revisits(records).select(record_text().alias("value"), "page_id")
-    # Dealt by id, so that files have about the same size however the join left the rows.
-    dealt = resolved.repartition(max(files, spark.sparkContext.defaultParallelism), "page_id", F.xxhash64("value"))
-    dealt.select("value").write.option("lineSep", _END).text(path)
+    headers = stored(records.select("page_id", "payload_digest", "payload_bytes"), "headers")
+    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
+    files = max(total // FILE_BYTES + 1, spark.sparkContext.defaultParallelism)
+    found = stored(revisits(headers), "revisits").repartition(files, "record_key")
+    dealt = records.withColumn("record_key", record_key()).repartition(files, "record_key")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    resolved = dealt.join(found, "record_key", "left").withColumn("record_type", kind)
+    text = resolved.select(record_text().alias("value"))
+    text.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,7 +146,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for headers, block in parse(content.as_py()):
+                for headers, block in parse(gzip.decompress(content.as_py())):
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
                     revisit = headers["warc-type"] == "revisit"
                     if not revisit and hashlib.sha256(block).hexdigest() != digest:

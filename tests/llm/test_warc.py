@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from collections import defaultdict
 
@@ -54,3 +55,24 @@ def test_many_copies_and_empty(spark, tmp_path):
 def test_damage_is_found():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+
+
+def test_payloads_move_once(spark, plan_of, tmp_path):
+    """Of the exchanges only the one that deals records by key has payloads."""
+    rows = [(i % 700, "u", LONG if i % 3 else f"{i} {LONG}", "z") for i in range(2000)]
+    rows += [(None, "u", LONG, "z")] * 700
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    headers = pages.select("page_id", "html").selectExpr(
+        "page_id", "sha2(cast(html as binary), 256) payload_digest", "cast(octet_length(html) as bigint) payload_bytes")
+    assert "html" not in plan_of(warc.revisits(headers)).split("Exchange", 1)[0]
+    found = warc.revisits(headers)
+    assert found.count() == found.select("record_key").distinct().count() < 800
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert found_rows(spark, tmp_path) == expected(rows)
+    dates = {h["warc-date"] for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(gzip.decompress(f.read_bytes()))}
+    assert len(dates) == 1 and dates.pop() > "2024-01-01T00:00:00Z"
+
+
+def found_rows(spark, tmp_path):
+    return found(warc.read_archives(spark, str(tmp_path / "w")))
