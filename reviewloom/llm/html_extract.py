@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ TREES, DEPTH = 20, 4
 
 # Fixed values of HTML: elements without content, without text to show, and of block level.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt"
     " fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend"
@@ -91,9 +92,39 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int]] = [("html", 0)]
+        #: Depths of the open elements of each tag, and of those of block level.
+        self.depths: dict[str, list[int]] = {}
+        self.block_depths: list[int] = [0]
         self.hidden = ""
+        self.nested = 0
         self.text: list[str] = []
         self.linked = self.links = 0
+        self.at = 0
+        self.last_end: dict[str, int] = {}
+
+    def parse_starttag(self, i):
+        self.at = i
+        return super().parse_starttag(i)
+
+    def parse_marked_section(self, i, report=1):
+        """Marked sections that are no CDATA end at the next bracket, as comments do in browsers."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def _ends_later(self, tag: str) -> bool:
+        """Whether the page has an end tag of this kind behind the start tag that is read."""
+        if tag not in self.last_end:
+            found = [m.start() for m in re.finditer(f"(?i)</{tag}", self.rawdata)]
+            self.last_end[tag] = found[-1] if found else -1
+        return self.last_end[tag] > self.at
+
+    def _push(self, tag: str, node: int) -> None:
+        self.depths.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.block_depths.append(len(self.open))
+        self.open.append((tag, node))
 
     def _border(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -102,35 +133,38 @@ class _Builder(HTMLParser):
         self.text, self.linked = [], 0
 
     def _pop(self, depth: int) -> None:
-        if any(tag in BLOCK for tag, _ in self.open[depth:]):
+        if self.block_depths[-1] >= depth:
             self._border()
-        self.links -= sum(tag == "a" for tag, _ in self.open[depth:])
+        for tag, _ in reversed(self.open[depth:]):
+            self.depths[tag].pop()
+            self.links -= tag == "a"
+            if tag in BLOCK:
+                self.block_depths.pop()
         del self.open[depth:]
 
     def _close(self, kinds, borders) -> None:
         """End the outermost open element of ``kinds`` inside the nearest of ``borders``."""
-        found = None
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.open[depth][0]
-            if tag in kinds:
-                found = depth
-            elif tag in borders:
-                break
-        if found is not None:
-            self._pop(found)
+        mine = [self.depths[tag] for tag in kinds if self.depths.get(tag)]
+        if not mine:
+            return
+        border = max((self.depths[tag][-1] for tag in borders if self.depths.get(tag)), default=0)
+        found = [x[bisect_right(x, border)] for x in mine if x[-1] > border]
+        if found:
+            self._pop(min(found))
 
     def handle_starttag(self, tag, attrs):
         if self.hidden:
+            self.nested += tag == self.hidden
             return
         if tag in HIDDEN:
-            if tag != "head":
-                self.hidden = tag
+            if tag != "head" and (tag in ("script", "style") or self._ends_later(tag)):
+                self.hidden, self.nested = tag, 1
             return
         if tag == "br" or tag not in BLOCK and tag in VOID:
             self.text.append(" " if tag == "br" else "")
             return
         if tag not in BLOCK:
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             self.links += tag == "a"
             return
         if tag in ("html", "body"):
@@ -149,27 +183,26 @@ class _Builder(HTMLParser):
         page.tokens.append(frozenset(words))
         page.parents.append(self.open[-1][1])
         page.marks.append(values.get(_MARK))
-        self.open.append((tag, len(page.tags) - 1))
+        self._push(tag, len(page.tags) - 1)
 
     def handle_startendtag(self, tag, attrs):
+        if tag in HIDDEN:  # nothing is inside
+            return
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.hidden:
-            if tag == self.hidden:
+            self.nested -= tag == self.hidden
+            if not self.nested:
                 self.hidden = ""
             return
         if tag == "p":  # a stray end makes an empty paragraph
             self._border()
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.open[depth][0]
-            if name == tag:
-                self._pop(depth)
-                return
-            if tag not in BLOCK and name in BLOCK:
-                return
+        places = self.depths.get(tag)
+        if places and (tag in BLOCK or places[-1] > self.block_depths[-1]):
+            self._pop(places[-1])
 
     def handle_data(self, data):
         if self.hidden:

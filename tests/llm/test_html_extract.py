@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -126,3 +127,35 @@ def test_odd_rows(spark, trees):
     assert by_id[None].text == "Some text here." and by_id[4].n_chars == 5 * 300_000 - 1
     assert he.extract(spark.createDataFrame([], PAGES), None).collect() == []
     assert he.fit(spark.createDataFrame([(None,), ("<p>x</p>",)], "html STRING")) is None
+
+
+def shown(html):
+    return [text for _, text, _ in he.parse(html).runs]
+
+
+def test_marked_sections_and_hidden_elements():
+    assert shown("<p>a</p><![foo]>b") == ["a", "b"]
+    assert shown("<![ foo [x]]><p>a") == ["]>a"] or shown("<![ foo [x]]><p>a")[-1] == "a"
+    assert shown("<p>a<![&nbsp;>b") == ["ab"]
+    assert shown("<p>a <math><mi>x</mi></math> b <object>c</object></p>") == ["a x b c"]
+    assert shown("<p>a<iframe src='u'><p>b</p>") == ["a", "b"]
+    assert shown("<p>a<iframe>hidden</iframe>b</p>") == ["ab"]
+    assert shown("<p>a<svg><svg>t</svg>leak</svg>b</p>") == ["ab"]
+    assert shown("<p>a<svg/>b</p>") == ["ab"]
+
+
+def test_made_pages_do_not_crash():
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<![", "<!", "<!--", "-->", "]]>", "<![CDATA[", "<![if x]>", "<?", ">", "<", "</", "<b>",
+             "</div>", "<div class='ad'>", "<svg>", "</svg>", "<iframe>", "<script>", "</script>", "&nbsp;", "&#x110000;",
+             "&amp", "text ", "'", '"', "=", "<a href=x>", "</a>", "<li>", "<td>", "<table>", "<title>", "\x00", "é", "<textarea>"]
+    for _ in range(20_000):
+        page = he.parse("".join(rng.choices(parts, k=rng.randrange(1, 25))))
+        assert len(page.tags) == len(page.parents) == len(page.tokens)
+
+
+@pytest.mark.parametrize("part", ["<b>x", "<p>x", "<i>x</p>", "<div><b>x</i>", "<li>x", "<iframe>x", "<td>x</b>"])
+def test_parsing_is_linear(part):
+    begin = time.perf_counter()
+    he.parse(part * 100_000)
+    assert time.perf_counter() - begin < 20
