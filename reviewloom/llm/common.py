@@ -28,11 +28,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of Arrow data that ``slices`` hands out at once, unless one row is larger.
+SLICE_BYTES = 1 << 22
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Parts of Arrow batches, so that Python objects exist for a few rows at a time."""
+    """Parts of Arrow batches, so that Python objects exist for a few rows at a time.
+
+    A part has at most ``rows`` rows, and at most ``SLICE_BYTES`` bytes or one row.
+    """
     for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
+        begin = 0
+        while begin < batch.num_rows:
+            part = batch.slice(begin, rows)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            begin += part.num_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,15 +101,23 @@ def _featurize(size: int):
     return run
 
 
+#: Shingles of the sets that verification keeps at hand, beside the two it compares.
+MEMO_SHINGLES = 1 << 17
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, set] = {}
+        held = 0
 
         def of(node, text):
+            nonlocal held
             if node not in memo:
-                if len(memo) >= 64:
+                if held > MEMO_SHINGLES:
                     memo.clear()
+                    held = 0
                 memo[node] = shingles(words_of(text), size)
+                held += len(memo[node])
             return memo[node]
 
         for batch in slices(batches):

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_base, shuffle_partitions, stored
+from .common import running_base, shuffle_partitions, slices, stored
 from .tokens import encoder, tokenize
 
 SCALE_BITS = 20
@@ -148,14 +148,14 @@ _BLOCKS = (
 def _counts(width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids.as_buffer(), width))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+        for batch in slices(batches):
+            ids = [np.frombuffer(x.as_buffer(), width) for x in batch["ids"]]
+            found = np.bincount(np.concatenate(ids))
+            if len(found) > len(total):
+                found[: len(total)] += total
+                total = found
+            else:
+                total[: len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen), "n": pa.array(total[seen])})
 

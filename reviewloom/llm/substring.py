@@ -59,6 +59,17 @@ class Runs:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin] + mixed((end - begin).astype(np.uint64)))
 
 
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value in each stretch of ``width``, in a few arrays of memory."""
+    place, have = np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = place[: len(place) - step], place[step:]
+        place = np.where(values[left] <= values[right], left, right)
+        have += step
+    return place
+
+
 def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """``first window, windows, anchor hash, segment hash`` of each segment of a document."""
     total = len(hashes) - window + 1
@@ -67,8 +78,7 @@ def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     size = min(ANCHOR, window)
     starts = np.arange(len(hashes) - size + 1)
     grams = Runs(hashes, 0)(starts, starts + size)
-    around = np.lib.stride_tricks.sliding_window_view(grams, window - size + 1)
-    anchor = np.arange(total) + around.argmin(axis=1)
+    anchor = least_places(grams, window - size + 1)
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     count = np.diff(np.r_[first, total])
     whole = Runs(hashes, 1)(first, first + count + window - 1)

@@ -139,3 +139,15 @@ def test_whole_run(spark, tmp_path, tokenizer):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "repeated_passages", "mixture"])
+def test_columns_of_any_name_and_type_stay(spark, name):
+    extra = ["_row_uid", "_words", "_again", "again", "copies", "size", "c1", "_hash", "rank"]
+    schema = DOCS + "".join(f", {c} STRING" for c in extra) + ", pairs MAP<STRING, INT>"
+    rows = [(*r, *[f"{c} {i % 9}" for c in extra], {"k": i % 5}) for i, r in enumerate(rows_of(n=60))]
+    found = stage(name)(spark, spark.createDataFrame(rows, schema).repartition(3), None)
+    assert found.columns == [*COLUMNS, *extra, "pairs"]
+    given = {(r[0], r[5:16], r[16]["k"]) for r in rows}
+    kept = found.collect()
+    assert kept and all((r[0], tuple(r)[5:16], r.pairs["k"]) in given for r in kept)

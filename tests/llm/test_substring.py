@@ -100,3 +100,10 @@ def test_query(spark):
     result = [tuple(r) for r in op6_suffix_automata(spark, sf).collect()]
     wanted = [(d, n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in brute(rows, 35)]
     assert sorted(result, key=str) == sorted(wanted, key=str)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 8, 24, 31])
+def test_least_places(width):
+    values = np.random.default_rng(width).integers(0, 9, 200).astype(np.uint64)
+    wanted = [i + int(np.argmin(values[i : i + width])) for i in range(len(values) - width + 1)]
+    assert substring.least_places(values, width).tolist() == wanted
