@@ -19,6 +19,16 @@ from reviewloom.llm.queries import tokenizer_path
 WINDOW = 4096
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Columns as c0, c1, ..., so that a stage's own columns clash with none; and which is which."""
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
+
+
+def _named(rows: DataFrame, at: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(number).alias(name) for name, number in at.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those whose text is null or has no letter.
 
@@ -48,11 +58,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     least = found.filter(~alone).groupBy("label").agg(first).select("first.uid")
     stay = stored(least.union(found.filter(alone).select("uid")).distinct(), "stay")
-    plain = docs.withColumn("_row_uid", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
-    plain = plain.join(stay.withColumnRenamed("uid", "_row_uid"), "_row_uid", "left_semi")
-    words = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    repeated = plain.filter(words).dropDuplicates(["_row_uid"])
-    return repeated.union(plain.filter(~F.coalesce(words, F.lit(False)))).select(*docs.columns)
+    plain, at = _numbered(docs)
+    text = at["text"]
+    plain = plain.withColumn("uid", F.xxhash64(F.col(at["doc_id"]).cast("bigint"), text))
+    plain = plain.join(stay, "uid", "left_semi")
+    words = F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    kept = plain.filter(words).dropDuplicates(["uid"]).union(plain.filter(~words))
+    return _named(kept, at)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,16 +81,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes twice or three times gives as many rows.
     """
-    sized = docs.withColumn("_words", mixing.word_count(F.col("text")))
-    sized = sized.withColumn("_row_uid", F.xxhash64(*docs.columns))
-    sizes = sized.select(F.col("_row_uid").alias("doc_id"), "source", F.col("_words").alias("size"))
-    taken = mixing.mix(sizes).filter("copies > 0").select("doc_id", "copies")
+    plain, at = _numbered(docs)
+    words = mixing.word_count(F.col(at["text"])).alias("size")
+    # Maps have no hash of their own.
+    parts = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in plain.dtypes]
+    sized = plain.withColumn("uid", F.xxhash64(*parts))
+    sizes = sized.select(F.col("uid").alias("doc_id"), F.col(at["source"]).alias("source"), words)
+    taken = mixing.mix(sizes).filter("copies > 0").select(F.col("doc_id").alias("uid"), "copies")
     # Equal rows share a hash; each takes its own share of their copies.
-    taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    one = sized.dropDuplicates(["_row_uid"])
-    both = one.join(taken.withColumnRenamed("doc_id", "_row_uid"), "_row_uid")
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_again")
-    return both.select(*docs.columns, again).drop("_again")
+    taken = taken.groupBy("uid").agg(F.sum("copies").alias("copies"))
+    both = sized.dropDuplicates(["uid"]).join(taken, "uid")
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("again")
+    return _named(both.select(*at.values(), again), at)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
