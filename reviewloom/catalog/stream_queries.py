@@ -63,8 +63,9 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1"""
 
 @query("stream_dedup", ctes("review_events") + _FIRST_EVENTS)
 def stream_dedup(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("id", "seq", "rating", "product_category")
-    return ops.run_first_by_id(rows).select("seq", "id", "rating", "product_category")
+    rows = views.events_as_reviews(table(spark, sf_dir, "events"))
+    first = ops.run_first_numbers(_events(spark, sf_dir).select("id", "seq"), rows=rows)
+    return first.select("seq", "id", "rating", "product_category")
 
 
 @query("stream_dedup_watermark", ctes("review_events") + "SELECT DISTINCT id FROM review_events")

@@ -6,16 +6,22 @@ stateful ones keep bounded or key-partitioned state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.conform import with_id
-from ..operators.dedup import dedup_keep_first
+from ..operators.dedup import dedup_keep_first, fetch_rows, require_columns
+from ..operators.ranking import sample_hash
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
-from ..runtime import cut_lineage, scratch_path
+from ..runtime import cut_lineage, scratch_path, stored_table
 from ..sources.readers import list_names, path_exists, remove_path
 from .sources import run_batches
 
@@ -76,6 +82,38 @@ def run_first_by_id(
     return dedup_keep_first(spark.read.schema(updates.schema).parquet(path), key, seq)
 
 
+def first_numbers(stream: DataFrame, seq: str = "seq", key: str = "id") -> DataFrame:
+    """Running first arrival number per id: exact, and the state of an id is that number alone."""
+    return stream.groupBy(key).agg(F.min(seq).alias(seq))
+
+
+def run_first_numbers(
+    stream: DataFrame,
+    seq: str = "seq",
+    key: str = "id",
+    rows: DataFrame | None = None,
+    path: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Run ``first_numbers`` over what is there now: one row per id, with its first number.
+
+    Late copies with a smaller number win as they would in a batch. With ``rows``, the stored
+    table that the stream reads, the whole rows are fetched by these numbers; they never pass
+    through the state.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "numbers")
+    updates = first_numbers(stream, seq, key)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_batches(updates, write, "update", checkpoint)
+    changes = spark.read.schema(updates.schema).parquet(path)
+    first = changes.groupBy(key).agg(F.min(seq).alias(seq))
+    return first if rows is None else fetch_rows(rows, first, seq)
+
+
 def running_counts(stream: DataFrame, *by: str | Column) -> DataFrame:
     """Rows seen so far per class, category or window."""
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
@@ -133,16 +171,20 @@ def run_selection(
     table: VersionedTable | None = None,
     checkpoint: str | None = None,
     seconds: float | None = None,
+    below: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Keep ``pick`` of everything seen: each batch picks from the last pick and its new rows.
 
     ``pick`` must be a selection that can be taken in steps, such as a top-k. Each version is
-    a partial result that can be read while the stream runs.
+    a partial result that can be read while the stream runs. ``below(batch, last pick)`` may drop
+    rows that cannot be picked any more.
     """
     table = table or VersionedTable(stream.sparkSession)
 
     def step(batch: DataFrame, number: int) -> None:
         before = table.read(number - 1) if number else None
+        if before is not None:
+            batch = below(batch, before) if below else batch
         rows = batch if before is None else before.unionByName(batch)
         table.write(pick(rows), number)
 
@@ -150,16 +192,127 @@ def run_selection(
     return table.latest()
 
 
-def run_top_k_per_class(
-    scored: DataFrame, quotas: Sequence[int], score: str = "uncertainty", seq: str = "seq", **run
+#: Parts of a class whose heaps are kept apart, so that one class is not one task.
+SALTS = 8
+
+
+def bounded_heaps(
+    scored: DataFrame,
+    quotas: Sequence[int],
+    score: str = "uncertainty",
+    by: str = "pred_label",
+    seq: str = "seq",
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Most uncertain rows per predicted class of a scored stream."""
+    """Best rows of each class and salt as keyed state: at most a class's quota in each of them.
 
-    def pick(rows: DataFrame) -> DataFrame:
-        # Ranking reads the rows more than once; they are scored once.
-        return top_k_per_class(cut_lineage(rows), score, quotas, seq=seq)
+    Gives out, after each batch, the whole heap of every key whose heap has changed:
+    ``class, salt, kind, value, seq, row``. ``kind`` and ``value`` are the score (2 is NaN, which
+    is above all, 0 is null), ``row`` holds the other columns as JSON. Rows that are not among
+    the best of a full heap are refused by one comparison with its last row.
+    """
+    require_columns(scored, score, by, seq)
+    if len(quotas) != 3:
+        raise ValueError("quotas need one number for each of the three classes")
+    wanted = [max(int(q), 0) for q in quotas]
+    value = F.col(score).cast("double")
+    others = [c for c in scored.columns if c not in (seq, score)]
+    rows = scored.filter(F.col(by).isin([i for i, q in enumerate(wanted) if q])).select(
+        F.col(by).cast("int").alias("class"),
+        F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int").alias("salt"),
+        F.when(F.isnan(value), 2).when(value.isNotNull(), 1).otherwise(0).alias("kind"),
+        F.when(~F.isnan(value), value).otherwise(0.0).alias("value"),
+        F.col(seq).alias("seq"),
+        F.to_json(F.struct(*others)).alias("row"),
+    )
+
+    def step(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        heap = json.loads(state.get[0]) if state.exists else []
+        quota, before = wanted[key[0]], len(heap)
+        changed = False
+        for frame in frames:
+            if len(heap) >= quota:
+                kind, last = -heap[-1][0], -heap[-1][1]
+                frame = frame[(frame["kind"] > kind) | ((frame["kind"] == kind) & (frame["value"] >= last))]
+            new = zip(-frame["kind"], -frame["value"], frame["seq"], frame["row"])
+            new = [[int(k), float(v), s.item() if isinstance(s, np.generic) else s, r] for k, v, s, r in new]
+            if new:
+                merged = sorted(heap + new, key=lambda r: r[:3])[:quota]
+                changed |= merged != heap
+                heap = merged
+        if changed or len(heap) != before:
+            state.update((json.dumps(heap),))
+            columns = zip(*heap)
+            kinds, values, numbers, texts = (list(x) for x in columns)
+            yield pd.DataFrame(
+                {"class": key[0], "salt": key[1], "kind": [-k for k in kinds],
+                 "value": [-v for v in values], "seq": numbers, "row": texts}
+            )
+
+    return rows.groupBy("class", "salt").applyInPandasWithState(
+        step, rows.schema, "heap string", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+class HeapTable:
+    """What ``bounded_heaps`` gave out, a folder per batch; a batch that runs again replaces its own.
+
+    ``latest`` can be read while the stream runs: the newest heap of each key, or as of a batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or scratch_path(spark, "heaps")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def latest(self, schema: StructType, until: int | None = None) -> DataFrame:
+        typed = StructType([*schema.fields, StructField("batch", schema["kind"].dataType)])
+        rows = self.spark.read.schema(typed).parquet(self.path)
+        rows = rows if until is None else rows.filter(F.col("batch") <= until)
+        newest = F.max("batch").over(Window.partitionBy("class", "salt"))
+        return rows.withColumn("__newest", newest).filter("batch = __newest").drop("batch", "__newest")
+
+
+def heap_rows(heaps: DataFrame, schema: StructType, score: str, seq: str = "seq") -> DataFrame:
+    """Rows of the streamed table (of ``schema``) from heaps."""
+    others = StructType([f for f in schema.fields if f.name not in (seq, score)])
+    value = F.when(F.col("kind") == 2, F.lit(float("nan"))).when(F.col("kind") == 1, F.col("value"))
+    rows = heaps.select("seq", value.alias("__score"), F.from_json("row", others).alias("row"))
+    return rows.select(
+        *[
+            F.col("seq").alias(f.name) if f.name == seq
+            else F.col("__score").cast(f.dataType).alias(f.name) if f.name == score
+            else F.col(f"row.{f.name}")
+            for f in schema.fields
+        ]
+    )
 
-    return run_selection(scored, pick, **run)
+
+def run_top_k_per_class(
+    scored: DataFrame,
+    quotas: Sequence[int],
+    score: str = "uncertainty",
+    seq: str = "seq",
+    by: str = "pred_label",
+    salts: int = SALTS,
+    table: HeapTable | None = None,
+    checkpoint: str | None = None,
+    seconds: float | None = None,
+) -> DataFrame:
+    """Most uncertain rows per predicted class of a scored stream.
+
+    A first stage keeps heaps per class and salt in the state store (``bounded_heaps``), a second
+    one merges their newest versions: at most quota times salts rows of each class.
+    """
+    table = table or HeapTable(scored.sparkSession)
+    heaps = bounded_heaps(scored, quotas, score, by, seq, salts)
+    run_batches(heaps, table.write, "update", checkpoint, seconds)
+    rows = heap_rows(table.latest(heaps.schema), scored.schema, score, seq)
+    return top_k_per_class(rows, score, quotas, by, seq)
 
 
 def run_sample_per_class(
@@ -172,13 +325,23 @@ def run_sample_per_class(
 ) -> DataFrame:
     """Uniform sample of at most ``k`` rows per class of a stream.
 
-    The rows with the lowest seeded hashes, hence the same rows as the batch sample.
+    The rows with the lowest seeded hashes, hence the same rows as the batch sample, in any order
+    of arrival. The sample is the state; once a class is full its highest hash is a threshold
+    that falls as rows arrive, and new rows above it go no further than the task that reads them.
     """
 
     def pick(rows: DataFrame) -> DataFrame:
         return sample_per_key(cut_lineage(rows), by, k, seed, key, rank="__rank").drop("__rank")
 
-    return run_selection(stream, pick, **run)
+    def below(batch: DataFrame, before: DataFrame) -> DataFrame:
+        full = before.withColumn("__hash", sample_hash(seed, *key)).groupBy(F.col(by).alias("__class"))
+        full = full.agg(F.count(F.lit(1)).alias("__rows"), F.max("__hash").alias("__most"))
+        full = stored_table(full.filter(F.col("__rows") >= k).drop("__rows"))
+        marked = batch.join(full, batch[by].eqNullSafe(full["__class"]), "left")
+        low = F.col("__most").isNull() | (sample_hash(seed, *key) <= F.col("__most"))
+        return marked.filter(low).select(*[batch[c] for c in batch.columns])
+
+    return run_selection(stream, pick, below=below, **run)
 
 
 def seen_ids(stream: DataFrame) -> DataFrame:

@@ -102,12 +102,9 @@ def scored(df):
 
 def test_top_k_equals_batch(spark, files, stream):
     quotas = [7, 0, 30]
-    table = ops.VersionedTable(spark)
-    got = ops.run_top_k_per_class(scored(stream), quotas, table=table).collect()
+    got = ops.run_top_k_per_class(scored(stream), quotas).collect()
     batch = selection.top_k_per_class(scored(spark.read.parquet(files[1])), "uncertainty", quotas)
     assert {r.seq for r in got} == {r.seq for r in batch.collect()}
-    assert table.read(4).count() <= 37 and table.read(5) is not None and table.read(6) is None
-    assert table.read(0) is None  # only the last two versions stay
 
 
 def test_large_quotas_equal_batch(spark, files, stream):
@@ -122,9 +119,12 @@ def test_sample_equals_batch(spark, files, stream):
     def rows(df):
         return df.select("seq", stable_id().alias("id"), label_from_rating().alias("label"))
 
-    got = ops.run_sample_per_class(rows(stream), 20, 5).collect()
+    table = ops.VersionedTable(spark)
+    got = ops.run_sample_per_class(rows(stream), 20, 5, table=table).collect()
     batch = sampling.sample_per_key(rows(spark.read.parquet(files[1])), "label", 20, 5, ("id", "seq"))
     assert {r.seq for r in got} == {r.seq for r in batch.collect()} and len(got) == 60
+    assert table.read(4).count() <= 60 and table.read(5) is not None and table.read(6) is None
+    assert table.read(0) is None  # only the last two versions stay
 
 
 def test_repeated_batch_gives_the_same_version(spark, files):
@@ -162,3 +162,77 @@ def test_category_stream(spark, tmp_path):
 def test_seen_sink(spark, files, stream):
     got = run_append(ops.seen_ids(stream))
     assert {r.id for r in got.collect()} == {py_id(r[1], r[4]) for r in files[0]}
+
+
+def scored_files(spark, folder, files=6, n=3000, seed=4):
+    """Scores with ties, NaN and nulls, dealt to files in no order; a third has one class."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(n):
+        score = rng.choice([0.5, rng.random(), -rng.random(), float("nan") if seq % 97 == 0 else 1.5, None])
+        rows.append((seq, f"id{seq % 50}", rng.choice([0, 0, 1, 2, None]), score, "t" * (seq % 7) or None))
+    rng.shuffle(rows)
+    schema = "seq BIGINT, id STRING, pred_label INT, uncertainty DOUBLE, note STRING"
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.createDataFrame(rows, schema), schema
+
+
+@pytest.mark.parametrize("quotas", [[20, 30, 10], [0, 1, 2000]])
+def test_heaps_give_the_batch_answer_with_bounded_state(spark, tmp_path, quotas):
+    batch, schema = scored_files(spark, str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    table = ops.HeapTable(spark, str(tmp_path / "heaps"))
+    found = ops.run_top_k_per_class(stream, quotas, table=table, salts=4)
+    key = lambda r: (r.seq, r.id, r.pred_label, str(r.uncertainty), r.note)
+    wanted = selection.top_k_per_class(batch, "uncertainty", quotas)
+    assert sorted(map(key, found.collect()), key=str) == sorted(map(key, wanted.collect()), key=str)
+    heaps = table.latest(ops.bounded_heaps(stream, quotas).schema)
+    sizes = {(r["class"], r.salt): r["count"] for r in heaps.groupBy("class", "salt").count().collect()}
+    assert len(sizes) <= 4 * sum(q > 0 for q in quotas)
+    assert all(n <= quotas[c] for (c, _), n in sizes.items())
+
+
+def test_partial_heaps_can_be_read_while_the_stream_goes_on(spark, tmp_path):
+    _, schema = scored_files(spark, str(tmp_path / "in"))
+    table = ops.HeapTable(spark, str(tmp_path / "heaps"))
+    stream = file_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    ops.run_top_k_per_class(stream, [5, 5, 5], table=table)
+    shape = ops.bounded_heaps(stream, [5, 5, 5]).schema
+    counts = [table.latest(shape, until=n).count() for n in range(6)]
+    assert 0 < counts[0] <= counts[-1] and counts == sorted(counts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_sample_is_the_batch_sample_in_any_order(spark, tmp_path, seed):
+    batch, schema = scored_files(spark, str(tmp_path / "in"), seed=seed)
+    stream = file_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    seen = []
+    before, ops.cut_lineage = ops.cut_lineage, lambda df: seen.append(before(df)) or seen[-1]
+    try:
+        found = ops.run_sample_per_class(stream, 40, 9, by="pred_label")
+    finally:
+        ops.cut_lineage = before
+    wanted = sampling.sample_per_key(batch, "pred_label", 40, 9, ("id", "seq"))
+    assert {r.seq for r in found.collect()} == {r.seq for r in wanted.collect()}
+    arrived = [df.count() for df in seen]  # 500 new rows a batch, and at most 160 kept ones
+    assert arrived[0] == 500 and max(arrived[3:]) < 160 + 150
+
+
+def test_dedup_state_holds_numbers_only(spark, tmp_path):
+    """The same state for short and for long texts; late copies with smaller numbers win."""
+    used = {}
+    for length in (1, 4000):
+        folder = str(tmp_path / f"in{length}")
+        rows = [(seq, f"id{seq % 40}", "x" * length) for seq in range(2000)]
+        for part in (rows[1000:], rows[:1000]):
+            spark.createDataFrame(part, "seq BIGINT, id STRING, text STRING").coalesce(1).write.mode("append").parquet(folder)
+        stream = file_stream(spark, folder, "seq BIGINT, id STRING, text STRING", max_files=1)
+        found = ops.run_first_numbers(stream, rows=spark.read.parquet(folder)).collect()
+        assert {(r.seq, r.id, len(r.text)) for r in found} == {(i, f"id{i}", length) for i in range(40)}
+        query = (ops.first_numbers(stream).writeStream.outputMode("update").format("noop")
+                 .option("checkpointLocation", str(tmp_path / f"c{length}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        used[length] = query.lastProgress["stateOperators"][0]
+    assert used[1]["numRowsTotal"] == used[4000]["numRowsTotal"] == 40
+    assert abs(used[1]["memoryUsedBytes"] - used[4000]["memoryUsedBytes"]) < 40 * 100
