@@ -18,11 +18,24 @@ from ..runtime import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, unless the session sets it: texts may be long, and several batches of
+#: each Python worker are in memory at once.
+BATCH_ROWS = 512
+_BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in small batches; a size set by the user stays."""
+    if spark.conf.get(_BATCH_OPTION, None) is None:
+        spark.conf.set(_BATCH_OPTION, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and go on from the written table.
 
     The table cuts the lineage: a lost executor costs the tasks it ran, not the steps before.
     """
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 
 #: Labelled texts that the classifier is fitted on, over all languages, and landmarks of them.
 FIT_ROWS = 4096
@@ -204,6 +204,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     names is replaced.
     """
     added = ("lang_pred", "score", "has_letters")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
