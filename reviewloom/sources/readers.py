@@ -16,6 +16,7 @@ from ..operators.conform import conform_schema
 from ..operators.filters import union_id_sets
 from ..runtime import compute_once, stored_table
 from ..schema import POOL_SCHEMA, TODO_SCHEMA
+from .csv_records import read_csv_records
 
 #: Fields taken from a JSON line unless the caller names others.
 LINE_FIELDS = {
@@ -166,7 +167,11 @@ def read_shards(
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header and a ``text`` column; a NULL text becomes empty."""
     _require_paths(spark, path)
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return _text_csv(spark, path, places=False)
+
+
+def _text_csv(spark: SparkSession, path: str, places: bool) -> DataFrame:
+    df = read_csv_records(spark, path, places=places)
     if "text" not in df.columns:
         raise ValueError(f"{path} has no column named text")
     return df.withColumn("text", or_empty("text"))
@@ -175,20 +180,16 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
 def numbered_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """``row, text``: the texts of a CSV file, or of a folder's files by name, numbered from 0.
 
-    A file whose fields may hold line breaks is read by one task, so its rows are in order.
+    A record's number is its number in its split plus the records of all splits before.
     """
-    rows = read_text_csv(spark, path).select(
-        "text",
-        F.col("_metadata.file_path").alias("__file"),
-        F.monotonically_increasing_id().alias("__at"),
-    )
-    files = rows.groupBy("__file").agg(
-        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows")
-    )
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    base = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
-    files = stored_table(files.select("__file", base.alias("__base")))
-    return rows.join(files, "__file").select((F.col("__at") + F.col("__base")).alias("row"), "text")
+    _require_paths(spark, path)
+    place = ["__file", "__block"]
+    rows = _text_csv(spark, path, places=True).select(*place, "__nth", "text")
+    splits = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    base = F.coalesce(F.sum("__rows").over(before), F.lit(0))
+    splits = stored_table(splits.select(*place, base.alias("__base")))
+    return rows.join(splits, place).select((F.col("__nth") + F.col("__base")).alias("row"), "text")
 
 
 def reviews_from_rows(
@@ -270,7 +271,7 @@ def read_text_lines_mixed(spark: SparkSession, paths: str | Sequence[str]) -> Da
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """Pool table written by this library."""
     _require_paths(spark, path)
-    return spark.read.schema(POOL_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
+    return read_csv_records(spark, path, POOL_SCHEMA)
 
 
 def unnest_requests(requests: DataFrame, body: str = "body") -> DataFrame:
