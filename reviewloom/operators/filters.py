@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_words
 from .dedup import fetch_rows, lookup_table, require_columns
+from .id_filter import anti_join_filtered
 from .ranking import sample_hash, top_ranked
 
 
@@ -24,21 +25,30 @@ def category_filter(
     return df.filter(F.col(column).isin(list(categories))) if categories else df
 
 
-def drop_blocked(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+def drop_blocked(
+    df: DataFrame, ids: DataFrame, key: str = "id", by_filter: bool = False
+) -> DataFrame:
     """Rows whose id is not in ``ids``. Works on batch tables and on streams.
 
     No broadcast is forced: a seen set can outgrow memory, and the optimizer broadcasts it
-    by itself while it is small.
+    by itself while it is small. With ``by_filter`` (batch tables, for longer lists) a Bloom
+    filter of bounded size passes most rows before the shuffle; see ``anti_join_filtered``.
     """
     require_columns(df, key)
+    if by_filter:
+        return anti_join_filtered(df, ids, key)
     blocked = ids.select(F.col(ids.columns[0]).alias(key))
     return df.join(lookup_table(blocked, key), key, "left_anti")
 
 
-def drop_labelled(df: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:
+def drop_labelled(
+    df: DataFrame, gold: DataFrame, key: str = "id", by_filter: bool = False
+) -> DataFrame:
     """Rows that still need a label: a usable id that the labelled table does not have."""
     require_columns(df, key)
     usable = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    if by_filter:
+        return anti_join_filtered(usable, gold.select(key), key)
     return usable.join(lookup_table(gold.select(key), key), key, "left_anti")
 
 
