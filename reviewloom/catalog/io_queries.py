@@ -63,6 +63,19 @@ def scan_csv(spark, sf_dir):
     return readers.read_text_csv(spark, path).select(F.col("seq").cast("bigint"), "text")
 
 
+@query(
+    "inline_rows",
+    "SELECT CAST(n_nationkey AS BIGINT) AS seq, n_name AS text, CAST(1 + n_nationkey % 5 AS DOUBLE) AS rating,"
+    " CAST(n_regionkey AS VARCHAR) AS asin FROM nation",
+)
+def inline_rows(spark, sf_dir):
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    rows = [
+        {"text": n.n_name, "rating": 1 + n.n_nationkey % 5, "asin": n.n_regionkey} for n in nations
+    ]
+    return readers.reviews_from_rows(spark, rows).select("seq", "text", "rating", "asin")
+
+
 @query(
     "scan_manifest",
     ctes("reviews")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, filters, leakage, metrics, sampling, validate
+from ..operators import dedup, filters, leakage, metrics, sampling, sketches, validate
 from ..runtime import stored_table
 from ..sources.writers import snapshot_rows
 from . import views
@@ -26,6 +26,17 @@ def drop_blocked(spark, sf_dir):
     return filters.drop_blocked(rows, views.toxic_ids(spark, sf_dir))
 
 
+@query(
+    "drop_blocked_filter",
+    ctes("toxic_ids")
+    + "SELECT seq, id FROM reviews WHERE id NOT IN (SELECT id FROM toxic_ids)",
+)
+def drop_blocked_filter(spark, sf_dir):
+    rows = stored_table(reviews(spark, sf_dir).select("seq", "id"))
+    blocked = stored_table(views.toxic_ids(spark, sf_dir))
+    return filters.drop_blocked(rows, blocked, by_filter=True)
+
+
 @query(
     "drop_labelled",
     ctes("eval_side")
@@ -261,6 +272,31 @@ def leakage_report(spark, sf_dir):
     return leakage.leakage_report(views.train_side(spark, sf_dir), views.eval_side(spark, sf_dir))
 
 
+@query(
+    "leakage_sketches",
+    ctes("train_side", "eval_side")
+    + """SELECT (SELECT count(DISTINCT id) FROM train_side) AS train_unique,
+       (SELECT count(DISTINCT id) FROM eval_side) AS eval_rows,
+       (SELECT count(DISTINCT id) FROM train_side WHERE id IN (SELECT id FROM eval_side)) AS shared""",
+)
+def leakage_sketches(spark, sf_dir):
+    """Exact at these sizes, since a sketch holds 65,536 ids."""
+    sides = [views.train_side(spark, sf_dir), views.eval_side(spark, sf_dir)]
+    shards = [stored_table(sketches.id_sketches(rows, "product_category")) for rows in sides]
+    return sketches.approx_leakage_report(*shards)
+
+
+@query(
+    "distinct_sketches",
+    ctes("reviews")
+    + "SELECT product_category, count(DISTINCT id) AS ids FROM reviews GROUP BY ALL",
+)
+def distinct_sketches(spark, sf_dir):
+    fine = sketches.id_sketches(reviews(spark, sf_dir), "product_category", "asin")
+    merged = sketches.merge_sketches(stored_table(fine), "product_category")
+    return merged.select("product_category", sketches.distinct_estimate().alias("ids"))
+
+
 @query(
     "leakage_ids",
     ctes("train_side", "eval_side")

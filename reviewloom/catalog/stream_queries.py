@@ -98,6 +98,47 @@ def stream_day_counts(spark, sf_dir):
     )
 
 
+def _in_order(spark, rows, batch):
+    """A stream whose micro-batches are the values of ``batch``, one after the other."""
+    path = scratch_path(spark, "ordered")
+    for number in range(BATCHES):
+        part = rows.withColumn("__batch", batch).filter(F.col("__batch") == number)
+        part.drop("__batch").coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, rows.schema, max_files=1)
+
+
+#: A row may come this many days late and still count.
+DELAY_DAYS = 6
+_LATE_BATCH = """CASE WHEN {id} % 97 = 5 THEN 5
+ ELSE least(5, CAST(floor((day(ts) - 1) / 5) AS INT) + CASE WHEN {id} % 10 = 3 THEN 1 ELSE 0 END) END"""
+
+
+@query(
+    "stream_daily_counts",
+    f"""WITH dealt AS (
+  SELECT ts, event_type, {_LATE_BATCH.format(id="event_id")} AS batch,
+         date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM events),
+marks AS (
+  SELECT b.batch, (SELECT max(d.ts) FROM dealt d WHERE d.batch <= b.batch - 2)
+         - INTERVAL {DELAY_DAYS} DAY AS mark
+  FROM (SELECT DISTINCT batch FROM dealt) b)
+SELECT epoch_us(ends) - 86400000000 AS day_us, event_type AS product_category, count(*) AS rows
+FROM dealt JOIN marks USING (batch)
+WHERE (mark IS NULL OR ends > mark)
+  AND ends <= (SELECT max(ts) FROM dealt) - INTERVAL {DELAY_DAYS} DAY
+GROUP BY ALL""",
+)
+def stream_daily_counts(spark, sf_dir):
+    """Days behind the watermark, each given out once; rows that come after their day are dropped.
+
+    A batch drops by the watermark that the batch before it ran with, two batches back.
+    """
+    rows = views.events_as_reviews(table(spark, sf_dir, "events"))
+    stream = _in_order(spark, rows, F.expr(_LATE_BATCH.format(id="seq")))
+    days = run_append(ops.daily_counts(stream, "ts", f"{DELAY_DAYS} days", "product_category"))
+    return days.select(F.unix_micros("day.start").alias("day_us"), "product_category", "rows")
+
+
 _SCORED = ctes("reviews")[:-1] + ",\n" + sql_letter_scores("reviews")
 
 
@@ -129,6 +170,38 @@ def stream_topk(spark, sf_dir):
     return picked.withColumn("uncertainty", F.round("uncertainty", 6))
 
 
+@query(
+    "stream_topk_partial",
+    _SCORED
+    + """
+SELECT seq, id, pred_label, round(uncertainty, 6) AS uncertainty FROM letter_scored
+WHERE seq % 6 <= 2
+QUALIFY row_number() OVER (PARTITION BY pred_label ORDER BY uncertainty DESC, seq)
+        <= [20, 30, 10][pred_label + 1]""",
+)
+def stream_topk_partial(spark, sf_dir):
+    """What a reader sees after the third of six batches; the stream goes on to its end."""
+    rows = _in_order(spark, table(spark, sf_dir, "documents"), F.col("doc_id") % BATCHES)
+    rows = views.documents_as_reviews(rows).withColumn("id", stable_id())
+    scored = selection.candidate_rows(scoring.expression_scorer(views.letter_logits)(rows))
+    scored = scored.select("seq", "id", "pred_label", "uncertainty")
+    heaps = ops.HeapTable(spark)
+    ops.run_top_k_per_class(scored, [20, 30, 10], table=heaps)
+    kept = heaps.latest(ops.bounded_heaps(scored, [20, 30, 10]).schema, until=2)
+    kept = ops.heap_rows(kept, scored.schema, "uncertainty")
+    picked = selection.top_k_per_class(kept, "uncertainty", [20, 30, 10], "pred_label", "seq")
+    return picked.withColumn("uncertainty", F.round("uncertainty", 6))
+
+
+@query("stream_stop", ctes("reviews") + "SELECT seq, id FROM reviews")
+def stream_stop(spark, sf_dir):
+    """A stream stopped by its time limit goes on where it was, without loss or copies."""
+    rows = _documents(spark, sf_dir).select("seq", stable_id().alias("id"))
+    out, progress = scratch_path(spark, "table"), scratch_path(spark, "progress")
+    run_append(rows, out, progress, seconds=1)
+    return run_append(rows, out, progress)
+
+
 @query(
     "stream_sample",
     ctes("reviews")[:-1]
