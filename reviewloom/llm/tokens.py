@@ -24,7 +24,7 @@ _OTHER = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]|<\|")
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = dict(zip([x for x in range(256) if x not in _VISIBLE], range(256, 512)))
 #: Most pieces that a worker remembers.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 600_000
 
 
 class _Pieces(dict):
