@@ -18,16 +18,21 @@ from ..runtime import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch, unless the session sets it: texts may be long, and several batches of
-#: each Python worker are in memory at once.
+#: Rows and bytes of an Arrow batch, unless the session sets them: texts may be long, and several
+#: batches of each Python worker are in memory at once.
 BATCH_ROWS = 512
-_BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 1 << 22
+_BATCH_OPTIONS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let the session hand texts to Python in small batches; a size set by the user stays."""
-    if spark.conf.get(_BATCH_OPTION, None) is None:
-        spark.conf.set(_BATCH_OPTION, str(BATCH_ROWS))
+    """Let the session hand texts to Python in small batches; sizes set by the user stay."""
+    for option, size in _BATCH_OPTIONS.items():
+        if spark.conf.get(option, None) is None:
+            spark.conf.set(option, str(size))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
