@@ -10,7 +10,8 @@ from ..operators.conform import fill_defaults
 from ..operators.filters import drop_blocked
 from ..streaming import operators as ops
 from ..runtime import scratch_path
-from ..streaming.sources import category_stream, file_stream, run_append
+from ..sources.append_log import AppendLog, append_batches
+from ..streaming.sources import category_stream, file_stream, run_append, run_batches
 from . import views
 from .registry import query
 from .views import SEED, ctes, sql_letter_scores, sql_stars, table
@@ -223,6 +224,20 @@ def stream_seen(spark, sf_dir):
     return run_append(ops.seen_ids(_documents(spark, sf_dir)))
 
 
+@query("stream_append_log", ctes("reviews") + "SELECT id FROM reviews")
+def stream_append_log(spark, sf_dir):
+    ids = ops.seen_ids(_documents(spark, sf_dir))
+    log = AppendLog(spark, scratch_path(spark, "seen"))
+    step = append_batches(log, "seen")
+
+    def twice(batch, number):  # as after a failure between the append and the end of the batch
+        step(batch, number)
+        step(batch, number)
+
+    run_batches(ids, twice)
+    return log.read(ids.schema)
+
+
 @query(
     "stream_categories",
     "SELECT event_id AS seq, event_type AS product_category,"

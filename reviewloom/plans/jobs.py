@@ -18,6 +18,7 @@ from ..operators.filters import drop_blocked, drop_labelled, min_words, union_id
 from ..runtime import cut_lineage, stored_table
 from ..schema import GOLD_SCHEMA, REVIEW_COLUMNS
 from ..sources import readers, writers
+from ..sources.append_log import AppendLog
 
 #: Lines that a shard can have; an arrival number is the shard's position times this, and the line.
 LINES_PER_SHARD = 1 << 40
@@ -300,6 +301,21 @@ def ingest_labels(
     return gold, selection.quarantine_labels(labelled)
 
 
+def ingest_label_batch(
+    labelled: DataFrame, log: AppendLog, batch: str, chunk_rows: int = 0, seq: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``ingest_labels`` into a table that grows by whole batches.
+
+    A failed job leaves the table as it was, and a ``batch`` that runs again adds nothing.
+    """
+    records = gold_records(labelled, keep=(seq,) if seq else ())
+    records = drop_labelled(records, log.read(GOLD_SCHEMA).select("id"))
+    records = records.filter((F.col("id") != "") & F.col("label").isNotNull())
+    one = dedup_keep_first(records, "id", seq or "label")
+    log.append(one.drop(*([seq] if seq else [])), batch, chunk_rows)
+    return log.read(GOLD_SCHEMA), selection.quarantine_labels(labelled)
+
+
 def human_gold(labelled: DataFrame) -> DataFrame:
     """Text, asin and class of readable human labels."""
     clean = labelled.withColumn("label", normalize_human_label("label"))
