@@ -26,6 +26,7 @@ from ..functions.probs import (
     instance_weight,
 )
 from ..functions.text import WHITESPACE, or_empty
+from ..runtime import stored_table
 from .conform import ensure_label
 from .metrics import class_weight_list, evaluate
 
@@ -206,16 +207,17 @@ def best_of(
 ) -> tuple[PipelineModel, dict, float]:
     """Fit one model per set of ``reg_param`` and ``max_iter``; keep the best macro-F1 on ``dev``.
 
-    The features are fitted and computed once for the whole grid.
+    The features are fitted once for the whole grid, and stored, so they outlive executors.
     """
     if not grid:
         raise ValueError("the parameter grid is empty")
     prepared = _training_rows(train, sample_weight, class_weights)
     features = Pipeline(stages=text_features(num_features, max_tokens)).fit(prepared)
-    fit_rows = features.transform(prepared).select("features", "label", "weight").persist()
+    fit_rows = stored_table(features.transform(prepared).select("features", "label", "weight"))
     dev_rows = features.transform(
         ensure_label(dev).select(or_empty("text").alias("text"), "label")
-    ).select("features", "label").persist()
+    )
+    dev_rows = stored_table(dev_rows.select("features", "label"))
     best = None
     for options in grid:
         fitted = _classifier(**{"reg_param": 0.01, "max_iter": 50, **options}).fit(fit_rows)
@@ -226,6 +228,4 @@ def best_of(
         f1 = evaluate(scored).first().f1_macro
         if best is None or f1 > best[2]:
             best = (PipelineModel([*features.stages, fitted]), options, f1)
-    fit_rows.unpersist()
-    dev_rows.unpersist()
     return best
