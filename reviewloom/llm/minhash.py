@@ -212,7 +212,7 @@ class _Linker:
         """Renew the components with more links ``u, v``."""
         if self.labels is not None:  # what is connected already, as stars
             links = links.union(self.labels.select("node", "component"))
-        self.labels = stored(connected_components(stored(links, "links")), "components")
+        self.labels = stored(connected_components(links), "components")
 
     def compare(self, pairs: DataFrame) -> None:
         """Compare pairs ``u, v`` on full sets and add those that are links."""

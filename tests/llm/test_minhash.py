@@ -59,6 +59,26 @@ def test_components(spark, edges):
     assert rows == {x: roots[x] for e in proper for x in e}
 
 
+@pytest.mark.parametrize("task_edges", [3, 50])
+def test_components_of_more_edges_than_one_task_unites(spark, monkeypatch, task_edges):
+    from reviewloom.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_EDGES", task_edges)
+    rng = random.Random(task_edges)
+    edges = [(i, i + 1) for i in range(70)] + [(100, i) for i in range(101, 140)]
+    edges += [(rng.randrange(150, 300), rng.randrange(150, 300)) for _ in range(90)] + [(7, 7), (None, 3)]
+    rows = connected_components(spark.createDataFrame(edges, "u BIGINT, v BIGINT").repartition(5)).collect()
+    proper = [(a, b) for a, b in edges if a is not None and a != b]
+    roots = components(300, proper)
+    assert sorted(map(tuple, rows)) == sorted((x, roots[x]) for x in {x for e in proper for x in e})
+
+
+def test_few_edges_are_united_without_a_shuffle(spark, plan_of):
+    edges = [(i, i + 1) for i in range(60)] + [(5, 5), (None, 2)]
+    plan = plan_of(connected_components(spark.createDataFrame(edges, "u BIGINT, v BIGINT").repartition(7)))
+    assert "Exchange" not in plan
+
+
 def edited(rng, words, share):
     return [rng.choice(VOCABULARY) if rng.random() < share else w for w in words]
 
