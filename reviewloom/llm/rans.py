@@ -259,6 +259,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     }
                 )
 
-    return blocks.join(base, "shard").mapInArrow(
+    # One row per shard: broadcast, since a shuffled join would write all payloads once more.
+    return blocks.join(F.broadcast(base), "shard").mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     )

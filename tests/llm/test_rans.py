@@ -95,3 +95,13 @@ def test_query(spark, tokenizer):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
     found = op1_rans_token_ids(spark, sf).orderBy("start").collect()
     assert [tuple(r) for r in found] == expected([tuple(r) for r in docs], tokenizer, 1)
+
+
+def test_payloads_are_read_without_a_shuffle(spark, tmp_path, tokenizer, settings, plan_of):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    rows = [(i, f"some words {i}", None) for i in range(50)]
+    path = str(tmp_path / "archive")
+    rans.write_archive(spark.createDataFrame(rows, DOCS), path, tokenizer, 1)
+    found = rans.read_archive(spark, path)
+    assert "SortMergeJoin" not in plan_of(found)
+    assert sorted(map(tuple, found.select("doc_id").collect())) == [(i,) for i in range(50)]
