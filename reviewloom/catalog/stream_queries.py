@@ -21,12 +21,15 @@ _LABEL = sql_stars("rating")
 
 #: Files that a table is dealt to, in no order of arrival; each is a batch of its own.
 BATCHES = 6
+#: Row groups of these files are small, so that several tasks read the one file of a batch.
+_WRITING = {"parquet.block.size": 4 << 20}
 
 
 def _stream(spark, sf_dir, name):
     rows = table(spark, sf_dir, name)
     path = scratch_path(spark, name)
-    rows.repartition(BATCHES, F.xxhash64(*rows.columns[:1])).write.parquet(path)
+    dealt = rows.repartition(BATCHES, F.xxhash64(*rows.columns[:1]))
+    dealt.write.options(**_WRITING).parquet(path)
     return file_stream(spark, path, rows.schema, max_files=1)
 
 
@@ -101,10 +104,13 @@ def stream_day_counts(spark, sf_dir):
 
 def _in_order(spark, rows, batch):
     """A stream whose micro-batches are the values of ``batch``, one after the other."""
-    path = scratch_path(spark, "ordered")
+    path, dealt = scratch_path(spark, "ordered"), scratch_path(spark, "dealt")
+    numbered = rows.withColumn("__batch", batch.cast("int"))
+    numbered.write.partitionBy("__batch").parquet(dealt)  # the table is read once, by many tasks
+    numbered = spark.read.schema(numbered.schema).parquet(dealt)
     for number in range(BATCHES):
-        part = rows.withColumn("__batch", batch).filter(F.col("__batch") == number)
-        part.drop("__batch").coalesce(1).write.mode("append").parquet(path)
+        part = numbered.filter(F.col("__batch") == number).drop("__batch").repartition(1)
+        part.write.options(**_WRITING).mode("append").parquet(path)
     return file_stream(spark, path, rows.schema, max_files=1)
 
 

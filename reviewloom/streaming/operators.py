@@ -21,7 +21,7 @@ from ..operators.dedup import dedup_keep_first, fetch_rows, require_columns
 from ..operators.ranking import sample_hash
 from ..operators.sampling import sample_per_key
 from ..operators.selection import top_k_per_class
-from ..runtime import cut_lineage, scratch_path, stored_table
+from ..runtime import compute_once, cut_lineage, scratch_path, stored_table
 from ..sources.readers import list_names, path_exists, remove_path
 from .sources import run_batches
 
@@ -217,8 +217,10 @@ def bounded_heaps(
     wanted = [max(int(q), 0) for q in quotas]
     value = F.col(score).cast("double")
     others = [c for c in scored.columns if c not in (seq, score)]
-    rows = scored.filter(F.col(by).isin([i for i, q in enumerate(wanted) if q])).select(
-        F.col(by).cast("int").alias("class"),
+    # A plain filter on the class would be pushed below the scorer, with many copies of it.
+    classed = compute_once(scored, "__class", F.col(by).cast("int"))
+    rows = classed.filter(F.col("__class").isin([i for i, q in enumerate(wanted) if q])).select(
+        F.col("__class").alias("class"),
         F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int").alias("salt"),
         F.when(F.isnan(value), 2).when(value.isNotNull(), 1).otherwise(0).alias("kind"),
         F.when(~F.isnan(value), value).otherwise(0.0).alias("value"),
@@ -306,11 +308,12 @@ def run_top_k_per_class(
     """Most uncertain rows per predicted class of a scored stream.
 
     A first stage keeps heaps per class and salt in the state store (``bounded_heaps``), a second
-    one merges their newest versions: at most quota times salts rows of each class.
+    one merges their newest versions: at most quota times salts rows of each class. The few heaps
+    are kept in as many partitions as there are salts.
     """
     table = table or HeapTable(scored.sparkSession)
     heaps = bounded_heaps(scored, quotas, score, by, seq, salts)
-    run_batches(heaps, table.write, "update", checkpoint, seconds)
+    run_batches(heaps, table.write, "update", checkpoint, seconds, partitions=salts)
     rows = heap_rows(table.latest(heaps.schema), scored.schema, score, seq)
     return top_k_per_class(rows, score, quotas, by, seq)
 

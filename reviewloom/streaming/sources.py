@@ -71,13 +71,25 @@ def run_batches(
     output_mode: str = "append",
     checkpoint: str | None = None,
     seconds: float | None = None,
+    partitions: int | None = None,
 ) -> bool:
-    """Hand every micro-batch of what is there now to ``step(batch, number)``."""
-    query = (
-        stream.writeStream.foreachBatch(step)
-        .outputMode(output_mode)
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Hand every micro-batch of what is there now to ``step(batch, number)``.
+
+    A new stream keeps its state in the session's number of shuffle partitions, or in
+    ``partitions`` if that is less; each of them is a task of every batch.
+    """
+    spark, option = stream.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(option, None)
+    if partitions:
+        spark.conf.set(option, str(min(int(spark.conf.get(option)), partitions)))
+    try:  # the stream takes the session's options with it when it starts
+        query = (
+            stream.writeStream.foreachBatch(step)
+            .outputMode(output_mode)
+            .option("checkpointLocation", checkpoint or scratch_path(spark, "progress"))
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
     return finish(query, seconds)

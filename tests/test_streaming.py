@@ -7,7 +7,7 @@ from helpers import REVIEW_DDL, make_reviews, py_id, py_label
 from pyspark.sql import functions as F
 
 from reviewloom.functions import label_from_rating, stable_id
-from reviewloom.operators import sampling, selection
+from reviewloom.operators import sampling, scoring, selection
 from reviewloom.operators.filters import drop_blocked
 from reviewloom.streaming import operators as ops
 from reviewloom.streaming.sources import category_stream, file_stream, finish, run_append, run_batches
@@ -203,6 +203,41 @@ def test_partial_heaps_can_be_read_while_the_stream_goes_on(spark, tmp_path):
     assert 0 < counts[0] <= counts[-1] and counts == sorted(counts)
 
 
+def test_heaps_score_once_for_each_class(spark, files):
+    """The filter on the class does not bring copies of the logits with it."""
+    def letters(text):
+        return [F.length(F.replace(text, F.lit(x), F.lit(""))) for x in "tne"]
+
+    rows = spark.read.parquet(files[1])
+    scored_rows = selection.candidate_rows(scoring.expression_scorer(letters)(rows))
+    scored_rows = scored_rows.select("seq", "pred_label", "uncertainty")
+    heaps = ops.bounded_heaps(scored_rows, [5, 5, 5])
+    assert heaps._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 3
+
+
+def test_few_heaps_take_few_partitions(spark, tmp_path, settings):
+    settings(spark__sql__shuffle__partitions="40")
+    batch, schema = scored_files(spark, str(tmp_path / "in"), files=2, n=300)
+    stream = file_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    progress = tmp_path / "progress"
+    found = ops.run_top_k_per_class(stream, [5, 5, 5], salts=3, checkpoint=str(progress))
+    wanted = selection.top_k_per_class(batch, "uncertainty", [5, 5, 5])
+    assert {r.seq for r in found.collect()} == {r.seq for r in wanted.collect()}
+    assert len([x for x in (progress / "state/0").iterdir() if x.name.isdigit()]) == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+
+
+def test_ordered_batches_come_in_order_also_empty_ones(spark, tmp_path):
+    from reviewloom.catalog import stream_queries
+
+    rows = spark.range(3000).selectExpr("id AS doc_id", "repeat(sha2(string(id), 512), 60) AS text")
+    rows = rows.filter("doc_id % 6 <> 4").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) doc_id, 'x' text"))
+    seen = []
+    stream = stream_queries._in_order(spark, rows, F.col("doc_id") % 6)
+    run_batches(stream, lambda batch, n: seen.append({r.doc_id % 6 for r in batch.select("doc_id").collect()}))
+    assert seen == [{0}, {1}, {2}, {3}, set(), {5}]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stream_sample_is_the_batch_sample_in_any_order(spark, tmp_path, seed):
     batch, schema = scored_files(spark, str(tmp_path / "in"), seed=seed)
