@@ -11,30 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..runtime import scratch_path
+from ..runtime import scratch_path, small_batches
 
 #: What separates words in every contract: the space and the code points 9 to 13. The split
 #: of Python's ``bytes`` uses exactly these, so ``text.encode().split()`` gives the words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows and bytes of an Arrow batch, unless the session sets them: texts may be long, and several
-#: batches of each Python worker are in memory at once.
-BATCH_ROWS = 512
-BATCH_BYTES = 1 << 22
-_BATCH_OPTIONS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
-    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
-}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let the session hand texts to Python in small batches; sizes set by the user stay."""
-    for option, size in _BATCH_OPTIONS.items():
-        if spark.conf.get(option, None) is None:
-            spark.conf.set(option, str(size))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and go on from the written table.
 

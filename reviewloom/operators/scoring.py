@@ -26,7 +26,7 @@ from ..functions.probs import (
     instance_weight,
 )
 from ..functions.text import WHITESPACE, or_empty
-from ..runtime import stored_table
+from ..runtime import small_batches, stored_table
 from .conform import ensure_label
 from .metrics import class_weight_list, evaluate
 
@@ -59,7 +59,8 @@ def pandas_scorer(
 
     ``load_model`` runs once per Python worker task and returns a function from a batch of
     texts to one list of probabilities per text. Batches are Arrow batches; their size is
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``, which are set to
+    512 rows and 4 MB in the session unless the user has set them.
     """
 
     @F.pandas_udf("array<double>")
@@ -71,7 +72,11 @@ def pandas_scorer(
                 raise ValueError("the model returned a different number of rows")
             yield pd.Series(list(probs), index=texts.index)  # a row of the array each
 
-    return lambda df: df.withColumn("probs", run(or_empty("text")))
+    def score_rows(df: DataFrame) -> DataFrame:
+        small_batches(df.sparkSession)
+        return df.withColumn("probs", run(or_empty("text")))
+
+    return score_rows
 
 
 def model_scorer(model: PipelineModel) -> Scorer:

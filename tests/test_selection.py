@@ -96,6 +96,20 @@ def test_pandas_scorer_keeps_rows(pool):
         scoring.score(df, scoring.pandas_scorer(short)).agg(F.sum("p_neg")).collect()
 
 
+def test_pandas_scorer_gets_small_batches(spark):
+    rows = spark.range(3000, numPartitions=1).selectExpr("id AS seq", "repeat('t', 50000) AS text")
+
+    def load():
+        def run(texts):
+            assert len(texts) <= 512 and texts.str.len().sum() <= 2 * (1 << 22)
+            return [[0.2, 0.3, 0.5] for _ in texts]
+
+        return run
+
+    scored = scoring.score(rows, scoring.pandas_scorer(load))
+    assert scored.filter("p_pos = 0.5").count() == 3000
+
+
 def test_filter_runs_below_a_python_scorer(pool, plan_of):
     scorer = scoring.pandas_scorer(lambda: lambda texts: [[1.0, 0.0, 0.0]] * len(texts))
     plan = plan_of(scoring.score(pool[1], scorer).filter("rating > 4"))
