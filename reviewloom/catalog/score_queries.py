@@ -8,6 +8,7 @@ from .. import functions as fn
 from ..operators import metrics, scoring, selection
 from ..operators.conform import ensure_label
 from ..plans.jobs import gold_records, human_gold, labelling_queue
+from ..runtime import stored_table
 from . import views
 from .registry import query
 from .views import ctes, reviews, sql_letter_scores, sql_stars, sql_words, table
@@ -509,14 +510,17 @@ def featurize(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    """Three sides that share no id, with classes that words tell."""
+    """Three sides that share no id, with classes that words tell.
+
+    They are stored: fits and metrics read them many times, and ids are computed once.
+    """
     from ..operators.filters import drop_blocked
 
     rest = views.train_side(spark, sf_dir).withColumn("label", F.expr(_CLASS))
-    evaluation = views.eval_side(spark, sf_dir).withColumn("label", F.expr(_CLASS))
-    rest = drop_blocked(rest, evaluation.select("id").distinct())
+    evaluation = stored_table(views.eval_side(spark, sf_dir).withColumn("label", F.expr(_CLASS)))
+    rest = stored_table(drop_blocked(rest, evaluation.select("id").distinct()))
     dev = rest.filter("seq % 5 = 0")
-    return drop_blocked(rest, dev.select("id").distinct()), dev, evaluation
+    return stored_table(drop_blocked(rest, dev.select("id").distinct())), dev, evaluation
 
 
 def _largest_share(rows):

@@ -169,3 +169,20 @@ def test_best_of_grid(spark):
     assert scoring.score(df, scoring.model_scorer(model)).count() == 40
     with pytest.raises(ValueError):
         scoring.best_of(df, df, [])
+
+
+def test_best_of_grid_reads_each_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(n):
+        read.add(1)
+        return "good great" if n % 2 else "bad poor"
+
+    rows = [(i, 5.0 if i % 2 else 1.0, i % 5 / 2.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "n INT, rating DOUBLE, w DOUBLE")
+    df = df.select(text_of("n").alias("text"), "rating", "w")
+    grid = [{"reg_param": 0.1}, {"max_iter": 2}, {"reg_param": 0.5}]
+    _, options, f1 = scoring.best_of(df, df, grid, sample_weight="w", num_features=32, max_tokens=1)
+    assert options == {"reg_param": 0.1} and f1 == 1.0
+    assert read.value == 80
