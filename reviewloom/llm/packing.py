@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, ranked, shuffle_partitions, slices, stored
 from .subset_sum import best_fill
-from .tokens import encoder, tokenize
+from .tokens import encoder, encoding, texts
 
 #: Rows per bucket at which ranking takes more buckets.
 BUCKET_ROWS = 100_000
@@ -93,9 +93,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096) -> Da
     """
     spark = docs.sparkSession
     width = encoder(tokenizer).width
+    encode, cut = encoding(tokenizer, end_id), _cut(width, window)
+    # One Python worker for each task, not one for the ids and another for the pieces.
     pieces = stored(
-        tokenize(docs, tokenizer, end_id).mapInArrow(
-            _cut(width, window),
+        texts(docs).mapInArrow(
+            lambda batches: cut(encode(batches)),
             "doc_id bigint, start bigint, length int, doc_tokens bigint, ids binary",
         ),
         "pieces",

@@ -88,12 +88,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the ids of each text with ``end_id`` at the end.
+def encoding(path: str, end_id: int):
+    """What ``tokenize`` does with Arrow batches of ``doc_id, text``.
 
-    A null text counts as empty, so its only id is ``end_id``. Repeated rows stay, as does a
-    null doc_id. ``ids`` holds little-endian integers of two bytes, or of four if the
-    vocabulary needs them.
+    For steps that go on with the ids in the same Python worker: a worker of their own would be
+    one more in memory for each running task, and as Spark reuses workers in turn, each would
+    come to hold an encoder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,5 +110,20 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 }
             )
 
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return run
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, as ``encoding`` takes them."""
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, n_tokens, ids``: the ids of each text with ``end_id`` at the end.
+
+    A null text counts as empty, so its only id is ``end_id``. Repeated rows stay, as does a
+    null doc_id. ``ids`` holds little-endian integers of two bytes, or of four if the
+    vocabulary needs them.
+    """
+    schema = "doc_id bigint, n_tokens bigint, ids binary"
+    return texts(docs).mapInArrow(encoding(path, end_id), schema)

@@ -87,6 +87,20 @@ def test_partitioning_does_not_matter(spark, tokenizer):
     assert sorted(one.collect(), key=str) == sorted(many.collect(), key=str)
 
 
+def test_a_task_has_one_python_worker(spark, tokenizer, monkeypatch):
+    plans, stored = [], packing.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(packing, "stored", seen)
+    pieces = packing.pack(spark.createDataFrame(ROWS, DOCS), tokenizer, 2, 16)
+    plans.append(pieces._jdf.queryExecution().executedPlan().toString())
+    assert [plan.count("MapInArrow") for plan in plans] == [1, 1]
+    check(ROWS, pieces.collect(), tokenizer, 16)
+
+
 def test_empty_table(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer, 2).collect() == []
 
