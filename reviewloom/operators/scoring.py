@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -192,10 +192,17 @@ def train_classifier(
 
     The row weight is the class weight times ``sample_weight``. Without given class weights
     they are derived from the class counts.
+
+    Texts are split once; word counts and features are stored. Every step of the fit starts from
+    the features, so its tasks carry neither texts nor the fitted weights of words.
     """
     prepared = _training_rows(df, sample_weight, class_weights)
-    stages = [*text_features(num_features, max_tokens), _classifier(reg_param, max_iter)]
-    return Pipeline(stages=stages).fit(prepared)
+    *stages, weigh = text_features(num_features, max_tokens)
+    words = PipelineModel(stages)  # none of these has anything to fit
+    counted = stored_table(words.transform(prepared).select("tf", "label", "weight"))
+    weigh = weigh.fit(counted)
+    rows = stored_table(weigh.transform(counted).select("features", "label", "weight"))
+    return PipelineModel([*stages, weigh, _classifier(reg_param, max_iter).fit(rows)])
 
 
 def evaluate_scorer(

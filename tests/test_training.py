@@ -1,0 +1,38 @@
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from reviewloom.operators import scoring
+
+
+def test_fit_starts_from_stored_features(spark, monkeypatch):
+    tables = []
+
+    def noted(df):
+        tables.append(df.columns)
+        return stored(df)
+
+    stored = scoring.stored_table
+    monkeypatch.setattr(scoring, "stored_table", noted)
+    words = [("bad awful bad", 0), ("so so", 1), ("good great", 2), (None, 1), ("", 2), ("good", None)]
+    rows = spark.createDataFrame(
+        [(t, y, 0.5 + i % 3, 1.0 + i % 5) for i, (t, y) in enumerate(words * 9)],
+        "text STRING, label INT, sample_weight DOUBLE, rating DOUBLE",
+    )
+    model = scoring.train_classifier(rows, "sample_weight", num_features=64, max_iter=6)
+    assert tables == [["tf", "label", "weight"], ["features", "label", "weight"]]
+
+    prepared = scoring._training_rows(rows, "sample_weight", None)
+    stages = [*scoring.text_features(64), scoring._classifier(0.01, 6)]
+    whole = Pipeline(stages=stages).fit(prepared)
+    found, wanted = model.stages[-1], whole.stages[-1]
+    assert found.summary.totalIterations == wanted.summary.totalIterations
+    assert np.allclose(found.coefficientMatrix.toArray(), wanted.coefficientMatrix.toArray())
+    assert np.allclose(found.interceptVector.toArray(), wanted.interceptVector.toArray())
+    texts = rows.select("text").distinct()
+    scores = [
+        sorted((r.text or "", *np.round(r.probability.toArray(), 9))
+               for r in m.transform(texts.withColumn("text", F.coalesce("text", F.lit("")))).collect())
+        for m in (model, whole)
+    ]
+    assert scores[0] == scores[1]
